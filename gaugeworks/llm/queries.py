@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeworks.llm import exact_dedup, packing, simhash, token_files
+from gaugeworks.llm import exact_dedup, language_id, packing, simhash, token_files, toxicity
+from gaugeworks.llm.common import is_held_out
 from gaugeworks.session import scratch_path, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +27,14 @@ def _query(sql: str | None = None):
     return add
 
 
+@_query()
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = toxicity.score(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
+    toxic = (F.col("score") >= toxicity.THRESHOLD).cast("int")
+    return out.select("doc_id", is_held_out().alias("held_out"), "score", toxic.alias("predicted"))
+
+
 @_query()
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_duplicates(table(spark, sf_dir, "documents"), words=4, limit=4)
@@ -60,6 +69,13 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+@_query()
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = language_id.predict(docs, language_id.learn(docs))
+    return out.select("doc_id", is_held_out().alias("held_out"), "lang_pred", "score")
+
+
 @_query()
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = packing.pack(table(spark, sf_dir, "documents"), _vocabulary(), end_id=1)
