@@ -8,7 +8,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeworks.llm import exact_dedup, language_id, packing, simhash, token_files, toxicity
+import corpus_pipeline
+from gaugeworks.llm import (
+    decontamination,
+    exact_dedup,
+    language_id,
+    license_scan,
+    line_dedup,
+    packing,
+    preference_format,
+    simhash,
+    token_files,
+    toxicity,
+)
 from gaugeworks.llm.common import is_held_out
 from gaugeworks.session import scratch_path, table
 
@@ -82,6 +94,65 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+@_query(
+    r"""
+    WITH l AS (SELECT doc_id, source, i, string_split(text, chr(10))[i] AS line
+               FROM (SELECT doc_id, source, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents)),
+    shared AS (SELECT trim(line, ' ') AS line FROM l WHERE trim(line, ' ') <> '' GROUP BY 1 HAVING count(DISTINCT source) >= 10),
+    m AS (SELECT l.*, s.line IS NOT NULL AS gone FROM l LEFT JOIN shared s ON trim(l.line, ' ') = s.line)
+    SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_removed,
+           md5(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS text_md5
+    FROM m GROUP BY doc_id
+    """
+)
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.remove_shared_lines(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_removed", F.md5("text").alias("text_md5"))
+
+
+@_query()
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
+@_query(
+    r"""
+    WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS pos, role, text FROM conversations),
+    k AS (SELECT conv_id, max(pos) FILTER (WHERE role = 'assistant') AS last_at, count(*) AS n FROM t GROUP BY conv_id),
+    w AS (SELECT t.*, k.last_at, k.n,
+                 CASE WHEN pos = last_at THEN coalesce((SELECT p.text FROM t p WHERE p.conv_id = t.conv_id AND p.role = 'assistant' AND p.pos < t.pos
+                                                       ORDER BY p.pos DESC LIMIT 1), '') ELSE text END AS worse
+          FROM t JOIN k USING (conv_id)),
+    f AS (SELECT conv_id, coalesce(min(pos) FILTER (WHERE text <> worse), max(n)) AS cut FROM w GROUP BY conv_id),
+    s AS (SELECT w.*, f.cut, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS c, '<|' || role || '|>' || chr(10) || worse || '<|end|>' || chr(10) AS r
+          FROM w JOIN f USING (conv_id)),
+    o AS (SELECT *, coalesce(sum(length(c)) FILTER (WHERE pos >= cut) OVER p, 0) AS cb, coalesce(sum(length(r)) FILTER (WHERE pos >= cut) OVER p, 0) AS rb
+          FROM s WINDOW p AS (PARTITION BY conv_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+    SELECT conv_id AS pair_id, CAST(any_value(cut) AS BIGINT) AS n_prompt_turns,
+           coalesce(string_agg(c, '' ORDER BY pos) FILTER (WHERE pos < cut), '') AS prompt,
+           coalesce(string_agg(c, '' ORDER BY pos) FILTER (WHERE pos >= cut), '') AS chosen,
+           coalesce(string_agg((cb + 14) || ':' || (cb + length(c) - 1), ',' ORDER BY pos) FILTER (WHERE pos >= cut AND role = 'assistant'), '') AS chosen_spans,
+           coalesce(string_agg(r, '' ORDER BY pos) FILTER (WHERE pos >= cut), '') AS rejected,
+           coalesce(string_agg((rb + 14) || ':' || (rb + length(r) - 1), ',' ORDER BY pos) FILTER (WHERE pos >= cut AND role = 'assistant'), '') AS rejected_spans
+    FROM o GROUP BY conv_id
+    """
+)
+def op9_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table has single conversations, so each is paired with a worse end of its own."""
+    turns = table(spark, sf_dir, "conversations")
+    return preference_format.format_preferences(turns, preference_format.repeated_answer(turns))
+
+
+@_query()
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@_query()
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

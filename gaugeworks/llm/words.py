@@ -1,4 +1,4 @@
-"""Token ids of whole texts, one white-space word at a time.
+"""Words of whole texts: their token ids, and their hashes.
 
 A tokenizer that drops white space never joins across it, so a text's ids are its words' ids in order. Words
 repeat far more than texts do, so each worker remembers the ids of recent words.
@@ -9,9 +9,12 @@ from __future__ import annotations
 from functools import lru_cache
 
 import numpy as np
+import xxhash
 
 LETTERS = frozenset(b"abcdefghijklmnopqrstuvwxyz")
 CLOSING = frozenset(b".,;:!?")
+BASE = np.uint64(0x9E3779B97F4A7C15)
+WORD_BYTES = bytes(c if chr(c).isalnum() or c >= 128 else 32 for c in range(256))
 
 
 class WordIds(dict):
@@ -55,3 +58,31 @@ def sentence_ends(path: str) -> np.ndarray:
     """Ids of tokens that end a sentence."""
     vocab = word_ids(path).tokenizer.get_vocab()
     return np.array(sorted(i for t, i in vocab.items() if t.removesuffix("</w>") in {".", "!", "?", "...", '."', '?"', '!"'} and t.endswith("</w>")), "<u4")
+
+
+class WordHashes(dict):
+    """A 64-bit hash of each word of a text, lower-cased and without ASCII signs. Forgets all at `most` words."""
+
+    def __init__(self, most: int = 500_000):
+        self.most = most
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = out = xxhash.xxh64_intdigest(word)
+        return out
+
+    def text(self, text: str | None) -> np.ndarray:
+        if len(self) > self.most:
+            self.clear()
+        words = (text or "").lower().encode().translate(WORD_BYTES).split()
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
+
+def running_hashes(words: np.ndarray, k: int) -> np.ndarray:
+    """Karp-Rabin hash, modulo 2 ** 64, of each run of k words."""
+    n = len(words) - k + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    out = np.zeros(n, np.uint64)
+    for j in range(k):
+        out = out * BASE + words[j : j + n]
+    return out
