@@ -6,39 +6,69 @@ repeat far more than texts do, so each worker remembers the ids of recent words.
 
 from __future__ import annotations
 
+from array import array
 from functools import lru_cache
 
 import numpy as np
 import xxhash
 
-LETTERS = frozenset(b"abcdefghijklmnopqrstuvwxyz")
-CLOSING = frozenset(b".,;:!?")
+CLOSING = frozenset(".,;:!?")
 BASE = np.uint64(0x9E3779B97F4A7C15)
 WORD_BYTES = bytes(c if chr(c).isalnum() or c >= 128 else 32 for c in range(256))
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter by which byte-level vocabularies write each byte: itself if it prints, else the next free one."""
+    prints = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    hidden = [b for b in range(256) if b not in prints]
+    return {b: chr(b) for b in prints} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+
+
 class WordIds(dict):
-    """Little-endian unsigned 32-bit ids of UTF-8 words. Forgets all when it holds `most` words."""
+    """Little-endian unsigned 32-bit ids of UTF-8 words. Of recent words, `most` to twice as many are kept."""
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 350_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
-        encode = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
-        if encode("a b\n c") != encode("a") + encode("b") + encode("c"):
+        self.older: dict[bytes, bytes] = {}
+        self.stems: dict[bytes, bytes] = {}
+        self.written = _byte_letters()
+        if self._encode("a b\n c") != self._encode("a") + self._encode("b") + self._encode("c"):
             raise ValueError("the tokenizer keeps white space; its texts can't be encoded word by word")
-        self.folds = encode("Q") == encode("q")
+        # whether plain words skip the normalizer and the splitter: case is folded, and bytes are written as letters
+        tests = ("q", "über", "straße", "niño", "tokenization", "éàç")
+        self.direct = self._encode("Q") == self._encode("q") and all(self._model(t.encode()) == self._encode(t) for t in tests)
+
+    def _encode(self, word: str) -> bytes:
+        return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+
+    def _model(self, word: bytes) -> bytes:
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(word.decode("latin-1").translate(self.written))]).tobytes()
+
+    def _stem(self, word: bytes) -> bytes:
+        ids = self.stems.get(word)
+        if ids is None:
+            if len(self.stems) >= self.most:
+                self.stems.clear()
+            ids = self.stems[word] = self._model(word)
+        return ids
 
     def __missing__(self, word: bytes) -> bytes:
+        ids = self.older.get(word)
+        if ids is None:
+            text = word.decode()
+            stem = text[:-1] if len(text) > 1 and text[-1] in CLOSING else text
+            # letters up to ÿ lower-case alike everywhere and are composed already; a sign after one stands alone
+            if self.direct and stem.isalpha() and max(stem) <= "ÿ":
+                ids = self._stem(stem.lower().encode())
+                if stem is not text:
+                    ids += self._stem(text[-1].encode())
+            else:
+                ids = self._encode(text)
         if len(self) >= self.most:
+            self.older = dict(self)
             self.clear()
-        plain = b"<|" not in word  # a special token's name counts only as it is written
-        if self.folds and plain and (low := word.lower()) != word:
-            ids = self[low]
-        elif plain and len(word) > 1 and word[-1] in CLOSING and word[-2] in LETTERS:
-            ids = self[word[:-1]] + self[word[-1:]]
-        else:
-            ids = np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
         self[word] = ids
         return ids
 
