@@ -29,12 +29,12 @@ def spread_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("boss")).agg(S.spread("o_totalprice").alias("s")).select("boss", "s.*")
 
 
-@query("""SELECT c_custkey AS build, o_orderpriority AS boss, COUNT(*) AS n, ROUND(MEDIAN(o_totalprice), 1) AS median, CASE WHEN COUNT(*) >= 20 THEN ROUND(QUANTILE_CONT(o_totalprice, 0.95), 1) END AS p95, ROUND(MAX(o_totalprice), 1) AS top
+@query("""SELECT c_custkey AS build, o_orderpriority AS boss, COUNT(*) AS n, ROUND(MEDIAN(o_totalprice), 4) AS median, CASE WHEN COUNT(*) >= 20 THEN ROUND(QUANTILE_CONT(o_totalprice, 0.95), 4) END AS p95, ROUND(MAX(o_totalprice), 4) AS top
 FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1, 2 HAVING COUNT(*) >= 5""")
 def ranking_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("build"), F.col("o_orderpriority").alias("boss"), "o_totalprice")
     known = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("build"))
-    return S.ranking_summary(rows.join(known, "build", "left_semi"), ["build", "boss"], "o_totalprice")
+    return S.ranking_summary(rows.join(known, "build", "left_semi"), ["build", "boss"], "o_totalprice", places=4)
 
 
 _EXPLAINED = """SELECT '{name}' AS grouping_by, ROUND(1 - VAR_POP(ratio - m) / VAR_POP(ratio), 6) AS explained FROM (SELECT *, MEDIAN(ratio) OVER (PARTITION BY {name}) AS m FROM rows_)"""
