@@ -44,6 +44,8 @@ FEATURES = (
 def bare(word: str) -> str:
     """Lower-cased, without signs around it."""
     low = word.lower()
+    if low.isalnum():
+        return low
     a, b = 0, len(low)
     while a < b and not low[a].isalnum():
         a += 1
@@ -52,15 +54,15 @@ def bare(word: str) -> str:
     return low[a:b]
 
 
-def is_obfuscated(word: str) -> bool:
-    """Letters with digits or signs between them, other than a hyphen or an apostrophe."""
-    core = bare(word)
-    return any(c.isalpha() for c in core) and any(not c.isalpha() and c not in "-'’" for c in core)
+def is_obfuscated(core: str) -> bool:
+    """A bare word of letters with digits or signs between them, other than a hyphen or an apostrophe."""
+    return not core.isalpha() and any(c.isalpha() for c in core) and any(not c.isalpha() and c not in "-'’" for c in core)
 
 
 def plain(word: str) -> str:
     """The letters that an obfuscated word stands for; else the bare word."""
-    return "".join(c for c in bare(word).translate(LOOKALIKES) if c.isalpha()) if is_obfuscated(word) else bare(word)
+    core = bare(word)
+    return "".join(c for c in core.translate(LOOKALIKES) if c.isalpha()) if is_obfuscated(core) else core
 
 
 def units(word: str) -> list[str]:
@@ -73,25 +75,24 @@ class WordFacts(dict):
 
     def __init__(self, lexicon: dict[str, float], most: int = 200_000):
         self.lexicon, self.most = lexicon, most
-        self._reset()
-
-    def _reset(self) -> None:
-        self.clear()
-        self.facts: list[tuple[float, ...]] = []
-        self.table = np.zeros((0, 9), np.float64)
+        self.table = np.zeros((1024, 9))
 
     def __missing__(self, raw: bytes) -> int:
         word = raw.decode(errors="replace")
         core = plain(word)
         weight = max((self.lexicon[u] for u in units(core) if u in self.lexicon), default=0.0)
-        letters = sum(c.isalpha() for c in word)
-        capitals = sum(c.isupper() for c in word)
-        self.facts.append((
-            weight, float(weight > 0), float(core in SECOND_PERSON), letters, capitals, float(letters > 1 and capitals == letters),
-            len(word) - sum(c.isalnum() for c in word), word.count("!") + word.count("?"), float(is_obfuscated(word)),
-        ))
-        self[raw] = len(self.facts) - 1
-        return len(self.facts) - 1
+        letters = len(core) if core.isalpha() and bare(word) == core else sum(c.isalpha() for c in word)
+        capitals = 0 if word.islower() else sum(c.isupper() for c in word)
+        signs = 0 if word.isalnum() else sum(not c.isalnum() for c in word)
+        row = len(self)
+        if row == len(self.table):
+            self.table = np.vstack([self.table, np.zeros_like(self.table)])
+        self.table[row] = (
+            weight, weight > 0, core in SECOND_PERSON, letters, capitals, letters > 1 and capitals == letters,
+            signs, word.count("!") + word.count("?") if signs else 0, is_obfuscated(bare(word)),
+        )
+        self[raw] = row
+        return row
 
     def features(self, text: bytes) -> list[float]:
         words = text.split()
@@ -99,10 +100,8 @@ class WordFacts(dict):
         if not n:
             return [0.0] * len(FEATURES)
         if len(self) > self.most:
-            self._reset()
+            self.clear()
         rows = np.fromiter(map(self.__getitem__, words), np.int64, n)
-        if len(self.facts) > len(self.table):
-            self.table = np.vstack([self.table, np.array(self.facts[len(self.table) :])])
         f = self.table[rows]
         weight, hit, second, letters, capitals, shouted, signs, exclaimed, odd = f.sum(0)
         near = 0
