@@ -263,3 +263,43 @@ def planned_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     every = F.when(F.col("p_partkey") % 5 != 0, (F.col("p_partkey") % 40).cast("double"))
     waves = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("plan"), F.col("p_size").cast("double").alias("first"), every.alias("cadence"), F.lit(15.0).alias("lasts"), F.lit(120.0).alias("length"))
     return I.concurrency(I.planned_waves(waves), "plan")
+
+
+_HITS = """SELECT user_id AS encounter, event_type, COUNT(*) AS n, CAST(SUM(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS total FROM events GROUP BY ALL"""
+
+
+def _drained(stream: DataFrame, mode: str, path: str) -> None:
+    """Runs a stream over what is there now, into the folder path/rows."""
+    stream.writeStream.outputMode(mode).format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+
+
+@query(f"WITH {AURAS} SELECT fight, ability, start_ AS \"start\", end_ AS \"end\", truncated, opener FROM auras")
+def aura_windows_streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The windows of aura_windows, paired by a stateful stream over the events as files."""
+    from gaugeworks.session import scratch_path
+    from gaugeworks.streaming.windows import paired_stream
+
+    path = scratch_path(spark, "aura-stream")
+    kind = F.when(F.col("event_type") == "signup", "start").when(F.col("event_type") == "purchase", "end")
+    ev = events(spark, sf_dir).select("fight", (F.col("event_id") % 2).alias("ability"), "t", F.col("event_id").alias("seq"), kind.alias("kind"), (F.col("event_id") % 4).alias("source"), "duration")
+    marks = ev.where("kind IS NOT NULL")
+    over = marks.groupBy("fight", "ability").agg(F.max("duration").alias("t")).select("fight", "ability", "t", F.lit(1 << 62).alias("seq"), F.lit("finish").alias("kind"), F.lit(None).cast("long").alias("source"))
+    rows = marks.drop("duration").unionByName(over)
+    rows.write.parquet(f"{path}/in")
+    _drained(paired_stream(spark.readStream.schema(rows.schema).parquet(f"{path}/in")), "append", path)
+    return spark.read.parquet(f"{path}/rows")
+
+
+@query(_HITS)
+def merged_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Running sums per user and type, merged batch by batch into a table whose newest rows are read back."""
+    from gaugeworks.session import scratch_path
+    from gaugeworks.streaming.sink import MergedTable
+
+    path = scratch_path(spark, "merged-stream")
+    rows = events(spark, sf_dir).select("encounter", "event_type", "amount", (F.col("event_id") % 4).alias("part"))
+    rows.repartition(4, "part").write.parquet(f"{path}/in")
+    kept = MergedTable(spark, f"{path}/table", "encounter BIGINT, event_type STRING, n BIGINT, total DECIMAL(28,2)", ["encounter", "event_type"], "n", ["total"])
+    sums = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(f"{path}/in").groupBy("encounter", "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("amount").alias("total"))
+    sums.writeStream.outputMode("update").foreachBatch(kept.write).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    return kept.read().withColumn("total", F.col("total").cast("double"))
