@@ -56,11 +56,10 @@ def timelines(reports: DataFrame, keys: list[str], bin_width: int = 1) -> DataFr
 def _damage_rows(reports: DataFrame, keys: list[str]) -> DataFrame:
     stat = schemas.STAT
     player = _first_player()
-    as_lists = F.from_json(player["stats_pets"], f"MAP<STRING, ARRAY<{stat}>>")
-    as_objects = F.from_json(player["stats_pets"], f"MAP<STRING, STRUCT<stats: ARRAY<{stat}>>>")
-    pets = F.flatten(F.concat(F.coalesce(F.map_values(as_lists), F.array()), F.coalesce(F.transform(F.map_values(as_objects), lambda x: x["stats"]), F.array())))
-    own = F.coalesce(player["stats"], F.array())
-    every = F.filter(F.concat(own, F.coalesce(F.filter(F.flatten(F.array(pets)), lambda s: s.isNotNull()), F.array())), lambda s: s.isNotNull())
+    each = F.map_values(F.try_variant_get(F.try_parse_json(player["stats_pets"]), "$", "map<string, variant>"))
+    lists = F.transform(each, lambda v: F.coalesce(F.try_variant_get(v, "$", f"array<{stat}>"), F.try_variant_get(v, "$.stats", f"array<{stat}>")))
+    pets = F.flatten(F.filter(lists, lambda x: x.isNotNull()))
+    every = F.concat(F.coalesce(player["stats"], F.array()), F.coalesce(pets, F.array()))
     return reports.where(is_valid()).select(*keys, F.posexplode(every).alias("at", "s"))
 
 

@@ -39,7 +39,7 @@ def table_rows(texts: DataFrame, columns: list[str], name: str | None = None) ->
     if given. Rows of fewer fields are left out. Commas inside quotes don't part fields."""
     body = F.regexp_extract("text", rf"(?s)\b{name}\b[^=]*=\s*\{{(.*?)\}};", 1) if name else F.col("text")
     rows = texts.select("file", F.explode(F.regexp_extract_all(body, F.lit(r"\{\s*([^{}]+?)\s*,?\s*\}"), F.lit(1))).alias("row"))
-    fields = F.transform(F.regexp_extract_all("row", F.lit(r'("(?:[^"\\]|\\.)*"|[^,]+)'), F.lit(1)), lambda x: F.regexp_replace(F.trim(x), '^"|"$', ""))
+    fields = F.transform(F.regexp_extract_all("row", F.lit(r'\s*("(?:[^"\\]|\\.)*"|[^,\s][^,]*)'), F.lit(1)), lambda x: F.regexp_replace(F.trim(x), '^"|"$', ""))
     cut = rows.select("file", fields.alias("f")).where(F.size("f") >= len(columns))
     return cut.select("file", *[F.get("f", k).alias(c) for k, c in enumerate(columns)])
 
