@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gaugeworks.queries import analysis, catalogue, fights, sweeps  # noqa: F401  they register themselves
+from gaugeworks.queries import analysis, catalogue, fights, published, sweeps  # noqa: F401  they register themselves
 from gaugeworks.queries.registry import ORACLES, QUERIES, Query
 
 
