@@ -14,7 +14,7 @@ from gaugeworks.operators import cells as C
 from gaugeworks.operators import intervals as I
 from gaugeworks.operators import shapes as H
 from gaugeworks.queries.registry import query
-from gaugeworks.session import table
+from gaugeworks.session import checkpointed, scratch_path, table
 
 BUCKETS = 12
 EV = """e0 AS (SELECT *, CAST(epoch_us(ts) // 1000 AS BIGINT) AS ms FROM events),
@@ -75,8 +75,9 @@ def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _distances(samples: DataFrame) -> tuple[DataFrame, DataFrame]:
-    owner = samples.select("fight", "encounter").distinct()
-    shapes = H.as_arrays(samples, "fight").join(owner, "fight")
+    """Shapes, written once since the rounds of the clustering read them again and again, and their distances."""
+    owner = samples.groupBy("fight").agg(F.first("encounter").alias("encounter"))
+    shapes = checkpointed(H.as_arrays(samples, "fight").join(owner, "fight"))
     return shapes, H.pair_distances(shapes, "encounter", "fight")
 
 
@@ -276,7 +277,6 @@ def _drained(stream: DataFrame, mode: str, path: str) -> None:
 @query(f"WITH {AURAS} SELECT fight, ability, start_ AS \"start\", end_ AS \"end\", truncated, opener FROM auras")
 def aura_windows_streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The windows of aura_windows, paired by a stateful stream over the events as files."""
-    from gaugeworks.session import scratch_path
     from gaugeworks.streaming.windows import paired_stream
 
     path = scratch_path(spark, "aura-stream")
@@ -293,7 +293,6 @@ def aura_windows_streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_HITS)
 def merged_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Running sums per user and type, merged batch by batch into a table whose newest rows are read back."""
-    from gaugeworks.session import scratch_path
     from gaugeworks.streaming.sink import MergedTable
 
     path = scratch_path(spark, "merged-stream")
