@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from gaugeworks.llm.common import pick, slices
 from gaugeworks.llm.words import WordHashes, running_hashes
 
-MATCH_WORDS, COVERAGE, BLOCK_BYTES = 5, 0.6, 16_000_000
+MATCH_WORDS, COVERAGE, BLOCK_BYTES = 5, 0.5, 16_000_000
 FILTER_BITS = 22
 
 

@@ -67,10 +67,10 @@ def test_op10_finds_what_brute_force_finds(spark, documents):
         held = {tuple(doc[k : k + 5]) for k in range(len(doc) - 4)}
         for name, item in items.items():
             seeds = [k for k in range(len(item) - 4) if tuple(item[k : k + 5]) in held]
-            if len({p for k in seeds for p in range(k, k + 5)}) >= 0.6 * len(item):
+            if len({p for k in seeds for p in range(k, k + 5)}) >= decontamination.COVERAGE * len(item):
                 spots = [(d, k) for k in seeds for d in range(len(doc) - 4) if doc[d : d + 5] == item[k : k + 5]]
                 near = sorted({p for d, _ in spots for p in range(max(0, d - 80), d + 80) if p < len(doc)})
-                if sum(n for *_, n in plain_tiling([doc[p] for p in near], item, 5)) >= 0.6 * len(item):
+                if sum(n for *_, n in plain_tiling([doc[p] for p in near], item, 5)) >= decontamination.COVERAGE * len(item):
                     want.add((i, name))
     got = {(r.doc_id, r.item_id) for r in queries.queries()["op10_decontamination"](spark, SF).collect()}
     assert got == want and got
@@ -81,7 +81,7 @@ def test_moved_and_changed_passages(spark):
     item = [f"w{rng.randint(0, 999)}" for _ in range(40)]
     noise = [f"n{k}" for k in range(300)]
     moved = noise[:50] + item[25:] + noise[50:99] + item[10:25] + noise[99:] + item[:10]
-    rows = [(1, " ".join(moved)), (2, ", ".join(item).upper()), (3, " ".join(noise)), (4, " ".join(item[:20] + noise)), (5, None), (6, "")]
+    rows = [(1, " ".join(moved)), (2, ", ".join(item).upper()), (3, " ".join(noise)), (4, " ".join(item[:19] + noise)), (5, None), (6, "")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("item_id", F.lit(8))
     bench = spark.createDataFrame([(1, " ".join(item)), (2, None), (3, "w1 w2"), (4, "")], "item_id long, text string")
     got = {r.doc_id: r for r in decontamination.contaminated(docs, bench).collect()}
