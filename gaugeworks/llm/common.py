@@ -40,6 +40,13 @@ def join_by_group(rows: DataFrame, groups: DataFrame, key: str, size: str, total
     return at_hot.unionByName(at_cold.select(at_hot.columns))
 
 
+def semi_join(rows: DataFrame, keys: DataFrame, key: str, most: int = 1_000_000) -> DataFrame:
+    """Rows whose key is among keys (one row each). Up to `most` keys, by count, are broadcast, so that no row of a
+    hot key moves; more meet the rows in a shuffled join."""
+    small = keys.count() <= most
+    return rows.join(F.broadcast(keys) if small else keys.hint("merge"), key, "left_semi")
+
+
 def slices(batch: pa.RecordBatch, text: str, most_bytes: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """Consecutive parts of a batch with about most_bytes of text each; a longer text gets a part of its own."""
     sizes = [len(x) if x is not None else 0 for x in batch.column(text).cast(pa.large_binary()).to_pylist()]

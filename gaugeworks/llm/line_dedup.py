@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaugeworks.llm.common import pick
+from gaugeworks.llm.common import pick, semi_join
 from gaugeworks.session import checkpointed, scratch_path
 
 MIN_SITES, LG_K, BAND = 10, 12, 4.0
@@ -36,14 +36,14 @@ def shared_lines(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     """(line_key, sites, exact) of the lines on at least min_sites distinct sites. A null site is none."""
     often = lines.groupBy("line_key").agg(F.count("site").alias("n")).where(F.col("n") >= min_sites).select("line_key")
     often = checkpointed(often)
-    spread = lines.join(often, "line_key", "left_semi")
+    spread = semi_join(lines, often, "line_key")
     # the sketch sees each site of a line once for each task at most
     sketched = spread.groupBy("line_key").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(LG_K))).alias("guess"))
     margin = max(1.0, BAND * 1.04 / 2 ** (LG_K / 2) * min_sites)
     sketched = checkpointed(sketched.where(F.col("guess") >= min_sites - margin))
     near = sketched.where(F.abs(F.col("guess") - min_sites) <= margin).select("line_key")
     sure = sketched.where(F.col("guess") - min_sites > margin).select("line_key", F.col("guess").alias("sites"), F.lit(False).alias("exact"))
-    counted = lines.join(near, "line_key", "left_semi").select("line_key", "site").distinct().groupBy("line_key").agg(F.count("site").alias("sites"))
+    counted = semi_join(lines, near, "line_key").select("line_key", "site").distinct().groupBy("line_key").agg(F.count("site").alias("sites"))
     return sure.union(counted.where(F.col("sites") >= min_sites).select("line_key", "sites", F.lit(True)))
 
 
@@ -59,7 +59,7 @@ def remove_shared_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     _lines(rows).write.parquet(path)
     lines = docs.sparkSession.read.parquet(path)
     shared = checkpointed(shared_lines(lines, min_sites)).select("line_key")
-    gone = lines.join(shared, "line_key", "left_semi").groupBy("doc_key").agg(F.collect_set("at").alias("gone"))
+    gone = semi_join(lines, shared, "line_key").groupBy("doc_key").agg(F.collect_set("at").alias("gone"))
     met = rows.select("doc_id", "text", "doc_key").join(gone, "doc_key", "left")
     part = F.split("text", "\n", -1)
     stay = F.array_except(F.sequence(F.lit(0), F.size(part) - 1), F.col("gone"))
