@@ -215,7 +215,9 @@ def learn(
     model = trees.fit(vectors.where(~F.col("calibrate")))
     model.setFeaturesCol("x")
     checks = _margin(model, grown.where("calibrate") if {(True, 0), (True, 1)} <= classes else grown)
-    fitted = IsotonicRegression(labelCol="toxic", featuresCol="raw").fit(checks.select("raw", F.col("toxic").cast("double")))
+    # texts of one leaf share a score; they are one point of their mean and number
+    points = checks.groupBy("raw").agg(F.avg("toxic").alias("toxic"), F.count(F.lit(1)).cast("double").alias("n"))
+    fitted = IsotonicRegression(labelCol="toxic", featuresCol="raw", weightCol="n").fit(points)
     grown.unpersist()
     return Model(whole, model, fitted, base)
 
