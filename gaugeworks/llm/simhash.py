@@ -241,8 +241,9 @@ def _bucket_edges(rows: DataFrame, limit: int) -> DataFrame:
 def _cut(rows: DataFrame, cuts: dict[int, list[int]]) -> DataFrame:
     """Each row once for every mask that follows its own; the bucket is a hash of the mask and the bits under it.
     Different buckets with one hash are searched together, which costs time and changes no link."""
-    table = F.create_map(*[x for m, to in cuts.items() for x in (F.lit(_signed(m)), F.array(*[F.lit(_signed(t)) for t in to]))])
-    rows = rows.withColumn("mask", F.explode(table[F.col("mask")]))
+    pairs = [(_signed(m), _signed(t)) for m, to in cuts.items() for t in to]  # as many as the cuts have masks
+    table = rows.sparkSession.createDataFrame(pairs, "mask long, next long")
+    rows = rows.join(F.broadcast(table), "mask").drop("mask").withColumnRenamed("next", "mask")
     return rows.withColumn("bucket", F.xxhash64("bucket", "mask", F.col("fp").bitwiseAND(F.col("mask"))))
 
 
