@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeworks.llm import decontamination, exact_dedup, language_id, packing, simhash
+from gaugeworks.llm import decontamination, exact_dedup, language_id, near_copies, packing
 from gaugeworks.session import scratch_path, table
 
 #: Below this cosine a text is near no language that was learned. Short clean texts lie well above it.
@@ -41,8 +41,9 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one whose id names the group."""
-    return _without(docs, simhash.near_duplicates(docs).where("component_id <> doc_id"))
+    """Documents of which no two have a similarity of 0.8 or more in runs of five words."""
+    gone = near_copies.near_copies(docs)
+    return docs.withColumn("node", near_copies.row_key()).join(gone, "node", "left_anti").select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,4 +1,6 @@
+import itertools
 import re
+from collections import Counter, defaultdict
 
 import public_tokenizers
 from tokenizers import Tokenizer
@@ -55,3 +57,40 @@ def test_language_stage_keeps_every_text_with_letters_of_a_known_language(spark)
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     gone = docs.join(corpus_pipeline.identify_language(spark, docs, SF), "doc_id", "left_anti").collect()
     assert all(language_id.Letters().bundle(r.text or "") is None for r in gone)
+
+
+def test_near_stage_leaves_no_two_texts_of_five_word_similarity_of_four_fifths(spark):
+    docs = corpus_pipeline.drop_exact_copies(spark, spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("text IS NOT NULL"), SF)
+    word = lambda k: f"w{k}"
+    base = [word(k) for k in range(60)]
+    # 50 near copies of one text, each with another last word; two rows of one id, of which one is near; null ids
+    made = [(9000 + k, " ".join(base[:59] + [f"x{k}"])) for k in range(50)]
+    made += [(8000, " ".join(base)), (8000, "something else that is near to nothing"), (None, " ".join(base[:59] + ["y"])), (None, "a null id that is near to nothing")]
+    docs = docs.unionByName(spark.createDataFrame([(i, t, None, None, None) for i, t in made], DOCS))
+    docs = docs.localCheckpoint()
+    left = [(r.doc_id, r.text) for r in corpus_pipeline.drop_near_copies(spark, docs, SF).select("doc_id", "text").collect()]
+    texts = {(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()}
+    sets = {row: shingle_set(row[1]) for row in texts}
+    near = near_pairs(sets)
+    assert len(near) > 1200
+    assert len(set(left)) == len(left) and set(left) <= texts
+    assert not any(a in set(left) and b in set(left) for a, b in near)
+    tied = {row for pair in near for row in pair}
+    assert texts - set(left) <= tied
+    assert {(8000, made[50][1]), (8000, made[51][1]), made[53]} <= set(left) and made[52] not in left
+
+
+def shingle_set(text):
+    low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text)
+    words = re.findall(r"[^\x20\x09-\x0D]+", low)
+    return {tuple(words[i : i + 5]) for i in range(len(words) - 4)} or ({tuple(words)} if words else set())
+
+
+def near_pairs(sets):
+    at, both = defaultdict(list), Counter()
+    for row, held in sets.items():
+        for x in held:
+            at[x].append(row)
+    for rows in at.values():
+        both.update(itertools.combinations(sorted(rows, key=repr), 2))
+    return [(a, b) for (a, b), n in both.items() if n >= 0.8 * (len(sets[a]) + len(sets[b]) - n)]
