@@ -145,7 +145,7 @@ def gear_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {sweeps._POOL}, o AS (SELECT *, LEAD(total) OVER (PARTITION BY brand ORDER BY total DESC, item_a || '/' || item_b) AS nxt, ROW_NUMBER() OVER (PARTITION BY brand ORDER BY total DESC, item_a || '/' || item_b) AS k FROM pairs)
 SELECT brand, item_a, item_b, CAST(total AS DOUBLE) AS dps, ROUND(CAST(total AS DOUBLE) - CAST(nxt AS DOUBLE), 2) AS gap, COALESCE(ABS(CAST(total AS DOUBLE) - CAST(nxt AS DOUBLE)) <= SQRT(POWER(CAST(total AS DOUBLE) * 0.05 / 100, 2) + POWER(CAST(nxt AS DOUBLE) * 0.05 / 100, 2)), FALSE) AS tie FROM o WHERE k = 1""")
 def best_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sets = sweeps._pairs(spark, sf_dir).select("brand", F.array("item_a", "item_b").alias("items"), F.col("total").cast("double").alias("dps"), F.lit(0.05).alias("error"))
+    sets = sweeps._leading_pairs(spark, sf_dir).select("brand", F.array("item_a", "item_b").alias("items"), F.col("total").cast("double").alias("dps"), F.lit(0.05).alias("error"))
     best = G.best_sets(sets, ["brand"])
     return best.select("brand", F.get("items", 0).alias("item_a"), F.get("items", 1).alias("item_b"), "dps", F.round("gap", 2).alias("gap"), "tie")
 
@@ -153,7 +153,7 @@ def best_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {sweeps._POOL}, e AS (SELECT brand, item_a AS item, total, item_a || '/' || item_b AS key_ FROM pairs UNION ALL SELECT brand, item_b, total, item_a || '/' || item_b FROM pairs)
 SELECT brand, item, CAST(MAX(total) AS DOUBLE) AS dps, ARG_MAX(key_, (total, key_)) AS items FROM e GROUP BY brand, item""")
 def best_with_item(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sets = sweeps._pairs(spark, sf_dir).select("brand", F.array("item_a", "item_b").alias("items"), F.col("total").alias("dps"))
+    sets = sweeps._leading_pairs(spark, sf_dir).select("brand", F.array("item_a", "item_b").alias("items"), F.col("total").alias("dps"))
     return G.best_with(sets, ["brand"]).select("brand", "item", F.col("dps").cast("double"), F.array_join(F.col("items").cast("array<string>"), "/").alias("items"))
 
 
