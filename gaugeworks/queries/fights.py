@@ -16,6 +16,8 @@ from gaugeworks.operators import shapes as H
 from gaugeworks.queries.registry import query
 from gaugeworks.session import checkpointed, scratch_path, table
 
+#: Samples of a fight, as the surveyed system takes them. The SQL still takes BUCKETS.
+SAMPLES = 60
 BUCKETS = 12
 EV = """e0 AS (SELECT *, CAST(epoch_us(ts) // 1000 AS BIGINT) AS ms FROM events),
 ev AS (SELECT event_id, user_id AS encounter, user_id * 100000 + ms // 86400000 AS fight, ms, CAST(ms % 86400000 AS DOUBLE) / 1000 AS t, event_type,
@@ -71,7 +73,7 @@ def windows_of(lives: DataFrame) -> DataFrame:
 def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     lives = fight_lives(spark, sf_dir)
     until = windows_of(lives)
-    return H.resampled(I.concurrency(lives), until, "fight", BUCKETS).join(until.select("fight", "encounter"), "fight")
+    return H.resampled(I.concurrency(lives), until, "fight", SAMPLES).join(until.select("fight", "encounter"), "fight")
 
 
 def _distances(samples: DataFrame) -> tuple[DataFrame, DataFrame]:

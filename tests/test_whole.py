@@ -4,8 +4,9 @@ from collections import defaultdict
 from itertools import combinations
 
 from gaugeworks import queries as base
+from gaugeworks.queries import fights
 
-SF = "/root/testdata/sf0.01"
+SF, SMALL = "/root/testdata/sf0.01", "/root/testdata/sf0.001"
 
 
 def test_best_pairs_are_those_of_all_items_of_a_brand(spark):
@@ -28,3 +29,25 @@ def test_best_pairs_are_those_of_all_items_of_a_brand(spark):
     assert {r.brand: (r.dps, r.gap) for r in got("best_sets")} == {b: (best[b][2], round(gap[b], 2)) for b in best}
     assert {(r.brand, r.item): r.dps for r in got("best_with_item")} == most
     assert {r.brand: r.best_key for r in got("beyond_one_swap")} == beyond
+
+
+def test_fights_are_sampled_at_sixty_points(spark):
+    steps = defaultdict(list)
+    for r in base.queries()["concurrency_steps"](spark, SMALL).collect():
+        steps[r.fight].append((r.t, r.n))
+    until = {r.fight: r.window for r in fights.windows_of(fights.fight_lives(spark, SMALL)).collect()}
+    want = {}
+    for fight, window in until.items():
+        for b in range(60):
+            past = [s for s in steps[fight] if s[0] <= window * (b + 0.5) / 60]
+            want[fight, b] = max(past)[1] if past else 0
+    samples = fights._samples(spark, SMALL).collect()
+    assert {(r.fight, r.bucket): r.n for r in samples} == want
+    shapes, owner = defaultdict(list), {}
+    for r in samples:
+        owner[r.fight] = r.encounter
+        shapes[r.fight].append((r.bucket, r.n))
+    apart = lambda a, b: sum(abs(x[1] - y[1]) >= 1 for x, y in zip(sorted(a), sorted(b), strict=True)) / 60
+    pairs = {(a, b): round(apart(shapes[a], shapes[b]), 9) for a, b in combinations(sorted(owner), 2) if owner[a] == owner[b]}
+    _, found = fights._distances(fights._samples(spark, SMALL))
+    assert {(r.fight_a, r.fight_b): round(r.distance, 9) for r in found.collect()} == pairs
