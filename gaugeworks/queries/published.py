@@ -93,10 +93,12 @@ def shape_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     samples = fights._samples(spark, sf_dir)
     shapes, distances = fights._distances(samples)
     found = H.medoids(distances, H.clusters(shapes, distances, "encounter", "fight"), "encounter", "fight")
-    peaks = I.peak_visits(I.concurrency(fights.fight_lives(spark, sf_dir)))
-    facts = peaks.join(samples.select("fight", "encounter").distinct(), "fight").select(
-        "encounter", "fight", "peak", "visits", F.lit(1.0).alias("mean"), F.lit(True).alias("constant"), F.lit(False).alias("representative")
-    )
+    lives = fights.fight_lives(spark, sf_dir)
+    steps, until = I.concurrency(lives), fights.windows_of(lives)
+    stats = I.concurrency_stats(steps, until.drop("encounter")).select("fight", "mean", "constant")
+    chosen = fights.representative(spark, sf_dir).select("fight", F.lit(True).alias("representative"))
+    facts = I.peak_visits(steps).join(until.select("fight", "encounter"), "fight").join(stats, "fight").join(chosen, "fight", "left")
+    facts = facts.withColumn("representative", F.coalesce("representative", F.lit(False)))
     return D.patterns(found, facts)
 
 

@@ -3,6 +3,8 @@
 from collections import defaultdict
 from itertools import combinations
 
+from pyspark.sql import functions as F
+
 from gaugeworks import queries as base
 from gaugeworks.queries import fights
 
@@ -51,3 +53,27 @@ def test_fights_are_sampled_at_sixty_points(spark):
     pairs = {(a, b): round(apart(shapes[a], shapes[b]), 9) for a, b in combinations(sorted(owner), 2) if owner[a] == owner[b]}
     _, found = fights._distances(fights._samples(spark, SMALL))
     assert {(r.fight_a, r.fight_b): round(r.distance, 9) for r in found.collect()} == pairs
+
+
+def test_patterns_have_the_label_of_their_medoid_and_a_row_for_each_encounter(spark, tmp_path):
+    rows = base.queries()["shape_patterns"](spark, SMALL).collect()
+    get = lambda name: base.queries()[name](spark, SMALL).collect()
+    stats = {r.fight: r for r in get("concurrency_stats")}
+    chosen = {r.encounter: r.fight for r in get("representative")}
+    sizes = defaultdict(list)
+    for r in get("medoid"):
+        sizes[r.encounter].append((r.medoid, r["size"]))
+    want = set()
+    for encounter, found in sizes.items():
+        large = [f for f in found if f[1] >= 2]
+        want |= {(encounter, *f) for f in large or found if large or f[0] == chosen[encounter]}
+    assert {(r.encounter, r.pattern, r.pulls) for r in rows} == want
+    assert {r.encounter for r in rows} == set(chosen)
+    assert any(not stats[r.pattern].constant for r in rows)
+    assert all(stats[r.pattern].constant for r in rows if r.label.endswith("throughout"))
+    # one fight of each cluster: all pulls differ, so each encounter has its representative alone
+    ev = fights.events(spark, SMALL).where(F.col("fight").isin([f for found in sizes.values() for f, _ in found]))
+    spark.read.parquet(f"{SMALL}/events.parquet").join(ev.select("event_id"), "event_id", "left_semi").write.parquet(f"{tmp_path}/events.parquet")
+    alone = base.queries()["shape_patterns"](spark, str(tmp_path)).collect()
+    lone = {r.encounter: r.fight for r in base.queries()["representative"](spark, str(tmp_path)).collect()}
+    assert {r.encounter: r.pattern for r in alone} == lone and {r.pulls for r in alone} == {1} and set(lone) == set(sizes)
