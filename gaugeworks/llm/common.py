@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,16 +50,14 @@ def semi_join(rows: DataFrame, keys: DataFrame, key: str, most: int = 1_000_000)
 
 
 def slices(batch: pa.RecordBatch, text: str, most_bytes: int = 4_000_000) -> Iterator[pa.RecordBatch]:
-    """Consecutive parts of a batch with about most_bytes of text each; a longer text gets a part of its own."""
-    sizes = [len(x) if x is not None else 0 for x in batch.column(text).cast(pa.large_binary()).to_pylist()]
-    start, held = 0, 0
-    for i, n in enumerate(sizes):
-        if held and held + n > most_bytes:
-            yield batch.slice(start, i - start)
-            start, held = i, 0
-        held += n
-    if start < len(sizes):
-        yield batch.slice(start)
+    """Consecutive parts of a batch with at most most_bytes of text each; a longer text gets a part of its own."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    start = 0
+    while start < len(ends):
+        done = ends[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(ends, done + most_bytes, side="right")))
+        yield batch.slice(start, end - start)
+        start = end
 
 
 def raw_texts(batch: pa.RecordBatch, text: str) -> list[bytes]:

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from gaugeworks.llm.common import is_held_out, pick, slices
 
-DIMENSIONS, ORDER, TRAIN_ROWS, SEED, BLOCK = 1024, 3, 20_000, 7, 2048
+DIMENSIONS, ORDER, TRAIN_ROWS, SEED, BLOCK, CELLS = 1024, 3, 20_000, 7, 1024, 1 << 20
 UNKNOWN = "und"
 
 
@@ -49,18 +49,30 @@ def letters(text: str) -> np.ndarray:
 
 
 class Letters:
-    """Vectors of letters, drawn when first met."""
-
-    def __init__(self, dimensions: int = DIMENSIONS, order: int = ORDER):
-        self.order, self.known = order, {}
-        self.rows = np.zeros((0, dimensions), np.float32)
-
-    def _row(self, letter: int) -> int:
-        if letter not in self.known:
-            bits = np.random.default_rng([SEED, letter]).integers(0, 2, self.rows.shape[1])
-            self.known[letter] = len(self.rows)
-            self.rows = np.vstack([self.rows, (2 * bits - 1).astype(np.float32)])
-        return self.known[letter]
+    """Vectors of letters in each of their rotations, drawn when first met. Beyond `most` letters all are forgotten
+    and drawn again from their code points: 12 MB at most, or what one text's own letters take."""
+
+    def __init__(self, dimensions: int = DIMENSIONS, order: int = ORDER, most: int = 4096):
+        self.order, self.most, self.known = order, most, {}
+        self.table = np.zeros((64, order, dimensions), np.int8)
+
+    def _rows(self, alphabet: list[int]) -> np.ndarray:
+        """(letters, rotations, dimensions)."""
+        new = [c for c in alphabet if c not in self.known]
+        if len(self.known) + len(new) > self.most:
+            self.known, new = {}, alphabet
+            self.table = self.table[: self.most].copy() if len(self.table) > self.most else self.table
+        need = len(self.known) + len(new)
+        if need > len(self.table):
+            grown = np.zeros((max(need, 2 * len(self.table)), *self.table.shape[1:]), np.int8)
+            grown[: len(self.known)] = self.table[: len(self.known)]
+            self.table = grown
+        for c in new:
+            row = (2 * np.random.default_rng([SEED, c]).integers(0, 2, self.table.shape[2]) - 1).astype(np.int8)
+            at = self.known[c] = len(self.known)
+            for k in range(self.order):
+                self.table[at, k] = np.roll(row, k)
+        return self.table[[self.known[c] for c in alphabet]]
 
     def bundle(self, text: str) -> np.ndarray | None:
         """The sum of the text's n-gram vectors; None if it has no letter."""
@@ -70,24 +82,31 @@ class Letters:
         while len(points) < self.order:
             points = np.r_[points, 0]
         alphabet, at = np.unique(points, return_inverse=True)
-        rows = [self._row(int(c)) for c in alphabet]
-        vectors = self.rows[rows]
+        vectors = self._rows(alphabet.tolist())
         a = len(alphabet)
+        if a <= 256:
+            vectors = vectors.astype(np.float32)
         n = len(points) - self.order + 1
         tail = np.zeros(n, np.int64)  # all letters of an n-gram but its first
         for k in range(1, self.order):
             tail = tail * a + at[k : k + n]
         tails, which = np.unique(tail, return_inverse=True)
-        turned = [np.roll(vectors, k, axis=1) for k in range(self.order)]
-        total = np.zeros(vectors.shape[1], np.float64)
-        for lo in range(0, len(tails), BLOCK):
-            rest = tails[lo : lo + BLOCK]
-            here = (which >= lo) & (which < lo + BLOCK)
-            counts = np.bincount((which[here] - lo) * a + at[:n][here], minlength=len(rest) * a).reshape(len(rest), a)
+        order = np.argsort(which, kind="stable")
+        ends = np.cumsum(np.bincount(which))
+        block = max(16, min(BLOCK, CELLS // a))
+        total = np.zeros(vectors.shape[2], np.float64)
+        for lo in range(0, len(tails), block):
+            rest = tails[lo : lo + block]
+            here = order[ends[lo - 1] if lo else 0 : ends[lo + len(rest) - 1]]
             # binding is distributive: n-grams with one tail are bundled before their first letters are bound to it
-            bound = counts.astype(np.float32) @ turned[-1]
+            if a > 256 and 8 * len(here) < len(rest) * a and len(here) <= 1 << 14:  # a large alphabet: few letters go before a tail
+                begins = np.flatnonzero(np.r_[True, which[here[1:]] != which[here[:-1]]])
+                bound = np.add.reduceat(vectors[at[here], -1], begins, axis=0, dtype=np.int32).astype(np.float32)
+            else:
+                counts = np.bincount((which[here] - lo) * a + at[here], minlength=len(rest) * a).reshape(len(rest), a)
+                bound = counts.astype(np.float32) @ vectors[:, -1].astype(np.float32, copy=False)
             for k in range(self.order - 1):
-                bound *= turned[k][rest % a]
+                bound *= vectors[rest % a, k]
                 rest = rest // a
             total += bound.sum(0, dtype=np.float64)
         return total
@@ -136,6 +155,12 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     return {lang: _unit(_unit(x) - mean) for lang, x in sorted(found.items())}
 
 
+def noise(dimensions: int = DIMENSIONS, deviations: float = 3.3) -> float:
+    """A cosine that a text in none of the learned languages seldom reaches: its vector lies at random to theirs,
+    and such cosines have a standard deviation of 1 / sqrt(dimensions)."""
+    return deviations / dimensions**0.5
+
+
 def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, *keep, lang_pred, score): the nearest language of each whole text and its cosine, 0 to 1.
 

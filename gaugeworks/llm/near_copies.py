@@ -1,53 +1,40 @@
-"""Near copies by the Jaccard similarity of their five-word shingles, exact for every pair that is retrieved.
-
-Texts get BANDS MinHash bands of ROWS values each. A pair at LEAST = 0.8 shares a band but for a chance of
-(1 - 0.8 ** 5) ** 32 < 4e-6. Pairs that share one are verified on their whole sets of shingles.
-
-No bucket's pairs are listed at once. In each round the members of a bucket are compared with a few centres
-of it; what is near goes, centres that were compared with all are done, and the rest meets again in the next
-round, until no bucket holds two. So a large group of near copies costs a comparison or few for each member.
+"""Near copies: SimHash retrieval over wide fingerprints, then the exact Jaccard similarity of five-word shingles.
+
+A text's fingerprint has BITS = 256 bits over its distinct shingles. Two texts with a similarity of 0.8 have a cosine
+of at least 2 * 0.8 / 1.8, so that each bit differs with a chance of at most 1 - SAME = 0.152; LIMIT lies three
+standard deviations above the mean. No choice of whole blocks finds all pairs that far apart at a bearable price, so
+buckets are cut by masks of random bits: as many masks as leave a pair at 0.8 out of every bucket with a chance of
+MISS. Inside a bucket the search is the Gray-order index of simhash.py, which is exact. Texts that its links connect
+are a group.
+
+Groups are verified on whole sets of shingles. No group's pairs are listed at once: in each round its members are
+compared with a few centres of it; what is near goes, centres that were compared with all are done, and the rest
+meets again in the next round, with eight times as many centres, until no group holds two.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import ceil, log, log1p, log2
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaugeworks.llm.common import join_by_group, raw_texts, semi_join, slices
+from gaugeworks.llm import simhash
+from gaugeworks.llm.common import join_by_group, pick, raw_texts, semi_join, slices
 from gaugeworks.llm.components import components
-from gaugeworks.llm.simhash import _shingle_hashes
-from gaugeworks.llm.words import BASE
 from gaugeworks.session import checkpointed
 
-WORDS, BANDS, ROWS, CENTRES = 5, 32, 5, 8
-
-_rng = np.random.default_rng(17)
-FACTORS = _rng.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-OFFSETS = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
+WORDS, NUMBERS, LIMIT, SAME, MISS, MOST_CENTRES = 5, 4, 56, 0.848, 0.01, 512
+BITS = 64 * NUMBERS
+FPS = tuple(f"fp{k}" for k in range(NUMBERS))
 
 
 def shingles(text: bytes) -> np.ndarray:
     """The sorted distinct hashes of a text's runs of WORDS words, A-Z lowered."""
-    return np.unique(np.array(_shingle_hashes(text, WORDS), np.uint64))
-
-
-def buckets(held: np.ndarray, block: int = 4096) -> np.ndarray:
-    """One number for each band; none for a text without words."""
-    if not len(held):
-        return np.zeros(0, np.int64)
-    least = np.full(BANDS * ROWS, 1 << 32, np.uint64)
-    for at in range(0, len(held), block):
-        slots = (held[None, at : at + block] * FACTORS[:, None] + OFFSETS[:, None]) >> np.uint64(32)
-        np.minimum(least, slots.min(1), out=least)
-    out = np.arange(1, BANDS + 1, dtype=np.uint64)
-    for row in least.reshape(BANDS, ROWS).T:
-        out = (out ^ row) * BASE
-        out ^= out >> np.uint64(29)
-    return out.view(np.int64)
+    return np.unique(np.array(simhash._shingle_hashes(text, WORDS), np.uint64))
 
 
 def is_near(a: bytes, b: bytes) -> bool:
@@ -59,19 +46,72 @@ def is_near(a: bytes, b: bytes) -> bool:
     return 5 * both >= 4 * (len(x) + len(y) - both)
 
 
-def row_key() -> Column:
+def row_key(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Column:
     """A number of a row's id and text, so that rows are told apart where ids are null or repeat."""
-    return F.xxhash64("doc_id", "text")
+    return F.xxhash64(docs[id_col], docs[text_col])
+
+
+def random_masks(n: int, miss: float = MISS) -> list[list[int]]:
+    """Masks of random bits, each as NUMBERS signed numbers, for n fingerprints.
+
+    Wider masks make smaller buckets, but take more of them: a mask of w bits holds a pair with a chance of SAME ** w.
+    The width is that of least cost, if a shuffled row costs as much as 200 comparisons. Any width has the same `miss`.
+    """
+    cost = lambda w: (1 + n / 2**w / 200) / SAME**w
+    width = min(range(8, 41), key=cost)
+    count = ceil(log(miss) / log1p(-(SAME**width)))
+    draw = np.random.default_rng(17)
+    out = []
+    for _ in range(count):
+        bits = [int(b) for b in draw.choice(BITS, width, replace=False)]
+        out.append([simhash._signed(sum(1 << (b % 64) for b in bits if b // 64 == k)) for k in range(NUMBERS)])
+    return out
 
 
-def _members(rows: DataFrame) -> DataFrame:
+def _bits_apart(c: Column) -> Column:
+    """The number of bits in which a struct of fingerprints differs from those of the row."""
+    total = F.lit(0)
+    for f in FPS:
+        total = total + F.bit_count(c[f].bitwiseXOR(F.col(f)))
+    return total
+
+
+def _fingerprinted(rows: DataFrame) -> DataFrame:
+    """(node, doc_id, *FPS) of the rows that have a word."""
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                found = [buckets(shingles(t)) for t in raw_texts(part, "text")]
-                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(found, pa.list_(pa.int64()))], ["node", "buckets"])
+                held = [shingles(t) for t in raw_texts(part, "text")]
+                found = np.array([simhash._fingerprint(h, NUMBERS) for h in held])
+                has = pa.array([len(h) > 0 for h in held])
+                columns = [part.column("node"), part.column("doc_id"), *(pa.array(found[:, k]) for k in range(NUMBERS))]
+                yield pa.RecordBatch.from_arrays(columns, ["node", "doc_id", *FPS]).filter(has)
 
-    return rows.select("node", "text").mapInArrow(work, "node long, buckets array<long>").select("node", F.explode("buckets").alias("bucket"))
+    return rows.mapInArrow(work, f"node long, doc_id {dict(rows.dtypes)['doc_id']}, " + ", ".join(f"{f} long" for f in FPS))
+
+
+def link_edges(nodes: DataFrame, limit: int = LIMIT, bucket_rows: int = 2000) -> DataFrame:
+    """Edges (u, v) over nodes (node, *FPS): each connects two that share a bucket and are connected in it by pairs
+    of `limit` or fewer differing bits.
+
+    A bucket of more than bucket_rows is far more than masks that wide let meet by chance, so it is a dense group.
+    It isn't searched: all its members are linked to its smallest, without any of them meeting in one task.
+    """
+    spark = nodes.sparkSession
+    masks = random_masks(nodes.count())
+    names = [f"mask{k}" for k in range(NUMBERS)]
+    table = spark.createDataFrame([(0, k, *m) for k, m in enumerate(masks)], "cut int, nth int, " + ", ".join(f"{x} long" for x in names))
+    rows = nodes.withColumn("cut", F.lit(0)).join(F.broadcast(table), "cut")  # some hundred masks at most
+    rows = rows.select(F.xxhash64("nth", *(F.col(f).bitwiseAND(F.col(m)) for f, m in zip(FPS, names, strict=True))).alias("bucket"), "node", *FPS)
+    sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("least"))
+    large = checkpointed(sizes.where(F.col("size") > bucket_rows))
+    if large.isEmpty():
+        return simhash._bucket_edges(rows, limit, FPS)
+    members = checkpointed(semi_join(rows.select("bucket", "node"), large.select("bucket"), "bucket"))
+    star = join_by_group(members, large, "bucket", "size", members.count()).where("node <> least")
+    small = rows.join(F.broadcast(large.select("bucket")), "bucket", "left_anti")  # at most rows / bucket_rows of them
+    return simhash._bucket_edges(small, limit, FPS).union(star.select(F.col("node").alias("u"), F.col("least").alias("v")))
 
 
 def _sets(rows: DataFrame) -> DataFrame:
@@ -79,61 +119,75 @@ def _sets(rows: DataFrame) -> DataFrame:
         for batch in batches:
             for part in slices(batch, "text"):
                 found = [shingles(t).tobytes() for t in raw_texts(part, "text")]
-                yield pa.RecordBatch.from_arrays([part.column("node"), part.column("doc_id"), pa.array(found, pa.binary())], ["node", "doc_id", "held"])
+                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(found, pa.binary())], ["node", "held"])
 
-    return rows.select("node", "doc_id", "text").mapInArrow(work, f"node long, doc_id {dict(rows.dtypes)['doc_id']}, held binary")
+    return rows.select("node", "text").mapInArrow(work, "node long, held binary")
 
 
 def _near(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (node, centre) that are near. A node has few centres, but a centre may have many nodes."""
+    """The pairs (u, v) that are near. A node u has few partners, but v may have many."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = batch.column("held").to_pylist(), batch.column("centre_held").to_pylist()
-            keep = pa.array([is_near(x, y) for x, y in zip(a, b, strict=True)], pa.bool_())
-            yield batch.select(["node", "centre"]).filter(keep)
+            for part in slices(batch, "held"):
+                a, b = part.column("held").to_pylist(), part.column("v_held").to_pylist()
+                keep = pa.array([is_near(x, y) for x, y in zip(a, b, strict=True)], pa.bool_())
+                yield part.select(["u", "v"]).filter(keep)
 
-    counts = checkpointed(pairs.groupBy("centre").count())
-    groups = counts.join(sets.select(F.col("node").alias("centre"), F.col("held").alias("centre_held")), "centre")
-    met = join_by_group(pairs.join(sets.select("node", "held"), "node"), groups, "centre", "count", pairs.count())
-    return met.select("node", "centre", "held", "centre_held").mapInArrow(work, "node long, centre long")
+    counts = checkpointed(pairs.groupBy("v").count())
+    groups = counts.join(sets.select(F.col("node").alias("v"), F.col("held").alias("v_held")), "v")
+    met = join_by_group(pairs.join(sets.select(F.col("node").alias("u"), "held"), "u"), groups, "v", "count", pairs.count())
+    return met.select("u", "v", "held", "v_held").mapInArrow(work, "u long, v long")
 
 
-def _gone(edges: DataFrame, sets: DataFrame) -> DataFrame:
+def _gone(edges: DataFrame, ids: DataFrame) -> DataFrame:
     """(node): all but the row of the smallest id of each group that the edges connect. Null ids come last."""
     found = components(edges)
-    found = checkpointed(found.union(found.select("component", "component").distinct()).join(sets.select("node", "doc_id"), "node"))
+    found = checkpointed(found.union(found.select("component", "component").distinct()).join(ids, "node"))
     first = F.min_by("node", F.struct(F.col("doc_id").isNull(), "doc_id", "node"))
     stays = checkpointed(found.groupBy("component").agg(first.alias("stays"), F.count(F.lit(1)).alias("size")))
     return join_by_group(found.select("node", "component"), stays, "component", "size", found.count()).where("node <> stays").select("node")
 
 
-def near_copies(docs: DataFrame) -> DataFrame:
-    """(node): the row_key() of each row that goes, so that no two texts of those that stay are near.
+def groups_of(docs: DataFrame) -> DataFrame:
+    """(node, doc_id, grp, *FPS) of every row (node, doc_id, text) that a link, or an equal fingerprint, connects
+    with another; grp names the group."""
+    fps = checkpointed(_fingerprinted(docs).dropDuplicates(["node"]).withColumn("fp", F.xxhash64(*FPS)))
+    kinds = checkpointed(fps.groupBy("fp").agg(F.min(F.struct("node", *FPS)).alias("one"), F.count(F.lit(1)).alias("copies")))
+    found = components(link_edges(kinds.select("one.*")))
+    kinds = kinds.select("fp", "copies", F.col("one.node").alias("node")).join(found, "node", "left")
+    kinds = checkpointed(kinds.select("fp", "copies", F.coalesce("component", "node").alias("grp")))
+    members = kinds.groupBy("grp").agg(F.sum("copies").alias("members")).where("members > 1")
+    kinds = checkpointed(semi_join(kinds, checkpointed(members.select("grp")), "grp"))
+    return join_by_group(fps, kinds, "fp", "copies", fps.count()).where("grp IS NOT NULL").select("node", "doc_id", "grp", *FPS)
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, node): the id and row_key() of each row that goes, so that of the texts that stay no two of one
+    group, at LIMIT or fewer differing bits, have a similarity of 0.8 or more.
 
     A row goes only if a chain of near texts connects it with one that stays; of a connected group the row with
-    the smallest doc_id stays. Texts without words are near to none.
+    the smallest doc_id stays. Null texts and texts without words are near to none. Rows that repeat both id and
+    text share their fate. Other columns are not read. An empty table gives no rows.
     """
-    rows = docs.withColumn("node", row_key())
-    members = checkpointed(_members(rows).distinct())
-    sizes = checkpointed(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
-    active = join_by_group(members, sizes, "bucket", "size", members.count()).where("size IS NOT NULL").select("node", "bucket")
-    active = checkpointed(active)
-    sets = checkpointed(_sets(semi_join(rows, active.select("node").distinct(), "node")).dropDuplicates(["node"]))
-    out = sets.select("node").limit(0)
+    rows = pick(docs, doc_id=id_col, text=text_col).withColumn("node", F.xxhash64("doc_id", "text"))
+    active = checkpointed(groups_of(rows))
+    ids = active.select("node", "doc_id")
+    sets = checkpointed(_sets(semi_join(rows, ids.select("node"), "node")).dropDuplicates(["node"]))
+    out = ids.select("doc_id", "node").limit(0)
     parts = 1  # one centre at first: most of a large group goes by it
     while not active.isEmpty():
-        least = [F.min(F.when(F.pmod("node", F.lit(parts)) == k, F.col("node"))) for k in range(parts)]
-        centres = active.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.array_compact(F.array(*least)).alias("centres"))
-        met = join_by_group(active, checkpointed(centres.where("size > 1")), "bucket", "size", active.count()).where("size IS NOT NULL")
-        met = checkpointed(met.select("node", "bucket", "centres"))
-        # two centres meet once: the larger is the node
-        pairs = met.select("node", F.explode("centres").alias("centre"), F.array_contains("centres", F.col("node")).alias("is_centre"))
-        pairs = checkpointed(pairs.where("centre < node OR (centre > node AND NOT is_centre)").select("node", "centre").distinct())
-        edges = checkpointed(_near(pairs, sets).select(F.col("node").alias("u"), F.col("centre").alias("v")))
-        gone = checkpointed(_gone(edges, sets))
-        out = out.union(gone)
-        rest = met.where(~F.array_contains("centres", F.col("node"))).select("node", "bucket")
-        active = checkpointed(rest.join(gone, "node", "left_anti"))
-        parts = CENTRES
+        slots = active.groupBy("grp", F.pmod("node", F.lit(parts)).alias("slot")).agg(F.min(F.struct("node", *FPS)).alias("centre"), F.count(F.lit(1)).alias("n"))
+        centres = slots.groupBy("grp").agg(F.sum("n").alias("size"), F.collect_list("centre").alias("centres"))  # MOST_CENTRES at most
+        met = join_by_group(active, checkpointed(centres.where("size > 1")), "grp", "size", active.count()).where("size IS NOT NULL")
+        is_centre = F.exists("centres", lambda c: c["node"] == F.col("node"))
+        # two centres meet once: the larger is u
+        meets = lambda c: ((c["node"] < F.col("node")) | ((c["node"] > F.col("node")) & ~F.col("is_centre"))) & (_bits_apart(c) <= LIMIT)
+        met = met.withColumn("is_centre", is_centre)
+        met = checkpointed(met.select("node", "doc_id", "grp", *FPS, "is_centre", F.transform(F.filter("centres", meets), lambda c: c["node"]).alias("partners")))
+        pairs = checkpointed(met.select(F.col("node").alias("u"), F.explode("partners").alias("v")))
+        gone = checkpointed(_gone(checkpointed(_near(pairs, sets)), ids))
+        out = out.union(gone.join(ids, "node").select("doc_id", "node"))
+        active = checkpointed(met.where("NOT is_centre").select("node", "doc_id", "grp", *FPS).join(gone, "node", "left_anti"))
+        parts = min(parts * 8, MOST_CENTRES)
     return out

@@ -26,7 +26,7 @@ from gaugeworks.llm.common import raw_texts, slices
 from gaugeworks.llm.token_files import in_id_order
 from gaugeworks.llm.words import sentence_ends, word_ids
 
-SENTENCE_CUT, HARD_CUT, HARD_EVERY, SEGMENT_TOKENS = 4, 32, 64, 1 << 20
+SENTENCE_CUT, HARD_CUT, HARD_EVERY, SEGMENT_TOKENS = 4, 32, 64, 1 << 18
 
 
 def cut_points(doc_ends: np.ndarray, sentence_at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -8,7 +8,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import corpus_pipeline
 from gaugeworks.llm import (
     decontamination,
     exact_dedup,
@@ -64,6 +63,7 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An index of its own for each run, so that a run over the same table again gives the same rows."""
     index = exact_dedup.DigestIndex(spark, scratch_path(spark, "digest-index"), f"digests_{uuid.uuid4().hex}")
     out = index.dedup(table(spark, sf_dir, "documents"))
+    index.close()  # the rows are checkpointed
     return out.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
@@ -150,6 +150,8 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query()
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline  # at the repository's top; the other queries don't need it
+
     return corpus_pipeline.run(spark, sf_dir)
 
 

@@ -26,8 +26,7 @@ from gaugeworks.llm.common import join_by_group, pick, raw_texts, slices
 from gaugeworks.llm.components import components
 from gaugeworks.session import checkpointed
 
-SEED = 42
-ALL_BITS = (1 << 64) - 1
+SEED, MIX = 42, 0x9E3779B97F4A7C15
 
 
 # ---- fingerprints -------------------------------------------------------------------------------------------
@@ -42,14 +41,31 @@ def _shingle_hashes(text: bytes, size: int) -> list[int]:
     return [xxhash.xxh64_intdigest(x, SEED) for x in map(b" ".join, runs)]
 
 
-def _fingerprint(hashes: list[int], block: int = 1 << 16) -> int:
-    """A bit is 1 if it is set in over half of the hashes; 0 for none."""
-    ones = np.zeros(64, np.int64)
+def _ones(hashes: np.ndarray) -> np.ndarray:
+    """How often each bit is set, for hashes in rows of one or more 64-bit numbers."""
+    bits = np.unpackbits(hashes.view(np.uint8), axis=1, bitorder="little")
+    # a bit is a byte now; eight such bytes are added as one number, which 255 rows can't overflow
+    sums = np.add.reduceat(bits.view(np.uint64), np.arange(0, len(bits), 255), axis=0)
+    return sums.view(np.uint8).sum(0, dtype=np.int64)
+
+
+def _fingerprint(hashes: list[int] | np.ndarray, words: int = 1, block: int = 1 << 14) -> np.ndarray:
+    """`words` signed 64-bit numbers, of which a bit is 1 if it is set in over half of the hashes; 0 for none.
+
+    The first number is of the hashes themselves. Each further one is of the hashes times an odd number, mixed.
+    """
+    ones = np.zeros(64 * words, np.int64)
     for at in range(0, len(hashes), block):
         part = np.array(hashes[at : at + block], "<u8")
-        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    bits = np.packbits((2 * ones > len(hashes)), bitorder="little")
-    return int(bits.view("<i8")[0])
+        wide = np.empty((len(part), words), "<u8")
+        wide[:, 0] = part
+        for k in range(1, words):
+            mixed = part * np.uint64(pow(MIX, k, 1 << 64))
+            mixed ^= mixed >> np.uint64(32)
+            mixed *= np.uint64(MIX)
+            wide[:, k] = mixed ^ (mixed >> np.uint64(29))
+        ones += _ones(wide)
+    return np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4) -> DataFrame:
@@ -58,7 +74,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                fps = [_fingerprint(_shingle_hashes(t, words)) for t in raw_texts(part, "text")]
+                fps = [_fingerprint(_shingle_hashes(t, words))[0] for t in raw_texts(part, "text")]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fps, pa.int64())], ["doc_id", "fp"])
 
     rows = pick(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
@@ -110,17 +126,24 @@ def gray_rank(fp: Column) -> Column:
 # ---- search inside buckets ----------------------------------------------------------------------------------
 
 
+def _differing(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Differing bits of each pair of fingerprints, which are rows of one or more numbers."""
+    bits = np.bitwise_count(x ^ y)
+    return bits[:, 0] if bits.shape[1] == 1 else bits.sum(1, dtype=np.int32)
+
+
 class _Level:
     """Nodes over consecutive children: the bits that all members share, and their pattern."""
 
     def __init__(self, starts: np.ndarray, ends: np.ndarray, low: np.ndarray, high: np.ndarray):
         self.starts, self.ends = starts, ends
-        self.low = np.bitwise_and.reduceat(low, starts)
-        self.high = np.bitwise_or.reduceat(high, starts)
+        self.low = np.bitwise_and.reduceat(low, starts, axis=0)
+        self.high = np.bitwise_or.reduceat(high, starts, axis=0)
         self.same = ~(self.low ^ self.high)
 
     def near(self, i: np.ndarray, j: np.ndarray, limit: int) -> np.ndarray:
-        return np.bitwise_count((self.low[i] ^ self.low[j]) & self.same[i] & self.same[j]) <= limit
+        both = self.same[i] & self.same[j]
+        return _differing(self.low[i] & both, self.low[j] & both) <= limit
 
 
 def _nodes(bucket_of: np.ndarray, fan: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -162,8 +185,9 @@ def _merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
 
 def linked(bucket: np.ndarray, fp: np.ndarray, limit: int, page: int = 16, chunk: int = 1 << 16) -> np.ndarray:
     """For members sorted by (bucket, Gray rank): the position of the first member that each is connected to
-    by links inside its bucket. fp is unsigned."""
+    by links inside its bucket. fp holds unsigned numbers, or rows of them."""
     n = len(fp)
+    fp = fp.reshape(n, -1)
     label = np.arange(n)
     leaf_start, leaf_end, leaf_bucket = _nodes(bucket, page)
     top_start, top_end, top_bucket = _nodes(leaf_bucket, page)
@@ -186,7 +210,9 @@ def linked(bucket: np.ndarray, fp: np.ndarray, limit: int, page: int = 16, chunk
             a, b = a[keep], b[keep]
             for r, s in _chunks((leaf_end - leaf_start)[a] * (leaf_end - leaf_start)[b], chunk * 8):
                 x, y = _pairs_below(a[r:s], b[r:s], leaf_start, leaf_end)
-                keep = (x < y) & (np.bitwise_count(fp[x] ^ fp[y]) <= limit)
+                open_ = (x < y) & (label[x] != label[y])
+                x, y = x[open_], y[open_]
+                keep = _differing(fp[x], fp[y]) <= limit
                 _merge(label, x[keep], y[keep])
     return label
 
@@ -202,40 +228,42 @@ def _chunks(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
         at = to
 
 
-def _whole_buckets(batches: Iterator[pa.RecordBatch], least: int = 200_000) -> Iterator[tuple[np.ndarray, ...]]:
-    """(bucket, fp, node) of about `least` rows or more at a time, never with a part of a bucket."""
+def _whole_buckets(batches: Iterator[pa.RecordBatch], fields: list[str], least: int = 200_000) -> Iterator[list[np.ndarray]]:
+    """The fields of about `least` rows or more at a time, never with a part of a bucket. fields[0] is the bucket."""
     held: list[pa.RecordBatch] = []
     rows = 0
 
     def arrays(parts):
-        return tuple(np.concatenate([b.column(c).to_numpy(zero_copy_only=False) for b in parts]) for c in ("bucket", "fp", "node"))
+        return [np.concatenate([b.column(c).to_numpy(zero_copy_only=False) for b in parts]) for c in fields]
 
     for batch in batches:
         if batch.num_rows:
             held.append(batch)
             rows += batch.num_rows
         if rows >= least:
-            bucket, fp, node = arrays(held)
+            columns = arrays(held)
+            bucket = columns[0]
             cut = int(np.flatnonzero(bucket != bucket[-1])[-1]) + 1 if bucket[0] != bucket[-1] else 0
             if cut:
-                yield bucket[:cut], fp[:cut], node[:cut]
-            rest = pa.RecordBatch.from_arrays([pa.array(x[cut:]) for x in (bucket, fp, node)], ["bucket", "fp", "node"])
+                yield [x[:cut] for x in columns]
+            rest = pa.RecordBatch.from_arrays([pa.array(x[cut:]) for x in columns], fields)
             held, rows = [rest], rest.num_rows
     if rows:
         yield arrays(held)
 
 
-def _bucket_edges(rows: DataFrame, limit: int) -> DataFrame:
-    """Edges (u, v) that connect each bucket's members exactly as their links do: at most one per member."""
+def _bucket_edges(rows: DataFrame, limit: int, fps: tuple[str, ...] = ("fp",)) -> DataFrame:
+    """Edges (u, v) that connect each bucket's members exactly as their links do: at most one per member.
+    A wide fingerprint is sorted by the Gray rank of its first number."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bucket, fp, node in _whole_buckets(batches):
-            label = linked(bucket, fp.view(np.uint64), limit)
+        for bucket, node, *words in _whole_buckets(batches, ["bucket", "node", *fps]):
+            label = linked(bucket, np.stack(words, axis=1).view(np.uint64), limit)
             moved = np.flatnonzero(label != np.arange(len(label)))
             yield pa.RecordBatch.from_arrays([pa.array(node[moved]), pa.array(node[label[moved]])], ["u", "v"])
 
-    dealt = rows.repartition("bucket").sortWithinPartitions("bucket", gray_rank(F.col("fp")))
-    return dealt.select("bucket", "fp", "node").mapInArrow(work, "u long, v long")
+    dealt = rows.repartition("bucket").sortWithinPartitions("bucket", gray_rank(F.col(fps[0])))
+    return dealt.select("bucket", "node", *fps).mapInArrow(work, "u long, v long")
 
 
 def _cut(rows: DataFrame, cuts: dict[int, list[int]]) -> DataFrame:

@@ -25,45 +25,49 @@ def _byte_letters() -> dict[int, str]:
 
 
 class WordIds(dict):
-    """Little-endian unsigned 32-bit ids of UTF-8 words. Of recent words, `most` to twice as many are kept."""
+    """Little-endian unsigned 32-bit ids of UTF-8 words. Of recent words, `most` to twice as many are kept, and of
+    their stems `most` at most: some 60 MB a worker, however many words a corpus has."""
 
-    def __init__(self, path: str, most: int = 350_000):
+    def __init__(self, path: str, most: int = 200_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
         self.older: dict[bytes, bytes] = {}
-        self.stems: dict[bytes, bytes] = {}
+        self.stems: dict[str, bytes] = {}
         self.written = _byte_letters()
         if self._encode("a b\n c") != self._encode("a") + self._encode("b") + self._encode("c"):
             raise ValueError("the tokenizer keeps white space; its texts can't be encoded word by word")
         # whether plain words skip the normalizer and the splitter: case is folded, and bytes are written as letters
         tests = ("q", "über", "straße", "niño", "tokenization", "éàç")
-        self.direct = self._encode("Q") == self._encode("q") and all(self._model(t.encode()) == self._encode(t) for t in tests)
+        self.direct = self._encode("Q") == self._encode("q") and all(self._model(t) == self._encode(t) for t in tests)
+        self.closing = {c: self._model(c) for c in CLOSING} if self.direct else {}
 
     def _encode(self, word: str) -> bytes:
         return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
 
-    def _model(self, word: bytes) -> bytes:
-        return array("I", [t.id for t in self.tokenizer.model.tokenize(word.decode("latin-1").translate(self.written))]).tobytes()
+    def _model(self, word: str) -> bytes:
+        # ASCII letters are written as they are
+        written = word if word.isascii() else word.encode().decode("latin-1").translate(self.written)
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(written)]).tobytes()
 
-    def _stem(self, word: bytes) -> bytes:
-        ids = self.stems.get(word)
-        if ids is None:
-            if len(self.stems) >= self.most:
-                self.stems.clear()
-            ids = self.stems[word] = self._model(word)
+    def _stem(self, word: str) -> bytes:
+        if len(self.stems) >= self.most:
+            self.stems.clear()
+        ids = self.stems[word] = self._model(word)
         return ids
 
     def __missing__(self, word: bytes) -> bytes:
         ids = self.older.get(word)
         if ids is None:
             text = word.decode()
-            stem = text[:-1] if len(text) > 1 and text[-1] in CLOSING else text
+            sign = self.closing.get(text[-1]) if len(text) > 1 else None
+            stem = text if sign is None else text[:-1]
             # letters up to ÿ lower-case alike everywhere and are composed already; a sign after one stands alone
-            if self.direct and stem.isalpha() and max(stem) <= "ÿ":
-                ids = self._stem(stem.lower().encode())
-                if stem is not text:
-                    ids += self._stem(text[-1].encode())
+            if self.direct and stem.isalpha() and (stem.isascii() or max(stem) <= "ÿ"):
+                low = stem.lower()
+                ids = self.stems.get(low) or self._stem(low)
+                if sign is not None:
+                    ids += sign
             else:
                 ids = self._encode(text)
         if len(self) >= self.most:
@@ -91,9 +95,10 @@ def sentence_ends(path: str) -> np.ndarray:
 
 
 class WordHashes(dict):
-    """A 64-bit hash of each word of a text, lower-cased and without ASCII signs. Forgets all at `most` words."""
+    """A 64-bit hash of each word of a text, lower-cased and without ASCII signs. Forgets all at `most` words, some
+    20 MB a worker."""
 
-    def __init__(self, most: int = 500_000):
+    def __init__(self, most: int = 120_000):
         self.most = most
 
     def __missing__(self, word: bytes) -> int:

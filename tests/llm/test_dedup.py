@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from gaugeworks.llm import exact_dedup, queries, simhash
+from gaugeworks.llm import exact_dedup, near_copies, queries, simhash
 from gaugeworks.llm.components import components
 from tests.llm.helpers import closure
 
@@ -116,3 +116,37 @@ def test_index_keeps_what_came_before(spark):
     got = {(r.doc_id, r.keep_id, r.kept, r.group_size) for r in again.dedup(rows((1, "x"), (2, "z"), (3, "z"))).collect()}
     assert got == {(1, 5, False, 1), (2, 2, True, 2), (3, 2, False, 2)}
     assert again.entries().count() == 3
+
+
+def test_named_batch_gives_the_same_rows_again_after_a_failure(spark, monkeypatch):
+    rows = lambda *x: spark.createDataFrame([(i, t, None, None, None) for i, t in x], DOCS)
+    path = f"{spark.conf.get('spark.checkpoint.dir')}/again"
+    index = exact_dedup.DigestIndex(spark, path, "again_name", 4)
+    index.dedup(rows((5, "x"), (7, "y")), batch="a").collect()
+    batch = rows((1, "x"), (2, "z"), (3, "z"), (4, "u"))
+    want = {(1, 5, False, 1), (2, 2, True, 2), (3, 2, False, 2), (4, 4, True, 1)}
+    result = lambda: {(r.doc_id, r.keep_id, r.kept, r.group_size) for r in index.dedup(batch, batch="b").collect()}
+    with monkeypatch.context() as patched:  # the driver is lost after the append, before the rows are used
+        patched.setattr(exact_dedup, "join_by_group", lambda *_: (_ for _ in ()).throw(RuntimeError("lost")))
+        with pytest.raises(RuntimeError):
+            result()
+    assert result() == want and result() == want
+    assert index.entries().count() == 4
+    assert {(r.doc_id, r.keep_id, r.kept) for r in index.dedup(rows((9, "u"))).collect()} == {(9, 4, False)}
+    small = index.compacted(path + "-compact", "compact_name")
+    assert sorted(map(tuple, small.entries().collect())) == sorted(map(tuple, index.entries().collect()))
+    assert len({r.f for r in small.entries().selectExpr("input_file_name() f").collect()}) <= 4
+    index.close(), small.close()
+    assert not spark.catalog.tableExists("again_name")
+
+
+def test_wide_masks_meet_pairs_at_the_threshold():
+    draw = np.random.default_rng(8)
+    for n in (100, 10**5, 10**7):
+        masks = np.array(near_copies.random_masks(n), np.int64).view(np.uint64)
+        met = 0
+        for _ in range(300):
+            bits = draw.random(near_copies.BITS) > near_copies.SAME
+            diff = np.packbits(bits, bitorder="little").view(np.uint64)
+            met += bool((masks & diff == 0).all(1).any())
+        assert met >= 280

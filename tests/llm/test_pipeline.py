@@ -3,11 +3,14 @@ import re
 from collections import Counter, defaultdict
 
 import public_tokenizers
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
 from gaugeworks.llm import language_id
-from tests.llm.test_dedup import DOCS, ODD, plain_components, plain_fingerprint
+from gaugeworks.llm.common import is_held_out
+from tests.llm.helpers import closure
+from tests.llm.test_dedup import DOCS, ODD
 from tests.llm.test_text_ops import words_of
 from tests.llm.test_tokens import crc
 
@@ -22,7 +25,7 @@ def plain_run(spark, docs):
     for i in sorted(left):
         first.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", left[i]), i)
     left = {i: left[i] for i in first.values()}
-    groups = plain_components({i: plain_fingerprint(t) for i, t in left.items()})
+    groups = closure(left, near_pairs({i: shingle_set(t) for i, t in left.items()}))
     left = {i: t for i, t in left.items() if groups[i] == i}
     whole = lambda doc, item: any(doc[k : k + len(item)] == item for k in range(len(doc) - len(item) + 1))
     return {i: t for i, t in left.items() if not any(whole(words_of(t), item) for item in items)}
@@ -53,6 +56,45 @@ def test_stages_keep_clean_rows_and_columns(spark):
     assert sorted(r.doc_id for r in left) == [5001, 5003, 5004, 5005, 5006, 5008, 5009]
 
 
+CLASHES = "score lang_pred text_digest gone_id fp digest item_id node grp kept_0 key batch ids start held bucket".split()
+
+
+def test_columns_of_any_name_come_through_every_stage(spark):
+    known = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 60")
+    odd = known
+    for k, name in enumerate(CLASHES):
+        odd = odd.withColumn(name, F.concat(F.lit(f"{k}:"), F.col("doc_id")))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, odd, SF)
+        assert out.columns == odd.columns, name
+        rows = out.collect()
+        assert rows and all(r[c] == f"{k}:{r.doc_id}" for r in rows for k, c in enumerate(CLASHES)), name
+        assert {r.doc_id for r in rows} == {r.doc_id for r in stage(spark, known, SF).collect()}, name
+    pack = corpus_pipeline.STAGES[-1][1]
+    assert sorted(map(tuple, pack(spark, odd, SF).drop("sequence_id").collect())) == sorted(map(tuple, pack(spark, known, SF).drop("sequence_id").collect()))
+
+
+def test_language_stage_drops_other_languages_and_texts_of_none(spark):
+    known = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    greek = "η γρήγορη καφέ αλεπού πηδά πάνω από το τεμπέλικο σκυλί και φεύγει μακριά από το δάσος "
+    finnish = "kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan heille on annettu järki "
+    digits = "12 34 !? 56 -- 78 " * 9
+    made = spark.createDataFrame([(9001, greek * 5, None, None, None), (9002, finnish * 4, None, None, None), (9003, digits, None, None, None), (9004, None, None, None, None)], DOCS)
+    docs = known.unionByName(made)
+    left = corpus_pipeline.identify_language(spark, docs, SF)
+    assert left.where("doc_id > 9000").count() == 0
+    only = corpus_pipeline.identify_language(spark, docs, SF, languages=("en", "fr")).groupBy("lang").count().collect()
+    assert {r.lang for r in only} == {"en", "fr"} and sum(r["count"] for r in only) == known.where("lang IN ('en', 'fr')").count()
+
+
+def test_noise_bar_keeps_held_out_texts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    scored = language_id.predict(docs, language_id.learn(docs), keep=("text", "lang"))
+    unseen = scored.where(is_held_out() & (F.length("text") >= corpus_pipeline.LEAST_CHARACTERS)).where("lang_pred = lang")
+    low, n = unseen.where(F.col("score") < language_id.noise()).count(), unseen.count()
+    assert n > 2000 and low <= n / 1000
+
+
 def test_language_stage_keeps_every_text_with_letters_of_a_known_language(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     gone = docs.join(corpus_pipeline.identify_language(spark, docs, SF), "doc_id", "left_anti").collect()
@@ -66,8 +108,7 @@ def test_near_stage_leaves_no_two_texts_of_five_word_similarity_of_four_fifths(s
     # 50 near copies of one text, each with another last word; two rows of one id, of which one is near; null ids
     made = [(9000 + k, " ".join(base[:59] + [f"x{k}"])) for k in range(50)]
     made += [(8000, " ".join(base)), (8000, "something else that is near to nothing"), (None, " ".join(base[:59] + ["y"])), (None, "a null id that is near to nothing")]
-    docs = docs.unionByName(spark.createDataFrame([(i, t, None, None, None) for i, t in made], DOCS))
-    docs = docs.localCheckpoint()
+    docs = docs.unionByName(spark.createDataFrame([(i, t, None, None, None) for i, t in made], DOCS)).checkpoint()
     left = [(r.doc_id, r.text) for r in corpus_pipeline.drop_near_copies(spark, docs, SF).select("doc_id", "text").collect()]
     texts = {(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()}
     sets = {row: shingle_set(row[1]) for row in texts}
@@ -80,6 +121,18 @@ def test_near_stage_leaves_no_two_texts_of_five_word_similarity_of_four_fifths(s
     assert {(8000, made[50][1]), (8000, made[51][1]), made[53]} <= set(left) and made[52] not in left
 
 
+def test_near_stage_finds_nine_of_ten_pairs_of_different_text(spark):
+    """Recall over pairs of 0.8 and more whose texts differ by more than white space, on the largest table."""
+    docs = corpus_pipeline.drop_exact_copies(spark, spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("text IS NOT NULL"), SF).checkpoint()
+    sets = {r.doc_id: shingle_set(r.text) for r in docs.collect()}
+    near = near_pairs(sets)
+    left = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, SF).select("doc_id").collect()}
+    caught = sum(not (a in left and b in left) for a, b in near)
+    print(f"{caught} of {len(near)} pairs")
+    assert len(near) > 40 and caught >= 0.9 * len(near)
+    assert set(sets) - left <= {i for pair in near for i in pair}
+
+
 def shingle_set(text):
     low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text)
     words = re.findall(r"[^\x20\x09-\x0D]+", low)
@@ -92,5 +145,7 @@ def near_pairs(sets):
         for x in held:
             at[x].append(row)
     for rows in at.values():
-        both.update(itertools.combinations(sorted(rows, key=repr), 2))
+        if len(rows) <= 100:  # a pair at 0.8 shares rarer shingles too
+            both.update(itertools.combinations(sorted(rows, key=repr), 2))
+    both = {(a, b): len(sets[a] & sets[b]) for a, b in both}
     return [(a, b) for (a, b), n in both.items() if n >= 0.8 * (len(sets[a]) + len(sets[b]) - n)]
