@@ -14,45 +14,61 @@ from pyspark.sql import functions as F
 from gaugeworks.llm import decontamination, exact_dedup, language_id, near_copies, packing
 from gaugeworks.session import scratch_path, table
 
-#: Below this cosine a text is near no language that was learned. Short clean texts lie well above it.
-LEAST_LANGUAGE_SCORE = 0.01
+#: Shorter texts hold too few n-grams to be told from noise: they stay if they hold a letter.
+LEAST_CHARACTERS = 60
 
 
-def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """Rows of docs but for those whose doc_id is in gone: rows that share an id share its fate. Null ids stay."""
-    return docs.join(gone.select(F.col("doc_id").alias("gone_id")).distinct(), F.col("doc_id") == F.col("gone_id"), "left_anti")
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str, languages: tuple[str, ...] | None = None) -> DataFrame:
+    """Documents of a known language, or of one of `languages` where these are named.
 
-
-def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of a known language. Those go that are null, hold no letter or are near no language."""
-    columns = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
-    scored = language_id.predict(docs, language_id.learn(docs), keep=("text", *columns))
-    return scored.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select(*docs.columns)
+    Those go that are null, hold no letter, are of another of the learned languages, or whose cosine with every
+    learned language is one that noise reaches. Texts of under LEAST_CHARACTERS characters go only by the first three
+    reasons. Very long texts are read whole. Columns may have any name; those of docs are returned as they are.
+    """
+    kept = [f"kept_{k}" for k in range(len(docs.columns))]
+    plain = docs.select(docs["doc_id"], docs["text"], *(docs[c].alias(k) for c, k in zip(docs.columns, kept, strict=True)))
+    scored = language_id.predict(plain, language_id.learn(docs), keep=("text", *kept))
+    is_known = F.col("lang_pred") != language_id.UNKNOWN
+    if languages is not None:
+        is_known &= F.col("lang_pred").isin(*languages)
+    is_near = (F.col("score") >= language_id.noise()) | (F.length("text") < LEAST_CHARACTERS)
+    return scored.where(is_known & is_near).select(*(F.col(k).alias(c) for c, k in zip(docs.columns, kept, strict=True)))
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each text. Rows that repeat an id as well as a text count as copies."""
+    """One row of each text, white space aside; null counts as empty. Rows that repeat an id as well as a text count
+    as copies. Very long texts are read whole. Columns may have any name; those of docs are returned as they are."""
     index = exact_dedup.DigestIndex(spark, scratch_path(spark, "digest-index"), f"digests_{uuid.uuid4().hex}")
-    gone = index.dedup(docs).where("NOT kept AND NOT doc_id <=> keep_id").select(F.col("doc_id").alias("gone_id"), "digest")
-    rows = docs.withColumn("text_digest", exact_dedup.text_digest(F.col("text")))
-    gone = gone.distinct()
-    rows = rows.join(gone, rows.doc_id.eqNullSafe(gone.gone_id) & (rows.text_digest == gone.digest), "left_anti")
-    return rows.dropDuplicates(["doc_id", "text_digest"]).select(*docs.columns)
+    key = F.concat_ws(":", F.col("doc_id").cast("string"), F.hex("digest")).alias("key")
+    gone = index.dedup(docs).where("NOT kept AND NOT doc_id <=> keep_id").select(key).distinct()
+    index.close()
+    names = [f"kept_{k}" for k in range(len(docs.columns))]
+    rows = docs.select(docs["doc_id"], exact_dedup.text_digest(docs["text"]).alias("digest"), *(docs[c].alias(k) for c, k in zip(docs.columns, names, strict=True)))
+    # one shuffle by key serves both the join and the rows that repeat id and text
+    left = rows.select(key, *names).join(gone.hint("merge"), "key", "left_anti").dropDuplicates(["key"])
+    return left.select(*(F.col(k).alias(c) for c, k in zip(docs.columns, names, strict=True)))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which no two have a similarity of 0.8 or more in runs of five words."""
+    """Documents of which no two of one SimHash group have a similarity of 0.8 or more in runs of five words; of near
+    copies the smallest doc_id stays. Null texts and texts without words stay. Very long texts are read whole.
+    Columns may have any name; those of docs are returned as they are."""
     gone = near_copies.near_copies(docs)
-    return docs.withColumn("node", near_copies.row_key()).join(gone, "node", "left_anti").select(*docs.columns)
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["doc_id"]) & (near_copies.row_key(docs) == gone["node"]), "left_anti")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
-    return _without(docs, decontamination.contaminated(docs, table(spark, sf_dir, "benchmark")))
+    """Documents that hold no benchmark item. Rows are told apart by id and text, so a null or repeated id does no
+    harm. Null texts hold nothing and stay. Very long texts are read whole. Columns may have any name; those of docs
+    are returned as they are."""
+    rows = docs.select(near_copies.row_key(docs).alias("node"), docs["text"].alias("text"))
+    gone = decontamination.contaminated(rows, table(spark, sf_dir, "benchmark"), id_col="node").select("doc_id").distinct()
+    return docs.join(gone, near_copies.row_key(docs) == gone["doc_id"], "left_anti")
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of 2048 tokens, with a checksum of each piece's ids."""
+    """Pieces of sequences of 2048 tokens, with a checksum of each piece's ids. Null and empty texts are the end id
+    alone; very long texts are cut; rows that repeat an id are documents of their own; other columns aren't read."""
     import public_tokenizers
 
     pieces = packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
