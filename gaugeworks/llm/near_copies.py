@@ -125,28 +125,20 @@ def _sets(rows: DataFrame) -> DataFrame:
 
 
 def _near(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (u, v) that are near. A node u has few partners, but v may have many."""
+    """(doc_id, node): `gone` of the pairs (u, v, gone) that are near. A node u has few partners, but v may have many."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "held"):
                 a, b = part.column("held").to_pylist(), part.column("v_held").to_pylist()
                 keep = pa.array([is_near(x, y) for x, y in zip(a, b, strict=True)], pa.bool_())
-                yield part.select(["u", "v"]).filter(keep)
+                yield part.select(["doc_id", "node"]).filter(keep)
 
     counts = checkpointed(pairs.groupBy("v").count())
     groups = counts.join(sets.select(F.col("node").alias("v"), F.col("held").alias("v_held")), "v")
     met = join_by_group(pairs.join(sets.select(F.col("node").alias("u"), "held"), "u"), groups, "v", "count", pairs.count())
-    return met.select("u", "v", "held", "v_held").mapInArrow(work, "u long, v long")
-
-
-def _gone(edges: DataFrame, ids: DataFrame) -> DataFrame:
-    """(node): all but the row of the smallest id of each group that the edges connect. Null ids come last."""
-    found = components(edges)
-    found = checkpointed(found.union(found.select("component", "component").distinct()).join(ids, "node"))
-    first = F.min_by("node", F.struct(F.col("doc_id").isNull(), "doc_id", "node"))
-    stays = checkpointed(found.groupBy("component").agg(first.alias("stays"), F.count(F.lit(1)).alias("size")))
-    return join_by_group(found.select("node", "component"), stays, "component", "size", found.count()).where("node <> stays").select("node")
+    kind = dict(pairs.select("gone.doc_id").dtypes)["doc_id"]
+    return met.select("gone.doc_id", "gone.node", "held", "v_held").mapInArrow(work, f"doc_id {kind}, node long").distinct()
 
 
 def groups_of(docs: DataFrame) -> DataFrame:
@@ -166,28 +158,31 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """(doc_id, node): the id and row_key() of each row that goes, so that of the texts that stay no two of one
     group, at LIMIT or fewer differing bits, have a similarity of 0.8 or more.
 
-    A row goes only if a chain of near texts connects it with one that stays; of a connected group the row with
-    the smallest doc_id stays. Null texts and texts without words are near to none. Rows that repeat both id and
-    text share their fate. Other columns are not read. An empty table gives no rows.
+    Of two near texts the one with the larger doc_id goes, a null id before all others. So a row goes only if a
+    chain of near texts with smaller and smaller ids leads to one that stays. Null texts and texts without words are
+    near to none. Rows that repeat both id and text share their fate. Other columns are not read. An empty table
+    gives no rows.
     """
     rows = pick(docs, doc_id=id_col, text=text_col).withColumn("node", F.xxhash64("doc_id", "text"))
-    active = checkpointed(groups_of(rows))
-    ids = active.select("node", "doc_id")
-    sets = checkpointed(_sets(semi_join(rows, ids.select("node"), "node")).dropDuplicates(["node"]))
-    out = ids.select("doc_id", "node").limit(0)
-    parts = 1  # one centre at first: most of a large group goes by it
-    while not active.isEmpty():
-        slots = active.groupBy("grp", F.pmod("node", F.lit(parts)).alias("slot")).agg(F.min(F.struct("node", *FPS)).alias("centre"), F.count(F.lit(1)).alias("n"))
+    rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "node").alias("rank")
+    active = checkpointed(groups_of(rows).select("node", "grp", *FPS, rank))
+    sets = checkpointed(_sets(semi_join(rows, active.select("node"), "node")).dropDuplicates(["node"]))
+    out = active.select("rank.doc_id", "node").limit(0)
+    parts = 1  # one centre at first, that of the smallest id: most of a large group goes by it
+    while True:
+        slots = active.groupBy("grp", F.pmod("node", F.lit(parts)).alias("slot")).agg(F.min(F.struct("rank", *FPS)).alias("centre"), F.count(F.lit(1)).alias("n"))
         centres = slots.groupBy("grp").agg(F.sum("n").alias("size"), F.collect_list("centre").alias("centres"))  # MOST_CENTRES at most
-        met = join_by_group(active, checkpointed(centres.where("size > 1")), "grp", "size", active.count()).where("size IS NOT NULL")
-        is_centre = F.exists("centres", lambda c: c["node"] == F.col("node"))
-        # two centres meet once: the larger is u
-        meets = lambda c: ((c["node"] < F.col("node")) | ((c["node"] > F.col("node")) & ~F.col("is_centre"))) & (_bits_apart(c) <= LIMIT)
-        met = met.withColumn("is_centre", is_centre)
-        met = checkpointed(met.select("node", "doc_id", "grp", *FPS, "is_centre", F.transform(F.filter("centres", meets), lambda c: c["node"]).alias("partners")))
-        pairs = checkpointed(met.select(F.col("node").alias("u"), F.explode("partners").alias("v")))
-        gone = checkpointed(_gone(checkpointed(_near(pairs, sets)), ids))
-        out = out.union(gone.join(ids, "node").select("doc_id", "node"))
-        active = checkpointed(met.where("NOT is_centre").select("node", "doc_id", "grp", *FPS).join(gone, "node", "left_anti"))
+        centres = checkpointed(centres.where("size > 1"))
+        if centres.isEmpty():
+            return out
+        met = join_by_group(active, centres, "grp", "size", active.count()).where("size IS NOT NULL")
+        met = met.withColumn("is_centre", F.exists("centres", lambda c: c["rank"] == F.col("rank")))
+        # two centres meet once: the one that ranks higher is u
+        meets = lambda c: ((c["rank"] < F.col("rank")) | ((c["rank"] > F.col("rank")) & ~F.col("is_centre"))) & (_bits_apart(c) <= LIMIT)
+        partner = lambda c: F.struct(c["rank"]["node"].alias("v"), F.greatest(c["rank"], F.col("rank")).alias("gone"))
+        met = checkpointed(met.select("node", "grp", *FPS, "rank", "is_centre", F.transform(F.filter("centres", meets), partner).alias("partners")))
+        pairs = checkpointed(met.select(F.col("node").alias("u"), F.explode("partners").alias("with")).select("u", "with.*"))
+        gone = checkpointed(_near(pairs, sets))
+        out = out.union(gone)
+        active = checkpointed(met.where("NOT is_centre").select("node", "grp", *FPS, "rank").join(gone.select("node"), "node", "left_anti"))
         parts = min(parts * 8, MOST_CENTRES)
-    return out

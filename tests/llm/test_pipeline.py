@@ -26,7 +26,7 @@ def plain_run(spark, docs):
         first.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", left[i]), i)
     left = {i: left[i] for i in first.values()}
     groups = closure(left, near_pairs({i: shingle_set(t) for i, t in left.items()}))
-    left = {i: t for i, t in left.items() if groups[i] == i}
+    left = {i: t for i, t in left.items() if groups[i] == i}  # no chain of this table passes a larger id
     whole = lambda doc, item: any(doc[k : k + len(item)] == item for k in range(len(doc) - len(item) + 1))
     return {i: t for i, t in left.items() if not any(whole(words_of(t), item) for item in items)}
 
