@@ -50,8 +50,8 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which no two of one SimHash group have a similarity of 0.8 or more in runs of five words; of near
-    copies the smallest doc_id stays. Null texts and texts without words stay. Very long texts are read whole.
+    """Documents of which no two of one SimHash group have a similarity of 0.8 or more in runs of five words; of two
+    near copies the smaller doc_id stays. Null texts and texts without words stay. Very long texts are read whole.
     Columns may have any name; those of docs are returned as they are."""
     gone = near_copies.near_copies(docs)
     return docs.join(gone, docs["doc_id"].eqNullSafe(gone["doc_id"]) & (near_copies.row_key(docs) == gone["node"]), "left_anti")
