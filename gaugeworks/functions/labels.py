@@ -6,16 +6,27 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+# Texts of how damage is spread over targets, and their bounds. Shares are of the number of targets.
+EVEN_AT_MOST, ALL_MAIN_SHARE, VERY_SHARE, CONCENTRATED_AT_LEAST = 1.08, 0.92, 0.6, 1.6
+SPREAD_TEXTS = {
+    "even": "Spread evenly",
+    "all": "Almost all on main target",
+    "very": "Very concentrated",
+    "concentrated": "Concentrated",
+    "slight": "Slightly favours main target",
+}
+
+
 def concentration_label(value: Column, targets: Column) -> Column:
-    """Tested in this order: near even, nearly all on one, most on one, some on one."""
-    return (
-        F.when(value.isNull(), F.lit(None).cast("string"))
-        .when(value <= 1.08, "even")
-        .when(value >= 0.92 * targets, "single")
-        .when(value >= 0.6 * targets, "focused")
-        .when(value >= 1.6, "leaning")
-        .otherwise("slight")
-    )
+    """The text of the first bound that an index meets; null for a null index."""
+    met = {
+        "even": value <= EVEN_AT_MOST,
+        "all": value >= targets * ALL_MAIN_SHARE,
+        "very": value >= targets * VERY_SHARE,
+        "concentrated": value >= CONCENTRATED_AT_LEAST,
+        "slight": value.isNotNull(),
+    }
+    return F.coalesce(*[F.when(holds, SPREAD_TEXTS[k]) for k, holds in met.items()])
 
 
 def signed_percent(ratio: Column, places: int = 1) -> Column:

@@ -16,9 +16,8 @@ from gaugeworks.operators import shapes as H
 from gaugeworks.queries.registry import query
 from gaugeworks.session import checkpointed, scratch_path, table
 
-#: Samples of a fight, as the surveyed system takes them. The SQL still takes BUCKETS.
+#: Fixed value: samples of a fight.
 SAMPLES = 60
-BUCKETS = 12
 EV = """e0 AS (SELECT *, CAST(epoch_us(ts) // 1000 AS BIGINT) AS ms FROM events),
 ev AS (SELECT event_id, user_id AS encounter, user_id * 100000 + ms // 86400000 AS fight, ms, CAST(ms % 86400000 AS DOUBLE) / 1000 AS t, event_type,
   CAST(value AS DECIMAL(18,2)) AS amount, event_id % 5 AS actor, event_id % 3 AS instance, MAX(CAST(ms % 86400000 AS DOUBLE) / 1000) OVER (PARTITION BY user_id, ms // 86400000) AS duration FROM e0)"""
@@ -29,7 +28,7 @@ STEPS = f"""{LIVES}, moves AS (SELECT fight, t, SUM(d) AS d FROM (SELECT fight,
 run AS (SELECT fight, t, CAST(SUM(d) OVER (PARTITION BY fight ORDER BY t) AS BIGINT) AS n FROM moves),
 steps AS (SELECT fight, t, n FROM (SELECT *, LAG(n) OVER (PARTITION BY fight ORDER BY t) AS b FROM run) WHERE b IS NULL OR b <> n UNION ALL SELECT fight, 0.0, 0 FROM run GROUP BY fight HAVING MIN(t) > 0),
 win AS (SELECT fight, encounter, MAX(LEAST(last, duration)) AS window_ FROM lives GROUP BY ALL)"""
-GRID = f"""{STEPS}, grid AS (SELECT fight, encounter, b AS bucket, window_ * (b + 0.5) / {BUCKETS} AS t FROM win, range({BUCKETS}) r(b)),
+GRID = f"""{STEPS}, grid AS (SELECT fight, encounter, b AS bucket, window_ * (b + 0.5) / {SAMPLES} AS t FROM win, range({SAMPLES}) r(b)),
 samples AS (SELECT g.fight, g.encounter, g.bucket, COALESCE(s.n, 0) AS n FROM grid g ASOF LEFT JOIN steps s ON g.fight = s.fight AND g.t >= s.t),
 dist AS (SELECT a.encounter, a.fight AS fight_a, b.fight AS fight_b, CAST(SUM(CASE WHEN ABS(a.n - b.n) >= 1 THEN 1 ELSE 0 END) AS DOUBLE) / COUNT(*) AS distance
   FROM samples a JOIN samples b ON a.encounter = b.encounter AND a.bucket = b.bucket AND a.fight < b.fight GROUP BY ALL)"""

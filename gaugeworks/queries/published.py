@@ -52,7 +52,7 @@ def kill_span(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {sweeps.CELLS}, c AS (SELECT build, scenario, targets, priority / dps * targets AS v FROM cells WHERE targets > 1)
-SELECT scenario, targets, CASE WHEN v IS NULL THEN NULL WHEN v <= 1.08 THEN 'even' WHEN v >= 0.92 * targets THEN 'single' WHEN v >= 0.6 * targets THEN 'focused' WHEN v >= 1.6 THEN 'leaning' ELSE 'slight' END AS label, COUNT(*) AS n FROM c GROUP BY ALL""")
+SELECT scenario, targets, CASE WHEN v IS NULL THEN NULL WHEN v <= 1.08 THEN 'Spread evenly' WHEN v >= 0.92 * targets THEN 'Almost all on main target' WHEN v >= 0.6 * targets THEN 'Very concentrated' WHEN v >= 1.6 THEN 'Concentrated' ELSE 'Slightly favours main target' END AS label, COUNT(*) AS n FROM c GROUP BY ALL""")
 def concentration_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sweeps.sweep(spark, sf_dir).where("targets > 1")
     return rows.groupBy("scenario", "targets", L.concentration_label(C.concentration(), F.col("targets")).alias("label")).agg(F.count(F.lit(1)).alias("n"))
@@ -87,8 +87,19 @@ def drawable_auras(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH RECURSIVE {fights.CLUSTERS}, both_ AS (SELECT fight_a AS fight, fight_b AS other, distance FROM dist UNION ALL SELECT fight_b, fight_a, distance FROM dist),
 s AS (SELECT c.encounter, c.cluster, c.fight, ROUND(COALESCE(SUM(b.distance), 0), 6) AS total FROM clusters c LEFT JOIN (both_ b JOIN clusters o ON o.fight = b.other) ON b.fight = c.fight AND o.cluster = c.cluster GROUP BY ALL),
 md AS (SELECT encounter, cluster, ARG_MIN(fight, (total, fight)) AS medoid, COUNT(*) AS size FROM s GROUP BY encounter, cluster),
-p AS (SELECT fight, MAX(n) AS peak FROM steps GROUP BY fight), z AS (SELECT md.*, SUM(size) OVER (PARTITION BY encounter) AS whole, SUM(CASE WHEN size >= 2 THEN size ELSE 0 END) OVER (PARTITION BY encounter) AS matched FROM md)
-SELECT z.encounter, medoid AS pattern, size AS pulls, ROUND(size / whole, 4) AS share, CASE WHEN peak = 1 THEN '1 target throughout' ELSE peak || ' targets throughout' END AS label, CAST(whole - GREATEST(matched, 1) AS BIGINT) AS unmatched FROM z JOIN p ON p.fight = medoid WHERE size >= 2""")
+x AS (SELECT *, MAX(n) OVER (PARTITION BY fight) AS peak, COALESCE(LAG(n) OVER (PARTITION BY fight ORDER BY t), -1) AS before FROM steps),
+p AS (SELECT fight, MAX(peak) AS peak, COUNT(*) FILTER (WHERE n >= peak AND before < peak) AS visits FROM x GROUP BY fight),
+sp AS (SELECT fight, n, window_, GREATEST(COALESCE(LEAD(t) OVER (PARTITION BY fight ORDER BY t), window_) - t, 0) AS span, MAX(n) OVER (PARTITION BY fight) AS peak FROM steps JOIN win USING (fight)),
+o AS (SELECT fight, CASE WHEN MAX(window_) > 0 THEN ROUND(SUM(n * span) / MAX(window_), 4) END AS mean, COALESCE(ROUND(SUM(CASE WHEN n = peak THEN span ELSE 0 END) / NULLIF(MAX(window_), 0), 4) >= 0.95, FALSE) AS constant FROM sp GROUP BY fight),
+pm AS (SELECT s.encounter, s.fight, CAST(SUM(n) AS DOUBLE) / COUNT(*) AS mean, MAX(window_) AS length FROM samples s JOIN win w ON w.fight = s.fight GROUP BY s.encounter, s.fight),
+mm AS (SELECT encounter, MEDIAN(mean) AS mm, MEDIAN(length) AS ml FROM pm GROUP BY encounter),
+rep AS (SELECT encounter, ARG_MIN(fight, (ROUND(ABS(mean - mm), 6), ROUND(ABS(length - ml), 6), fight)) AS chosen FROM pm JOIN mm USING (encounter) GROUP BY encounter),
+z AS (SELECT md.*, SUM(size) OVER (PARTITION BY encounter) AS whole, SUM(CASE WHEN size >= 2 THEN size ELSE 0 END) OVER (PARTITION BY encounter) AS matched FROM md)
+SELECT z.encounter, medoid AS pattern, size AS pulls, ROUND(size / whole, 4) AS share,
+  CASE WHEN constant AND peak = 1 THEN '1 target throughout' WHEN constant THEN peak || ' targets throughout'
+       ELSE 'peaks at ' || peak || ' ' || CASE visits WHEN 1 THEN 'once' WHEN 2 THEN 'twice' ELSE visits || ' times' END || ', mean ' || CAST(ROUND(CAST(mean AS DECIMAL(18,4)), 1) AS VARCHAR) END AS label,
+  CAST(whole - GREATEST(matched, 1) AS BIGINT) AS unmatched
+FROM z JOIN p ON p.fight = medoid JOIN o ON o.fight = medoid JOIN rep ON rep.encounter = z.encounter WHERE size >= 2 OR (matched = 0 AND medoid = chosen)""")
 def shape_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     samples = fights._samples(spark, sf_dir)
     shapes, distances = fights._distances(samples)

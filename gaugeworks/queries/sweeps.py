@@ -139,23 +139,14 @@ def two_rankings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top.select("scenario", "targets", "build", F.col("rank_a").cast("long"), F.col("rank_b").cast("long"), (first("rank_a") != first("rank_b")).alias("disagree"))
 
 
-_POOL = """pool AS (SELECT * FROM (SELECT p_brand AS brand, p_partkey AS item, p_size AS level, CAST(p_retailprice AS DECIMAL(18,2)) AS gain, ROW_NUMBER() OVER (PARTITION BY p_brand ORDER BY CAST(p_retailprice AS DECIMAL(18,2)) DESC, p_partkey) AS k FROM part) WHERE k <= 8),
+#: Fixed value: a sweep runs all combinations of a pool only if there are no more than these.
+COMBINATIONS = 120
+_POOL = """pool AS (SELECT p_brand AS brand, p_partkey AS item, p_size AS level, CAST(p_retailprice AS DECIMAL(18,2)) AS gain, ROW_NUMBER() OVER (PARTITION BY p_brand ORDER BY CAST(p_retailprice AS DECIMAL(18,2)) DESC, p_partkey) AS k FROM part),
 pairs AS (SELECT a.brand, a.item AS item_a, b.item AS item_b, a.gain AS gain_a, b.gain AS gain_b, a.k AS k_a, b.k AS k_b, a.gain + b.gain + 10 * ABS(a.level - b.level) AS total FROM pool a JOIN pool b ON a.brand = b.brand AND a.item < b.item)"""
 
 
-def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of the eight best items of a brand, a sweep's budget; a pair gains from levels that lie apart."""
-    from pyspark.sql import Window as W
-
-    parts = table(spark, sf_dir, "part").select(F.col("p_brand").alias("brand"), F.col("p_partkey").alias("item"), F.col("p_size").alias("level"), F.col("p_retailprice").cast(MONEY).alias("gain"))
-    pool = parts.withColumn("k", F.row_number().over(W.partitionBy("brand").orderBy(F.desc("gain"), "item"))).where("k <= 8")
-    pairs = V.pairs_of(pool, ["brand"], "item", ["item", "level", "gain", "k"])
-    return pairs.withColumn("total", F.col("gain_a") + F.col("gain_b") + 10 * F.abs(F.col("level_a") - F.col("level_b")))
-
-
 def _leading_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of all pairs of a brand's items, those that can be first or second for one of their items, ties included;
-    the SQL beside its users knows the eight dearest items only.
+    """Of all pairs of a brand's items, those that can be first or second for one of their items, ties included.
 
     A pair's total is the larger of up(a) + down(b) and up(b) + down(a), where up is gain + 10 * level and down is
     gain - 10 * level. So the two best partners of any item are among the three best of up or of down.
@@ -173,9 +164,15 @@ def _leading_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.withColumn("total", F.col("gain_a") + F.col("gain_b") + 10 * F.abs(F.col("level_a") - F.col("level_b")))
 
 
-@query(f"WITH {_POOL} SELECT brand, item_a, item_b, CAST(total AS DOUBLE) AS total FROM pairs")
+@query(f"""WITH p AS (SELECT p_brand AS brand, p_size AS level, p_partkey AS item, CAST(p_retailprice AS DECIMAL(18,2)) AS gain, COUNT(*) OVER (PARTITION BY p_brand, p_size) AS n FROM part)
+SELECT a.brand, a.level, a.item AS item_a, b.item AS item_b, CAST(a.gain + b.gain AS DOUBLE) AS total FROM p a JOIN p b ON a.brand = b.brand AND a.level = b.level AND a.item < b.item WHERE a.n * (a.n - 1) / 2 <= {COMBINATIONS}""")
 def combinations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pairs(spark, sf_dir).select("brand", "item_a", "item_b", F.col("total").cast("double"))
+    """All pairs of a pool, the items of one brand and level; a pool of more than COMBINATIONS pairs isn't enumerated
+    but left to the best sets."""
+    parts = table(spark, sf_dir, "part").select(F.col("p_brand").alias("brand"), F.col("p_size").alias("level"), F.col("p_partkey").alias("item"), F.col("p_retailprice").cast(MONEY).alias("gain"))
+    pools = parts.groupBy("brand", "level").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") * (F.col("n") - 1) / 2 <= COMBINATIONS)
+    pairs = V.pairs_of(parts.join(pools.drop("n"), ["brand", "level"]), ["brand", "level"], "item", ["item", "gain"])
+    return pairs.select("brand", "level", "item_a", "item_b", (F.col("gain_a") + F.col("gain_b")).cast("double").alias("total"))
 
 
 @query(f"WITH {_POOL} SELECT brand, item_a, item_b, CAST(total AS DOUBLE) AS total FROM pairs QUALIFY ROW_NUMBER() OVER (PARTITION BY brand ORDER BY total DESC, item_a, item_b) = 1")
