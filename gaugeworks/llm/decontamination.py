@@ -19,6 +19,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType
 
 from gaugeworks.llm.common import pick, slices
 from gaugeworks.llm.words import WordHashes, running_hashes
@@ -27,39 +29,65 @@ MATCH_WORDS, COVERAGE, BLOCK_BYTES = 5, 0.5, 16_000_000
 FILTER_BITS = 22
 
 
-def tiles(doc: np.ndarray, item: np.ndarray, seeds: list[tuple[int, int]], least: int = MATCH_WORDS) -> list[tuple[int, int, int]]:
-    """(document position, item position, words) of the greedy tiles. seeds: positions of equal runs of `least`."""
-    runs: list[tuple[int, int, int]] = []
-    for d, i in sorted(seeds, key=lambda s: (s[0] - s[1], s[0])):
-        if runs and runs[-1][0] - runs[-1][1] == d - i and runs[-1][0] + runs[-1][2] == d + least - 1:
-            runs[-1] = (runs[-1][0], runs[-1][1], runs[-1][2] + 1)
-        elif np.array_equal(doc[d : d + least], item[i : i + least]):
-            runs.append((d, i, least))
-    heap = [(-n, d, i) for d, i, n in runs]
-    heapq.heapify(heap)
-    doc_marked: set[int] = set()
-    item_marked = np.zeros(len(item), bool)
+def _begins(doc: np.ndarray, item: np.ndarray, d: np.ndarray, i: np.ndarray) -> np.ndarray:
+    """Whether no equal words stand before the positions d and i: a match on their diagonal begins there."""
+    inside = (d > 0) & (i > 0)
+    return ~inside | (doc[np.where(inside, d - 1, 0)] != item[np.where(inside, i - 1, 0)])
+
+
+def _lengths(doc: np.ndarray, item: np.ndarray, d: np.ndarray, i: np.ndarray) -> np.ndarray:
+    """Words of the match that begins at each pair of positions."""
+    n = np.zeros(len(d), np.int64)
+    open_ = np.arange(len(d))
+    while len(open_):
+        x, y = d[open_] + n[open_], i[open_] + n[open_]
+        open_, x, y = (z[(x < len(doc)) & (y < len(item))] for z in (open_, x, y))
+        open_ = open_[doc[x] == item[y]]
+        n[open_] += 1
+    return n
+
+
+def tiles(doc: np.ndarray, item: np.ndarray, seeds: list[tuple[int, int]] | np.ndarray, least: int = MATCH_WORDS) -> list[tuple[int, int, int]]:
+    """(document position, item position, words) of the greedy tiles. seeds: positions of equal runs of `least`; of
+    each match at least the first must be among them."""
+    d, i = np.asarray(seeds, np.int64).reshape(-1, 2).T
+    first = _begins(doc, item, d, i)
+    d, i = d[first], i[first]
+    n = _lengths(doc, item, d, i)
+    order = np.lexsort((i, d, -n))
+    whole = zip((-n[order]).tolist(), d[order].tolist(), i[order].tolist(), strict=True)  # longest first
+    rest: list[tuple[int, int, int]] = []  # what is left of matches that overlap a tile
+    doc_marked, item_marked = np.zeros(len(doc), bool), np.zeros(len(item), bool)
     out = []
-    while heap:
-        n, d, i = heapq.heappop(heap)
+    best = next(whole, None)
+    while best or rest:
+        if best and (not rest or best < rest[0]):
+            n, d, i = best
+            best = next(whole, None)
+        else:
+            n, d, i = heapq.heappop(rest)
         n = -n
-        taken = [item_marked[i + k] or d + k in doc_marked for k in range(n)]
-        if not any(taken):
+        if n < least:
+            continue
+        taken = item_marked[i : i + n] | doc_marked[d : d + n]
+        if not taken.any():
             out.append((d, i, n))
-            item_marked[i : i + n] = True
-            doc_marked.update(range(d, d + n))
+            item_marked[i : i + n] = doc_marked[d : d + n] = True
+            if _longest_false(item_marked) < least:
+                break  # no further tile fits into the item
             continue
-        start = None
-        for k, t in enumerate([*taken, True]):
-            if not t and start is None:
-                start = k
-            elif t and start is not None:
-                if k - start >= least:
-                    heapq.heappush(heap, (start - k, d + start, i + start))
-                start = None
+        edges = np.flatnonzero(np.diff(np.r_[True, taken, True].astype(np.int8)))
+        for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
+            if b - a >= least:
+                heapq.heappush(rest, (a - b, d + a, i + a))
     return out
 
 
+def _longest_false(marked: np.ndarray) -> int:
+    edges = np.flatnonzero(np.r_[True, marked, True])
+    return int(np.diff(edges).max()) - 1
+
+
 class Block:
     """Items of one block, and where each run of their words stands."""
 
@@ -82,32 +110,57 @@ class Block:
         at = np.flatnonzero(self.maybe[runs >> np.uint64(64 - FILTER_BITS)])
         if not len(at):
             return
-        lo, hi = np.searchsorted(self.runs, runs[at], "left"), np.searchsorted(self.runs, runs[at], "right")
+        shared = np.unique(runs[at])
+        lo, hi = np.searchsorted(self.runs, shared, "left"), np.searchsorted(self.runs, shared, "right")
         count = hi - lo
         if not count.sum():
             return
         row = np.repeat(lo, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        where, owner, place = np.repeat(at, count), self.owner[row], self.place[row]
+        owner, place = self.owner[row], self.place[row]
+        at = at[np.isin(runs[at], shared[count > 0])]
         for k in np.unique(owner):
-            mine = owner == k
             item = self.items[k]
             reach = np.zeros(len(item) + 1, np.int64)
-            np.add.at(reach, place[mine], 1)
-            np.add.at(reach, place[mine] + MATCH_WORDS, -1)
+            np.add.at(reach, place[owner == k], 1)
+            np.add.at(reach, place[owner == k] + MATCH_WORDS, -1)
             if (np.cumsum(reach)[:-1] > 0).sum() < coverage * len(item):
                 continue  # all seeds together cover too little
-            found = tiles(doc, item, list(zip(where[mine].tolist(), place[mine].tolist(), strict=True)))
+            found = tiles(doc, item, _seeds(doc, item, runs, at))
             covered = sum(n for _, _, n in found)
             if covered >= coverage * len(item):
                 yield self.names[k], covered / len(item), len(found), max(n for _, _, n in found), covered
 
 
+def _seeds(doc: np.ndarray, item: np.ndarray, runs: np.ndarray, at: np.ndarray, most: int = 1 << 19) -> np.ndarray:
+    """Positions in document and item where a match begins. All pairs of equal runs are looked at, about `most` at a
+    time, but only those that no pair precedes on their diagonal are kept."""
+    own = running_hashes(item, MATCH_WORDS)
+    order = np.argsort(own, kind="stable")
+    lo, hi = np.searchsorted(own[order], runs[at], "left"), np.searchsorted(own[order], runs[at], "right")
+    at, lo, count = at[hi > lo], lo[hi > lo], (hi - lo)[hi > lo]
+    ends = np.cumsum(count)
+    out, start = [np.zeros((0, 2), np.int64)], 0
+    while start < len(at):
+        done = ends[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(ends, done + most, side="right")))
+        c = count[start:end]
+        d = np.repeat(at[start:end], c)
+        i = order[np.repeat(lo[start:end], c) + np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)]
+        keep = _begins(doc, item, d, i)
+        d, i = d[keep], i[keep]
+        equal = np.all([doc[d + k] == item[i + k] for k in range(MATCH_WORDS)], axis=0)
+        out.append(np.stack([d[equal], i[equal]], axis=1))
+        start = end
+    return np.concatenate(out)
+
+
 def contaminated(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
     coverage: float = COVERAGE, block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """(doc_id, item_id, coverage, n_tiles, longest_tile, covered_words): a row for each document and item that
-    it holds; documents that hold none have no row.
+    it holds; documents that hold none have no row. Ids may be of any type. Very long and repetitive texts are read
+    whole: what is held at once are the starts of matches, never all pairs of equal runs.
 
     Items of fewer than MATCH_WORDS words, null and empty ones can't be told from common speech and are never
     found. Null and empty texts hold nothing. Repeated documents or items are reported each. Without documents
@@ -122,15 +175,15 @@ def contaminated(
     for b in range(blocks):
         part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
         block = [(r.item_id, r.text) for r in part.collect()]
-        found = rows.mapInArrow(_search(block, coverage, kinds["item"]), f"doc_id {kinds['doc']}, item_id {kinds['item']}, coverage double, n_tiles long, longest_tile long, covered_words long")
+        found = rows.mapInArrow(_search(block, coverage, items.schema["item_id"].dataType), f"doc_id {kinds['doc']}, item_id {kinds['item']}, coverage double, n_tiles long, longest_tile long, covered_words long")
         out = found if out is None else out.union(found)
     return out
 
 
-def _search(block: list[tuple[object, str]], coverage: float, item_kind: str):
+def _search(block: list[tuple[object, str]], coverage: float, item_kind: DataType):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, words = Block(block), WordHashes()
-        kind = pa.string() if item_kind == "string" else pa.int64() if item_kind == "bigint" else pa.int32()
+        kind = to_arrow_type(item_kind)
         for batch in batches:
             for part in slices(batch, "text"):
                 at, found = [], []

@@ -59,6 +59,36 @@ def test_tiles_are_those_of_the_plain_algorithm():
         assert len({d + k for d, _, n in got for k in range(n)}) == sum(n for *_, n in got)
 
 
+def test_repetitive_texts_are_tiled_in_bounded_time_and_memory(spark):
+    import time
+    import tracemalloc
+
+    block, words = decontamination.Block([(1, "ha " * 60), (2, "ho hi " * 20 + "end")]), WordHashes()
+    for text, want in (("ha " * 1_000_000, [(1, 1.0, 1, 60, 60)]), ("hi ho " * 300_000, [(2, 40 / 41, 1, 40, 40)])):
+        doc = words.text(text)
+        tracemalloc.start()
+        began = time.time()
+        assert list(block.matches(doc, 0.5)) == want
+        assert time.time() - began < 30 and tracemalloc.get_traced_memory()[1] < 300e6
+        tracemalloc.stop()
+    rng = random.Random(6)
+    for _ in range(60):  # few words, so that matches overlap in many ways
+        item, doc = [[rng.randint(0, 1) for _ in range(n)] for n in (rng.randint(5, 18), 40)]
+        text = lambda x: " ".join(f"w{k}" for k in x)
+        got = [r[1:] for r in decontamination.Block([(1, text(item))]).matches(words.text(text(doc)), 0.01)]
+        tiled = [n for *_, n in plain_tiling(doc, item, 5)]
+        assert [(r[1], r[2], r[3]) for r in got] == ([(len(tiled), max(tiled), sum(tiled))] if tiled else [])
+
+
+def test_items_may_have_ids_of_any_type(spark):
+    docs = spark.createDataFrame([(1, "w1 w2 w3 w4 w5 w6")], "doc_id long, text string")
+    for kind in ("decimal(9,2)", "smallint", "binary", "string", "date"):
+        bench = spark.createDataFrame([(None, "w1 w2 w3 w4 w5 w6")], "item_id string, text string")
+        value = {"binary": "X'0A'", "date": "DATE'2020-01-02'"}.get(kind, f"CAST(7 AS {kind})")
+        got = decontamination.contaminated(docs, bench.selectExpr(f"{value} AS item_id", "text"))
+        assert dict(got.dtypes)["item_id"] == kind and got.count() == 1
+
+
 def test_op10_finds_what_brute_force_finds(spark, documents):
     items = {r.item_id: words_of(r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
     want = set()
