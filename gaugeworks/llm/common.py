@@ -49,6 +49,12 @@ def semi_join(rows: DataFrame, keys: DataFrame, key: str, most: int = 1_000_000)
     return rows.join(F.broadcast(keys) if small else keys.hint("merge"), key, "left_semi")
 
 
+def gathered(df: DataFrame, rows: int, each: int = 20_000) -> DataFrame:
+    """df in no more partitions than `rows`, about their number, need at `each` a task, but eight at least: small
+    steps of a loop then write few files, however many partitions a shuffle has."""
+    return df.coalesce(max(8, -(-rows // each)))
+
+
 def slices(batch: pa.RecordBatch, text: str, most_bytes: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """Consecutive parts of a batch with at most most_bytes of text each; a longer text gets a part of its own."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)

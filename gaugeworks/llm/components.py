@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gaugeworks.llm.common import gathered, join_by_group
 from gaugeworks.session import checkpointed
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+def _star(edges: DataFrame, large: bool, rows: int) -> DataFrame:
     """One step: every node's larger (or smaller) neighbours are linked to its smallest neighbour instead.
 
     The smallest neighbour comes from a pre-aggregated minimum, so no neighbour list is ever gathered.
@@ -17,8 +18,9 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         sides = edges.select(F.col("u").alias("at"), F.col("v").alias("to")).union(edges.select(F.col("v").alias("at"), F.col("u").alias("to")))
     else:
         sides = edges.select(F.greatest("u", "v").alias("at"), F.least("u", "v").alias("to"))
-    least = sides.groupBy("at").agg(F.least(F.min("to"), F.col("at")).alias("low"))
-    met = sides.join(least, "at")
+    least = sides.groupBy("at").agg(F.least(F.min("to"), F.col("at")).alias("low"), F.count(F.lit(1)).alias("sides"))
+    # once components are stars, a hub has most of the edges
+    met = join_by_group(sides, checkpointed(least), "at", "sides", 2 * rows)
     if large:
         out = met.where(F.col("to") > F.col("at")).select(F.col("to").alias("u"), F.col("low").alias("v"))
     else:
@@ -39,4 +41,5 @@ def components(edges: DataFrame) -> DataFrame:
         if mark[0] == 0 or mark == seen:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
         seen = mark
-        now = checkpointed(_star(_star(now, True), False))
+        now = gathered(now, mark[0], 100_000)
+        now = checkpointed(gathered(_star(gathered(_star(now, True, mark[0]), mark[0], 100_000), False, mark[0]), mark[0], 100_000))

@@ -9,7 +9,7 @@ are a group.
 
 Groups are verified on whole sets of shingles. No group's pairs are listed at once: in each round its members are
 compared with a few centres of it; what is near goes, centres that were compared with all are done, and the rest
-meets again in the next round, with eight times as many centres, until no group holds two.
+meets again in the next round, with more centres, until no group holds two.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugeworks.llm import simhash
-from gaugeworks.llm.common import join_by_group, pick, raw_texts, semi_join, slices
+from gaugeworks.llm.common import gathered, join_by_group, pick, raw_texts, semi_join, slices
 from gaugeworks.llm.components import components
 from gaugeworks.session import checkpointed
 
@@ -124,7 +124,7 @@ def _sets(rows: DataFrame) -> DataFrame:
     return rows.select("node", "text").mapInArrow(work, "node long, held binary")
 
 
-def _near(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _near(pairs: DataFrame, sets: DataFrame, rows: int) -> DataFrame:
     """(doc_id, node): `gone` of the pairs (u, v, gone) that are near. A node u has few partners, but v may have many."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,7 +134,7 @@ def _near(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 keep = pa.array([is_near(x, y) for x, y in zip(a, b, strict=True)], pa.bool_())
                 yield part.select(["doc_id", "node"]).filter(keep)
 
-    counts = checkpointed(pairs.groupBy("v").count())
+    counts = checkpointed(gathered(pairs.groupBy("v").count(), rows))
     groups = counts.join(sets.select(F.col("node").alias("v"), F.col("held").alias("v_held")), "v")
     met = join_by_group(pairs.join(sets.select(F.col("node").alias("u"), "held"), "u"), groups, "v", "count", pairs.count())
     kind = dict(pairs.select("gone.doc_id").dtypes)["doc_id"]
@@ -145,13 +145,16 @@ def groups_of(docs: DataFrame) -> DataFrame:
     """(node, doc_id, grp, *FPS) of every row (node, doc_id, text) that a link, or an equal fingerprint, connects
     with another; grp names the group."""
     fps = checkpointed(_fingerprinted(docs).dropDuplicates(["node"]).withColumn("fp", F.xxhash64(*FPS)))
+    n = fps.count()
+    fps = gathered(fps, n)
     kinds = checkpointed(fps.groupBy("fp").agg(F.min(F.struct("node", *FPS)).alias("one"), F.count(F.lit(1)).alias("copies")))
+    kinds = gathered(kinds, n)
     found = components(link_edges(kinds.select("one.*")))
     kinds = kinds.select("fp", "copies", F.col("one.node").alias("node")).join(found, "node", "left")
     kinds = checkpointed(kinds.select("fp", "copies", F.coalesce("component", "node").alias("grp")))
     members = kinds.groupBy("grp").agg(F.sum("copies").alias("members")).where("members > 1")
     kinds = checkpointed(semi_join(kinds, checkpointed(members.select("grp")), "grp"))
-    return join_by_group(fps, kinds, "fp", "copies", fps.count()).where("grp IS NOT NULL").select("node", "doc_id", "grp", *FPS)
+    return join_by_group(fps, kinds, "fp", "copies", n).where("grp IS NOT NULL").select("node", "doc_id", "grp", *FPS)
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -166,23 +169,27 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rows = pick(docs, doc_id=id_col, text=text_col).withColumn("node", F.xxhash64("doc_id", "text"))
     rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "node").alias("rank")
     active = checkpointed(groups_of(rows).select("node", "grp", *FPS, rank))
-    sets = checkpointed(_sets(semi_join(rows, active.select("node"), "node")).dropDuplicates(["node"]))
+    total = active.count()
+    active = gathered(active, total)
+    sets = gathered(checkpointed(_sets(semi_join(rows, active.select("node"), "node")).dropDuplicates(["node"])), total, 5000)
     out = active.select("rank.doc_id", "node").limit(0)
     parts = 1  # one centre at first, that of the smallest id: most of a large group goes by it
     while True:
         slots = active.groupBy("grp", F.pmod("node", F.lit(parts)).alias("slot")).agg(F.min(F.struct("rank", *FPS)).alias("centre"), F.count(F.lit(1)).alias("n"))
         centres = slots.groupBy("grp").agg(F.sum("n").alias("size"), F.collect_list("centre").alias("centres"))  # MOST_CENTRES at most
-        centres = checkpointed(centres.where("size > 1"))
+        centres = checkpointed(gathered(centres.where("size > 1"), total))
         if centres.isEmpty():
             return out
-        met = join_by_group(active, centres, "grp", "size", active.count()).where("size IS NOT NULL")
+        met = join_by_group(active, centres, "grp", "size", total).where("size IS NOT NULL")
         met = met.withColumn("is_centre", F.exists("centres", lambda c: c["rank"] == F.col("rank")))
         # two centres meet once: the one that ranks higher is u
         meets = lambda c: ((c["rank"] < F.col("rank")) | ((c["rank"] > F.col("rank")) & ~F.col("is_centre"))) & (_bits_apart(c) <= LIMIT)
         partner = lambda c: F.struct(c["rank"]["node"].alias("v"), F.greatest(c["rank"], F.col("rank")).alias("gone"))
-        met = checkpointed(met.select("node", "grp", *FPS, "rank", "is_centre", F.transform(F.filter("centres", meets), partner).alias("partners")))
+        met = met.select("node", "grp", *FPS, "rank", "is_centre", F.transform(F.filter("centres", meets), partner).alias("partners"))
+        met = checkpointed(gathered(met, total))
         pairs = checkpointed(met.select(F.col("node").alias("u"), F.explode("partners").alias("with")).select("u", "with.*"))
-        gone = checkpointed(_near(pairs, sets))
+        gone = checkpointed(gathered(_near(pairs, sets, total), total))
         out = out.union(gone)
-        active = checkpointed(met.where("NOT is_centre").select("node", "grp", *FPS, "rank").join(gone.select("node"), "node", "left_anti"))
-        parts = min(parts * 8, MOST_CENTRES)
+        active = met.where("NOT is_centre").select("node", "grp", *FPS, "rank").join(gone.select("node"), "node", "left_anti")
+        active = checkpointed(gathered(active, total))
+        parts = min(parts * 32, MOST_CENTRES)
