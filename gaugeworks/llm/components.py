@@ -20,7 +20,7 @@ def _star(edges: DataFrame, large: bool, rows: int) -> DataFrame:
         sides = edges.select(F.greatest("u", "v").alias("at"), F.least("u", "v").alias("to"))
     least = sides.groupBy("at").agg(F.least(F.min("to"), F.col("at")).alias("low"), F.count(F.lit(1)).alias("sides"))
     # once components are stars, a hub has most of the edges
-    met = join_by_group(sides, checkpointed(least), "at", "sides", 2 * rows)
+    met = join_by_group(sides, checkpointed(gathered(least, rows, 100_000)), "at", "sides", 2 * rows)
     if large:
         out = met.where(F.col("to") > F.col("at")).select(F.col("to").alias("u"), F.col("low").alias("v"))
     else:
