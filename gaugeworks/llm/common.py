@@ -16,6 +16,9 @@ SPACE_RUN = r"[\x20\x09-\x0D]+"
 #: A key is hot when it holds at least this share of all rows, so at most 1 / HOT_SHARE keys are hot.
 HOT_SHARE = 1e-3
 
+#: A table of a few numbers a row is broadcast whole up to this many rows, some 8 MB; the size is checked before.
+SMALL_ROWS = 100_000
+
 
 def is_held_out(id_col: str = "doc_id") -> Column:
     """Rows that no model learns from: crc32 of the id as text leaves 2 on division by 4."""

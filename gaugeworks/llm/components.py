@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugeworks.llm.common import gathered, join_by_group
+from gaugeworks.llm.common import SMALL_ROWS, gathered, join_by_group
 from gaugeworks.session import checkpointed
 
 
@@ -19,8 +19,11 @@ def _star(edges: DataFrame, large: bool, rows: int) -> DataFrame:
     else:
         sides = edges.select(F.greatest("u", "v").alias("at"), F.least("u", "v").alias("to"))
     least = sides.groupBy("at").agg(F.least(F.min("to"), F.col("at")).alias("low"), F.count(F.lit(1)).alias("sides"))
-    # once components are stars, a hub has most of the edges
-    met = join_by_group(sides, checkpointed(gathered(least, rows, 100_000)), "at", "sides", 2 * rows)
+    least = gathered(least, rows, 100_000)
+    if 2 * rows <= SMALL_ROWS:  # each of the `rows` edges has two ends, so there are no more minima than that
+        met = sides.join(F.broadcast(least), "at")
+    else:  # once components are stars, a hub has most of the edges
+        met = join_by_group(sides, checkpointed(least), "at", "sides", 2 * rows)
     if large:
         out = met.where(F.col("to") > F.col("at")).select(F.col("to").alias("u"), F.col("low").alias("v"))
     else:

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugeworks.llm import simhash
-from gaugeworks.llm.common import gathered, join_by_group, pick, raw_texts, semi_join, slices
+from gaugeworks.llm.common import SMALL_ROWS, gathered, join_by_group, pick, raw_texts, semi_join, slices
 from gaugeworks.llm.components import components
 from gaugeworks.session import checkpointed
 
@@ -135,8 +135,13 @@ def _near(pairs: DataFrame, sets: DataFrame, rows: int) -> DataFrame:
                 yield part.select(["doc_id", "node"]).filter(keep)
 
     counts = checkpointed(gathered(pairs.groupBy("v").count(), rows))
-    groups = counts.join(sets.select(F.col("node").alias("v"), F.col("held").alias("v_held")), "v")
-    met = join_by_group(pairs.join(sets.select(F.col("node").alias("u"), "held"), "u"), groups, "v", "count", pairs.count())
+    n = pairs.count()
+    if n == 0:
+        return pairs.select("gone.doc_id", "gone.node")
+    # few pairs go to the sets, which are wide, and not the other way
+    few = F.broadcast if n <= SMALL_ROWS else lambda df: df
+    groups = sets.select(F.col("node").alias("v"), F.col("held").alias("v_held")).join(few(counts), "v")
+    met = join_by_group(sets.select(F.col("node").alias("u"), "held").join(few(pairs), "u"), groups, "v", "count", n)
     kind = dict(pairs.select("gone.doc_id").dtypes)["doc_id"]
     return met.select("gone.doc_id", "gone.node", "held", "v_held").mapInArrow(work, f"doc_id {kind}, node long").distinct()
 
@@ -150,6 +155,7 @@ def groups_of(docs: DataFrame) -> DataFrame:
     kinds = checkpointed(fps.groupBy("fp").agg(F.min(F.struct("node", *FPS)).alias("one"), F.count(F.lit(1)).alias("copies")))
     kinds = gathered(kinds, n)
     found = components(link_edges(kinds.select("one.*")))
+    found = F.broadcast(found) if found.count() <= SMALL_ROWS else found  # as many rows as linked fingerprints
     kinds = kinds.select("fp", "copies", F.col("one.node").alias("node")).join(found, "node", "left")
     kinds = checkpointed(kinds.select("fp", "copies", F.coalesce("component", "node").alias("grp")))
     members = kinds.groupBy("grp").agg(F.sum("copies").alias("members")).where("members > 1")
@@ -173,6 +179,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     active = gathered(active, total)
     sets = gathered(checkpointed(_sets(semi_join(rows, active.select("node"), "node")).dropDuplicates(["node"])), total, 5000)
     out = active.select("rank.doc_id", "node").limit(0)
+    few = total <= SMALL_ROWS
     parts = 1  # one centre at first, that of the smallest id: most of a large group goes by it
     while True:
         slots = active.groupBy("grp", F.pmod("node", F.lit(parts)).alias("slot")).agg(F.min(F.struct("rank", *FPS)).alias("centre"), F.count(F.lit(1)).alias("n"))
@@ -180,7 +187,10 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         centres = checkpointed(gathered(centres.where("size > 1"), total))
         if centres.isEmpty():
             return out
-        met = join_by_group(active, centres, "grp", "size", total).where("size IS NOT NULL")
+        if few:  # there are no more centres than rows
+            met = active.join(F.broadcast(centres), "grp")
+        else:
+            met = join_by_group(active, centres, "grp", "size", total).where("size IS NOT NULL")
         met = met.withColumn("is_centre", F.exists("centres", lambda c: c["rank"] == F.col("rank")))
         # two centres meet once: the one that ranks higher is u
         meets = lambda c: ((c["rank"] < F.col("rank")) | ((c["rank"] > F.col("rank")) & ~F.col("is_centre"))) & (_bits_apart(c) <= LIMIT)
@@ -190,6 +200,8 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         pairs = checkpointed(met.select(F.col("node").alias("u"), F.explode("partners").alias("with")).select("u", "with.*"))
         gone = checkpointed(gathered(_near(pairs, sets, total), total))
         out = out.union(gone)
-        active = met.where("NOT is_centre").select("node", "grp", *FPS, "rank").join(gone.select("node"), "node", "left_anti")
+        left_out = gone.select("node")  # no more than `total`
+        left_out = F.broadcast(left_out) if few else left_out
+        active = met.where("NOT is_centre").select("node", "grp", *FPS, "rank").join(left_out, "node", "left_anti")
         active = checkpointed(gathered(active, total))
         parts = min(parts * 32, MOST_CENTRES)
