@@ -1,9 +1,10 @@
 """A bit-stream codec for selections: six bits a letter, the lowest bit first.
 
-A stream holds a version (8 bits) and a spec (16 bits), then for every node in ascending order: taken (1 bit);
-if taken, purchased (1); if purchased, partial (1), with its rank (6) if partial, and choice (1), with its
-entry (2) if so. Reading past the end gives zeros. This is the one thing here that columns can't say, since a
-field's place depends on all before it; it runs in Arrow batches.
+A stream holds a version (8 bits), a spec (16 bits) and a hash of the tree (128 bits, not read), then for every node
+in ascending order: taken (1 bit); if taken, purchased (1); if purchased, partial (1), with its rank (6) if partial,
+and choice (1), with its entry (2) if so. A node that is taken but not purchased was granted and has rank 1. Reading
+past the end gives zeros. This is the one thing here that columns can't say, since a field's place depends on all
+before it; it runs in Arrow batches.
 """
 
 from __future__ import annotations
@@ -16,6 +17,9 @@ from pyspark.sql import functions as F
 
 # Fixed value: the letters of base 64 in their usual order.
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+# Fixed values of the format: its version and the width of the tree's hash.
+VERSION = 2
+TREE_BITS = 128
 SCHEMA = "version int, spec int, picks array<struct<node int, rank int, entry int>>, error string"
 
 
@@ -29,8 +33,15 @@ class _Bits:
         return out
 
 
-def decode_one(text: str | None, nodes: list[tuple[int, int]]) -> dict:
-    """nodes: (id, highest rank), ascending. A letter outside the alphabet is an error, not an exception."""
+#: A node's id, highest rank and number of entries.
+Node = tuple[int, int, int]
+
+
+def decode_one(text: str | None, nodes: list[Node]) -> dict:
+    """The picks of a stream over nodes in any order; entry counts from 0 among the node's entries.
+
+    A letter outside the alphabet, another version and an entry that the node lacks are errors, not exceptions.
+    """
     nothing = {"version": None, "spec": None, "picks": None}
     if text is None:
         return nothing | {"error": "missing"}
@@ -38,18 +49,23 @@ def decode_one(text: str | None, nodes: list[tuple[int, int]]) -> dict:
         return nothing | {"error": f"unknown letter {bad[0]}"}
     bits, picks = _Bits(text), []
     version, spec = bits.take(8), bits.take(16)
-    for node, top in nodes:
+    if version != VERSION:
+        return nothing | {"error": f"version {version}"}
+    bits.take(TREE_BITS)
+    for node, top, entries in sorted(nodes):
         if bits.take(1):
-            rank, entry = top, 0
+            rank, entry = 1, 0
             if bits.take(1):
                 rank = bits.take(6) if bits.take(1) else top
                 entry = bits.take(2) if bits.take(1) else 0
+            if entry and entry >= entries:
+                return nothing | {"error": f"node {node} has no entry {entry}"}
             picks.append({"node": node, "rank": rank, "entry": entry})
     return {"version": version, "spec": spec, "picks": picks, "error": None}
 
 
-def encode_one(version: int, spec: int, picks: dict[int, tuple[int, int]], nodes: Iterable[tuple[int, int]]) -> str:
-    """The stream of picks {node: (rank, entry)}."""
+def encode_one(version: int, spec: int, picks: dict[int, tuple[int, int]], nodes: Iterable[Node]) -> str:
+    """The stream of picks {node: (rank, entry)}, all of them purchased, under an empty hash."""
     value, at = 0, 0
 
     def put(x: int, n: int) -> None:
@@ -59,7 +75,8 @@ def encode_one(version: int, spec: int, picks: dict[int, tuple[int, int]], nodes
 
     put(version, 8)
     put(spec, 16)
-    for node, top in nodes:
+    put(0, TREE_BITS)
+    for node, top, _ in sorted(nodes):
         put(node in picks, 1)
         if node in picks:
             rank, entry = picks[node]
@@ -73,7 +90,7 @@ def encode_one(version: int, spec: int, picks: dict[int, tuple[int, int]], nodes
     return "".join(ALPHABET[value >> 6 * k & 63] for k in range(-(-at // 6)))
 
 
-def decoded(text: Column, nodes: list[tuple[int, int]]) -> Column:
+def decoded(text: Column, nodes: list[Node]) -> Column:
     """struct(version, spec, picks, error) of each stream. The nodes of one tree are a bounded list."""
 
     @F.pandas_udf(SCHEMA)
@@ -83,7 +100,7 @@ def decoded(text: Column, nodes: list[tuple[int, int]]) -> Column:
     return run(text)
 
 
-def encoded(version: Column, spec: Column, picks: Column, nodes: list[tuple[int, int]]) -> Column:
+def encoded(version: Column, spec: Column, picks: Column, nodes: list[Node]) -> Column:
     """The stream of picks, an array of struct(node, rank, entry)."""
 
     @F.pandas_udf("string")

@@ -16,6 +16,14 @@ def layout(traits: DataFrame) -> DataFrame:
     return mine.groupBy("class", "tree", "node").agg(F.array_sort(F.collect_set("entry")).alias("entries"), top.alias("max_rank"))
 
 
+def nodes_of(tree: DataFrame, of_class: int) -> list[tuple[int, int, int]]:
+    """The nodes of one class, as the codec takes them, from layout(): a tree of some hundred nodes. A node that
+    lies in two trees is one node of the stream, with the entries of both."""
+    mine = tree.where(F.col("class") == of_class).groupBy("node")
+    rows = mine.agg(F.max("max_rank").alias("top"), F.sum(F.size("entries")).alias("entries")).orderBy("node").collect()
+    return [(r["node"], r["top"], r["entries"]) for r in rows]
+
+
 def selected(decoded: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, node, rank, entry) of decoded selections without an error."""
     return decoded.where("error IS NULL").select(*keys, F.explode("picks").alias("p")).select(*keys, "p.node", "p.rank", "p.entry")

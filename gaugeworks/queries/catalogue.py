@@ -236,16 +236,25 @@ def zone_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.unionByName(unplaced.agg(F.lit(None).cast("int").alias("zone"), F.count(F.lit(1)).alias("hits")))
 
 
-TREE = [(k, 1 + k % 3) for k in range(1, 41)]
+TREE = [(k, 1 + k % 3, 4) for k in range(1, 41)]
 
+#: The format in SQL, apart from the codec: the bits of a stream as text, then six of them a letter, lowest first.
+_STREAM = f"""bits AS (SELECT p_partkey, picks, '01000000' || reverse(lpad(bin(p_size), 16, '0')) || repeat('0', 128) || list_aggregate(list_transform(range(1, 41), lambda n:
+    CASE WHEN (p_partkey + n * n) % 3 <> 0 THEN '0' ELSE '11'
+      || CASE WHEN p_partkey % (n % 3 + 1) = n % 3 THEN '0' ELSE '1' || reverse(lpad(bin(1 + p_partkey % (n % 3 + 1)), 6, '0')) END
+      || CASE WHEN n % 4 = 0 THEN '0' ELSE '1' || reverse(lpad(bin(n % 4), 2, '0')) END END), 'string_agg', '') AS b FROM parts),
+streams AS (SELECT p_partkey, picks, list_aggregate(list_transform(range(0, (length(b) + 5) // 6), lambda k:
+    substr('{B.ALPHABET}', 1 + list_sum(list_transform(range(0, 6), lambda j: CASE WHEN substr(b, 6 * k + j + 1, 1) = '1' THEN 1 << j ELSE 0 END))::INT, 1)), 'string_agg', '') AS stream FROM bits)"""
 
-@query()
+
+@query(f"""WITH parts AS (SELECT p_partkey, p_size, len(list_filter(range(1, 41), lambda n: (p_partkey + n * n) % 3 = 0)) AS picks FROM part),
+{_STREAM} SELECT p_partkey, stream, CAST(picks AS INT) AS n, TRUE AS same FROM streams""")
 def talent_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A selection for every part, written as a bit stream and read back; same tells that nothing was lost."""
     chosen = F.filter(F.sequence(F.lit(1), F.lit(40)), lambda n: (F.col("p_partkey") + n * n) % 3 == 0)
     picks = F.transform(chosen, lambda n: F.struct(n.alias("node"), (F.lit(1) + (F.col("p_partkey") % (n % 3 + 1))).cast("int").alias("rank"), (n % 4).alias("entry")))
     parts = table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").alias("spec"), picks.alias("picks"))
-    written = parts.withColumn("stream", B.encoded(F.lit(2), F.col("spec"), F.col("picks"), TREE))
+    written = parts.withColumn("stream", B.encoded(F.lit(B.VERSION), F.col("spec"), F.col("picks"), TREE))
     read = written.withColumn("d", B.decoded(F.col("stream"), TREE)).withColumn("h", B.header(F.col("stream")))
     same = (F.to_json("d.picks") == F.to_json("picks")) & (F.col("d.spec") == F.col("spec")) & (F.col("h.spec") == F.col("spec")) & (F.col("h.version") == 2)
     return read.select("p_partkey", "stream", F.size("picks").alias("n"), same.alias("same"))

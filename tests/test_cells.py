@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gaugeworks.functions import bits, stats, text
-from gaugeworks.operators import catalog, cells, compare, merge
+from gaugeworks.operators import catalog, cells, compare, merge, talents
 from gaugeworks.plans import rules
 from gaugeworks.sources import reports, scans, sinks
 
@@ -107,7 +107,7 @@ def test_text_functions(spark):
 
 
 def test_bit_streams(spark):
-    nodes = [(1, 1), (4, 3), (9, 2)]
+    nodes = [(9, 2, 1), (1, 1, 1), (4, 3, 4)]
     word = bits.encode_one(2, 300, {1: (1, 0), 4: (2, 3)}, nodes)
     assert bits.decode_one(word, nodes) == {"version": 2, "spec": 300, "picks": [{"node": 1, "rank": 1, "entry": 0}, {"node": 4, "rank": 2, "entry": 3}], "error": None}
     frame = spark.createDataFrame([(word,), ("?",), (None,), ("C",)], "w string")
@@ -115,6 +115,35 @@ def test_bit_streams(spark):
     assert got[0].spec == 300 and got[1].error == "unknown letter ?" and got[2].error == "missing" and got[3].picks == []
 
 
+def hand_written(spec, *fields):
+    """A stream from its fields' bits, by the format alone: version 2, the spec, an arbitrary hash, then the fields."""
+    low_first = lambda x, n: format(x, f"0{n}b")[::-1]
+    all_bits = low_first(2, 8) + low_first(spec, 16) + "10" * 64 + "".join(fields)
+    letters = [all_bits[k : k + 6].ljust(6, "0") for k in range(0, len(all_bits), 6)]
+    return "".join(bits.ALPHABET[int(x[::-1], 2)] for x in letters)
+
+
+def test_bit_streams_by_hand():
+    read = lambda nodes, *fields: bits.decode_one(hand_written(62, *fields), nodes)
+    picks = lambda *x: [(p["node"], p["rank"], p["entry"]) for p in read(*x)["picks"]]
+    assert read([(10, 2, 1)], "1100")["spec"] == 62 and picks([(10, 2, 1)], "1100") == [(10, 2, 0)]
+    assert picks([(10, 3, 1)], "10") == [(10, 1, 0)]  # granted, so not at its highest rank
+    assert picks([(10, 3, 1)], "111", "010000", "0") == [(10, 2, 0)]
+    assert picks([(10, 1, 2)], "1101", "10") == [(10, 1, 1)]
+    assert read([(10, 1, 1)], "1101", "11")["error"] == "node 10 has no entry 3"
+    assert picks([(30, 1, 1), (10, 1, 1), (20, 1, 1)], "1100", "0", "1100") == [(10, 1, 0), (30, 1, 0)]
+    assert bits.decode_one("D" + "A" * 24, [])["error"] == "version 3"
+    assert picks([(10, 1, 1), (11, 1, 1)], "10") == [(10, 1, 0)]  # zeros past the end
+
+
+def test_nodes_of_a_class(spark):
+    traits = spark.createDataFrame(
+        [(1, 1, 10, 100, 2, False), (1, 2, 20, 200, 1, True), (1, 2, 20, 201, 3, True), (1, 6, 30, 300, 1, False), (2, 1, 40, 400, 1, False)],
+        "class int, tree int, node int, entry int, rank int, tiered boolean",
+    )
+    assert talents.nodes_of(talents.layout(traits), 1) == [(10, 2, 1), (20, 4, 2)]
+
+
 def test_merging_keeps_what_is_newest_and_measured(spark):
     rows = [("a", "2024-02", 1), ("a", "2024-10", 2), ("b", None, 3), ("b", "2024-01", 4)]
     got = {r.k: r.v for r in merge.last_write_wins(spark.createDataFrame(rows, "k string, s string, v int"), ["k"], "s", ["v"]).collect()}
