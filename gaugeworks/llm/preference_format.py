@@ -2,8 +2,11 @@
 
 Turns are matched by position; the longest common prefix ends before the first position where role or text
 differ, or where one side has ended. The prefix is rendered once as the prompt. The rest of each conversation
-is its completion, and the loss mask covers the assistant turns of it alone, as character spans. The prefix
-length is a minimum over joined turns, so turns are gathered only to write the strings that hold them.
+is its completion, and the loss mask covers the assistant turns of it alone, as character spans.
+
+Both sides lie in one table with a column that names the side. It is shuffled once, by pair; positions, matches and
+span offsets are windows of that partitioning, and the strings one aggregation of it. A pair is one row of the
+result, so its turns meet in one task.
 """
 
 from __future__ import annotations
@@ -15,33 +18,50 @@ from pyspark.sql import Window as W
 from gaugeworks.llm.common import pick
 
 
-def _turns(rows: DataFrame, conv: str, turn: str, role: str, text: str) -> DataFrame:
-    """(pair_id, at, role, text), at counting from 0 in the order of turn, role and text."""
-    rows = pick(rows, pair_id=conv, turn=turn, role=role, text=text)
-    rows = rows.select("pair_id", "turn", F.coalesce("role", F.lit("user")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    order = W.partitionBy("pair_id").orderBy("turn", "role", "text")
-    return rows.select("pair_id", (F.row_number().over(order) - 1).cast("long").alias("at"), "role", "text")
-
-
 def render(role: Column, text: Column) -> Column:
     return F.concat(F.lit("<|"), role, F.lit("|>\n"), text, F.lit("<|end|>\n"))
 
 
-def _written(turns: DataFrame, prefix: DataFrame, side: str) -> DataFrame:
-    """(pair_id, prompt, n_prompt, completion, spans) of one side; spans are [from, to) of what the loss sees."""
-    met = turns.join(prefix, "pair_id").withColumn("shown", render(F.col("role"), F.col("text")))
-    rest = F.col("at") >= F.col("n_prompt")
-    begins = F.coalesce(F.sum(F.when(rest, F.length("shown"))).over(W.partitionBy("pair_id").orderBy("at").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    met = met.withColumn("begins", begins)
+def format_sides(
+    turns: DataFrame, side_col: str = "side", conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text"
+) -> DataFrame:
+    """format_preferences() over one table of both sides, where side_col is 'chosen' or 'rejected'; rows of any
+    other side are left out."""
+    rows = pick(turns, pair_id=conv_col, side=side_col, turn=turn_col, role=role_col, text=text_col)
+    rows = rows.where("pair_id IS NOT NULL AND side IN ('chosen', 'rejected')")
+    rows = rows.withColumn("role", F.coalesce("role", F.lit("user"))).withColumn("text", F.coalesce("text", F.lit("")))
+    per = W.partitionBy("pair_id")
+    own = W.partitionBy("pair_id", "side")
+    rows = rows.withColumn("at", (F.row_number().over(own.orderBy("turn", "role", "text")) - 1).cast("long"))
+    # a position has at most one turn of each side, so they are neighbours in this order
+    beside = per.orderBy("at", "side")
+    turn = F.struct("at", "role", "text")
+    is_shared = F.coalesce(F.lag(turn).over(beside) == turn, F.lit(False)) | F.coalesce(F.lead(turn).over(beside) == turn, F.lit(False))
+    rows = rows.withColumn("differs", F.when(~is_shared, F.col("at")))
+    rows = rows.withColumn("n_prompt_turns", F.coalesce(F.min("differs").over(per), F.max("at").over(per) + 1))
+    rest = F.col("at") >= F.col("n_prompt_turns")
+    rows = rows.withColumn("shown", render(F.col("role"), F.col("text")))
+    before = own.orderBy("at").rowsBetween(W.unboundedPreceding, -1)
+    rows = rows.withColumn("begins", F.coalesce(F.sum(F.when(rest, F.length("shown"))).over(before), F.lit(0)))
     head = F.length("role") + 5  # the role line isn't learned; the end mark is
-    span = F.when(rest & (F.col("role") == "assistant"), F.concat(F.col("begins") + head, F.lit(":"), F.col("begins") + F.length("shown") - 1))
-    gather = lambda value: F.array_sort(F.collect_list(F.when(value.isNotNull(), F.struct("at", value.alias("v")))))["v"]
-    grouped = met.groupBy("pair_id").agg(
-        F.array_join(gather(F.when(~rest, F.col("shown"))), "").alias("prompt"),
-        F.array_join(gather(F.when(rest, F.col("shown"))), "").alias(side),
-        F.array_join(gather(span), ",").alias(f"{side}_spans"),
+    span = F.concat(F.col("begins") + head, F.lit(":"), F.col("begins") + F.length("shown") - 1)
+    is_chosen = F.col("side") == "chosen"
+
+    def joined(value: str, which: Column, by: str = "") -> Column:
+        return F.array_join(F.array_sort(F.collect_list(F.when(which, F.struct("at", F.col(value).alias("v")))))["v"], by)
+
+    return (
+        rows.withColumn("span", F.when(rest & (F.col("role") == "assistant"), span))
+        .groupBy("pair_id")
+        .agg(
+            F.first("n_prompt_turns").alias("n_prompt_turns"),
+            joined("shown", is_chosen & ~rest).alias("prompt"),
+            joined("shown", is_chosen & rest).alias("chosen"),
+            joined("span", is_chosen & F.col("span").isNotNull(), ",").alias("chosen_spans"),
+            joined("shown", ~is_chosen & rest).alias("rejected"),
+            joined("span", ~is_chosen & F.col("span").isNotNull(), ",").alias("rejected_spans"),
+        )
     )
-    return grouped
 
 
 def format_preferences(
@@ -54,24 +74,15 @@ def format_preferences(
     completion for the other. Equal conversations are all prompt. Null roles count as user, null texts as
     empty; turns that share a number follow role and text; a null conv_id is left out. Empty tables give no rows.
     """
-    sides = [_turns(x.where(x[conv_col].isNotNull()), conv_col, turn_col, role_col, text_col) for x in (chosen, rejected)]
-    a, b = (x.select("pair_id", "at", F.struct("role", "text").alias(n)) for x, n in zip(sides, ("a", "b"), strict=True))
-    both = a.join(b, ["pair_id", "at"], "full")
-    prefix = both.groupBy("pair_id").agg(
-        F.coalesce(F.min(F.when(~F.coalesce(F.col("a") == F.col("b"), F.lit(False)), F.col("at"))), F.count(F.lit(1))).alias("n_prompt")
-    )
-    left = _written(sides[0], prefix, "chosen")
-    right = _written(sides[1], prefix, "rejected").drop("prompt")
-    out = prefix.join(left, "pair_id", "left").join(right, "pair_id", "left")
-    empty = lambda c: F.coalesce(c, F.lit("")).alias(c)
-    return out.select(
-        "pair_id", F.col("n_prompt").alias("n_prompt_turns"), *(empty(c) for c in ("prompt", "chosen", "chosen_spans", "rejected", "rejected_spans"))
-    )
+    columns = {"conv_id": conv_col, "turn": turn_col, "role": role_col, "text": text_col}
+    sides = [pick(x, **columns).withColumn("side", F.lit(n)) for x, n in ((chosen, "chosen"), (rejected, "rejected"))]
+    return format_sides(sides[0].unionByName(sides[1]))
 
 
 def repeated_answer(conversations: DataFrame) -> DataFrame:
-    """A rejected side for conversations that come without one: the last assistant turn repeats the answer
-    before it, or is empty if there was none. Conversations without an assistant turn stay as they are."""
+    """Both sides of conversations that come alone, as (conv_id, turn, role, text, side): the chosen one as it is; in
+    the rejected one the last assistant turn repeats the answer before it, or is empty if there was none.
+    Conversations without an assistant turn are equal on both sides."""
     rows = pick(conversations, conv_id="conv_id", turn="turn", role="role", text="text")
     per = W.partitionBy("conv_id")
     order = per.orderBy("turn", "role", "text")
@@ -80,4 +91,6 @@ def repeated_answer(conversations: DataFrame) -> DataFrame:
     rows = rows.withColumn("last_n", F.max(F.when(F.col("role") == "assistant", F.col("n"))).over(per))
     rows = rows.withColumn("before", F.last(said, ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, -1)))
     worse = F.when(F.col("n") == F.col("last_n"), F.coalesce("before", F.lit(""))).otherwise(F.col("text"))
-    return rows.select("conv_id", "turn", "role", worse.alias("text"))
+    side = lambda name, text: F.struct(F.lit(name).alias("side"), text.alias("text"))
+    both = F.explode(F.array(side("chosen", F.col("text")), side("rejected", worse))).alias("of")
+    return rows.select("conv_id", "turn", "role", both).select("conv_id", "turn", "role", "of.text", "of.side")

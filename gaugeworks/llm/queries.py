@@ -139,8 +139,7 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op9_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The table has single conversations, so each is paired with a worse end of its own."""
-    turns = table(spark, sf_dir, "conversations")
-    return preference_format.format_preferences(turns, preference_format.repeated_answer(turns))
+    return preference_format.format_sides(preference_format.repeated_answer(table(spark, sf_dir, "conversations")))
 
 
 @_query()

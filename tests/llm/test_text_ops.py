@@ -167,8 +167,20 @@ def test_preference_pairs(spark):
     assert (got[2].chosen, got[2].rejected, got[2].prompt) == ("", "", "<|user|>\na<|end|>\n")
     assert got[3].chosen == "<|user|>\n<|end|>\n" and got[3].rejected == "" and got[4].chosen == "" and got[4].rejected_spans == "14:22"
     assert preference_format.format_preferences(chosen.limit(0), rejected.limit(0)).count() == 0
-    worse = {(r.conv_id, r.turn): r.text for r in preference_format.repeated_answer(chosen).collect()}
+    worse = {(r.conv_id, r.turn): r.text for r in preference_format.repeated_answer(chosen).where("side = 'rejected'").collect()}
     assert worse[1, 3] == "yo" and worse[1, 1] == "yo" and worse[2, 0] == "a"
+    assert preference_format.repeated_answer(chosen).where("side = 'chosen'").select(chosen.columns).exceptAll(chosen).count() == 0
+    # turns of equal number, role and text, a long conversation, and one shuffle for it all
+    long = [(7, k // 2, ("user", "assistant")[k % 2], f"t{k}") for k in range(2000)]
+    twice = rows((5, 0, "user", "a"), (5, 0, "user", "a"), (5, 0, "user", "b"), *long)
+    got = preference_format.format_preferences(twice, rows((5, 0, "user", "a"), (5, 0, "user", "a"), *long[:-1]))
+    found = {r.pair_id: r for r in got.collect()}
+    assert found[5].n_prompt_turns == 2 and found[5].chosen == "<|user|>\nb<|end|>\n" and found[5].rejected == ""
+    # equal numbers follow the role, so the lone last user turn lies where the longer side has its answer
+    assert found[7].n_prompt_turns == 1998 and found[7].rejected == "<|user|>\nt1998<|end|>\n"
+    assert found[7].chosen == "<|assistant|>\nt1999<|end|>\n<|user|>\nt1998<|end|>\n"
+    plan = preference_format.format_sides(preference_format.repeated_answer(twice))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
 
 
 def test_odd_rows(spark):
