@@ -23,12 +23,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugeworks.llm import simhash
-from gaugeworks.llm.common import SMALL_ROWS, gathered, join_by_group, pick, raw_texts, semi_join, slices
+from gaugeworks.llm.common import HOT_SHARE, SMALL_ROWS, gathered, join_by_group, pick, raw_texts, semi_join, slices
 from gaugeworks.llm.components import components
 from gaugeworks.session import checkpointed
 
 WORDS, NUMBERS, LIMIT, SAME, MISS, MOST_CENTRES = 5, 4, 56, 0.848, 0.01, 512
 BITS = 64 * NUMBERS
+HOT_BYTES, PART_PAIRS = 65_536, 256
 FPS = tuple(f"fp{k}" for k in range(NUMBERS))
 
 
@@ -125,7 +126,12 @@ def _sets(rows: DataFrame) -> DataFrame:
 
 
 def _near(pairs: DataFrame, sets: DataFrame, rows: int) -> DataFrame:
-    """(doc_id, node): `gone` of the pairs (u, v, gone) that are near. A node u has few partners, but v may have many."""
+    """(doc_id, node): `gone` of the pairs (u, v, gone) that are near. A node u has few partners, but v may have many.
+
+    A set that at least HOT_SHARE of the pairs need, so one of 1 / HOT_SHARE at most, is broadcast if it has no more
+    than HOT_BYTES: some 64 MB in all. Any other is copied for every PART_PAIRS of its pairs, which meet it in
+    different tasks.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -134,16 +140,25 @@ def _near(pairs: DataFrame, sets: DataFrame, rows: int) -> DataFrame:
                 keep = pa.array([is_near(x, y) for x, y in zip(a, b, strict=True)], pa.bool_())
                 yield part.select(["doc_id", "node"]).filter(keep)
 
-    counts = checkpointed(gathered(pairs.groupBy("v").count(), rows))
     n = pairs.count()
     if n == 0:
         return pairs.select("gone.doc_id", "gone.node")
     # few pairs go to the sets, which are wide, and not the other way
     few = F.broadcast if n <= SMALL_ROWS else lambda df: df
-    groups = sets.select(F.col("node").alias("v"), F.col("held").alias("v_held")).join(few(counts), "v")
-    met = join_by_group(sets.select(F.col("node").alias("u"), "held").join(few(pairs), "u"), groups, "v", "count", n)
+    kinds = sets.select(F.col("node").alias("v"), F.length("held").alias("bytes")).join(few(pairs.groupBy("v").count()), "v")
+    is_hot = (F.col("count") >= max(2, int(n * HOT_SHARE))) & (F.col("bytes") <= HOT_BYTES)
+    kinds = checkpointed(gathered(kinds.select("v", "count", is_hot.alias("hot"), F.ceil(F.col("count") / PART_PAIRS).alias("parts")), rows))
+    dealt = pairs.join(F.broadcast(kinds), "v") if n <= SMALL_ROWS else join_by_group(pairs, kinds, "v", "count", n)
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("u"), "parts")).drop("parts", "count")
+    left = sets.select(F.col("node").alias("u"), "held").join(few(dealt), "u")
+    right = sets.select(F.col("node").alias("v"), F.col("held").alias("v_held")).join(few(kinds), "v")
+    wanted = [F.col("gone.doc_id"), F.col("gone.node"), F.col("held"), F.col("v_held")]
+    at_hot = left.where("hot").join(F.broadcast(right.where("hot").select("v", "v_held")), "v").select(*wanted)
+    parted = right.where("NOT hot").select("v", "v_held", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    met = at_hot.union(left.where("NOT hot").join(parted.hint("merge"), ["v", "part"]).select(*wanted))
+    met = gathered(met, n, 2000)
     kind = dict(pairs.select("gone.doc_id").dtypes)["doc_id"]
-    return met.select("gone.doc_id", "gone.node", "held", "v_held").mapInArrow(work, f"doc_id {kind}, node long").distinct()
+    return met.mapInArrow(work, f"doc_id {kind}, node long").distinct()
 
 
 def groups_of(docs: DataFrame) -> DataFrame:
