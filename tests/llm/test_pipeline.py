@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from gaugeworks.llm import language_id
+from gaugeworks.llm import language_id, near_copies
 from gaugeworks.llm.common import is_held_out
 from tests.llm.helpers import closure
 from tests.llm.test_dedup import DOCS, ODD
@@ -149,3 +149,16 @@ def near_pairs(sets):
             both.update(itertools.combinations(sorted(rows, key=repr), 2))
     both = {(a, b): len(sets[a] & sets[b]) for a, b in both}
     return [(a, b) for (a, b), n in both.items() if n >= 0.8 * (len(sets[a]) + len(sets[b]) - n)]
+
+
+def test_near_pairs_meet_alike_by_broadcast_and_in_parts(spark, monkeypatch):
+    word = lambda k: f"w{k % 97}x{k}"
+    base = [word(k) for k in range(120)]
+    texts = [" ".join([*base[:at], "changed", *base[at + 1 :]]) for at in range(30)] + [" ".join(word(k) for k in range(s, s + 90)) for s in (1000, 2000)]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    found = lambda: {r.doc_id for r in near_copies.near_copies(docs).collect()}
+    first = found()
+    assert first == set(range(1, 30))
+    monkeypatch.setattr(near_copies, "HOT_BYTES", 0)
+    monkeypatch.setattr(near_copies, "PART_PAIRS", 4)
+    assert found() == first
