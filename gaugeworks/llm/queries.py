@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from gaugeworks.llm import (
     decontamination,
     exact_dedup,
+    filter_audit,
     language_id,
     license_scan,
     line_dedup,
@@ -147,6 +148,37 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@_query(
+    r"""
+    WITH d AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(source, '') AS part FROM documents),
+    w AS (SELECT d.*, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words, min(doc_id) OVER (PARTITION BY text) AS first_id FROM d),
+    f AS (SELECT w.part, coalesce(l.quality = 1, false) AS good, coalesce(l.toxic = 1, false) AS toxic,
+                 (len(words) < 50)::INT + 2 * (100 * len(list_distinct(words)) < 65 * len(words))::INT
+                 + 4 * (100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 5 * length(text))::INT
+                 + 8 * (regexp_matches(text, '[#$%&*|]'))::INT + 16 * (w.doc_id > first_id)::INT AS mask
+          FROM w LEFT JOIN labels l USING (doc_id)),
+    m AS (SELECT part, mask, count(*) AS n, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE toxic) AS toxic FROM f GROUP BY part, mask),
+    x AS (SELECT unnest([0, 1, 2, 3, 4]) AS k),
+    o AS (SELECT [a.k, b.k, c.k, d.k, e.k] AS ks FROM x a JOIN x b ON b.k <> a.k JOIN x c ON c.k NOT IN (a.k, b.k) JOIN x d ON d.k NOT IN (a.k, b.k, c.k)
+          JOIN x e ON e.k NOT IN (a.k, b.k, c.k, d.k)),
+    s AS (SELECT array_to_string(list_transform(ks, lambda k: chr(65 + k)), '') AS filter_order, k + 1 AS step,
+                 coalesce(list_sum(list_transform(ks[1:k], lambda y: 1 << y)), 0)::INT AS earlier, 1 << ks[k + 1] AS own
+          FROM o, x)
+    SELECT part, filter_order, CAST(step AS INT) AS step,
+           CAST(coalesce(sum(n) FILTER (WHERE mask & (earlier | own) = 0), 0) AS BIGINT) AS kept,
+           CAST(coalesce(sum(n) FILTER (WHERE mask & own <> 0 AND mask & earlier = 0), 0) AS BIGINT) AS removed,
+           CAST(coalesce(sum(n) FILTER (WHERE mask & own <> 0 AND mask & earlier <> 0), 0) AS BIGINT) AS redundant,
+           CAST(coalesce(sum(n) FILTER (WHERE mask = own), 0) AS BIGINT) AS unique_fails,
+           CAST(coalesce(sum(good) FILTER (WHERE mask & own <> 0 AND mask & earlier = 0), 0) AS BIGINT) AS good_lost,
+           CAST(coalesce(sum(toxic) FILTER (WHERE mask & own <> 0 AND mask & earlier = 0), 0) AS BIGINT) AS toxic_lost,
+           CAST(coalesce(sum(n * 120 // greatest(bit_count(mask), 1)) FILTER (WHERE mask & own <> 0), 0) AS BIGINT) AS shapley
+    FROM m, s GROUP BY part, filter_order, step
+    """
+)
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @_query()
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline  # at the repository's top; the other queries don't need it
