@@ -15,8 +15,10 @@ from gaugeworks.llm import (
     language_id,
     license_scan,
     line_dedup,
+    merkle,
     packing,
     preference_format,
+    ranked_search,
     simhash,
     token_files,
     toxicity,
@@ -179,6 +181,35 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@_query(
+    r"""
+    WITH d AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                 '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+    i AS (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+    q AS (SELECT item_id, term, count(*) AS times FROM i GROUP BY item_id, term),
+    n AS (SELECT count(*) AS n_docs, CAST(sum(len(terms)) AS BIGINT) AS n_terms FROM d WHERE len(terms) > 0),
+    p AS (SELECT doc_id, term, m, count(*) AS tf
+          FROM (SELECT doc_id, 25 + (75 * len(terms) * n_docs) // n_terms AS m, unnest(terms) AS term FROM d, n WHERE len(terms) > 0)
+          WHERE term IN (SELECT term FROM q) GROUP BY doc_id, term, m),
+    w AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(n_docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS weight FROM p, n GROUP BY term),
+    s AS (SELECT item_id, doc_id, CAST(sum(times * weight * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+          FROM q JOIN w USING (term) JOIN p USING (term) GROUP BY item_id, doc_id),
+    r AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS rank FROM s WHERE score > 0)
+    SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10
+    """
+)
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "search-index")
+    ranked_search.build_index(table(spark, sf_dir, "documents"), path)
+    return ranked_search.search(spark, path, table(spark, sf_dir, "benchmark"))
+
+
+@_query()
+def op12_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.half_replaced(table(spark, sf_dir, "documents"))
+
+
 @_query()
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline  # at the repository's top; the other queries don't need it
