@@ -8,8 +8,10 @@ children's digests. The root tests equality; where roots differ, equal nodes are
 are followed down to the edit.
 
 A fingerprint is a text: the root, and the nodes of the finest level of at most MOST_NODES nodes and of all above it,
-each as five hex digits of its digest and four of its length. Two fingerprints are compared at the finest level that
-both hold: likeness is twice the code points in equal nodes over those of both texts.
+each as five hex digits of its digest and four of its length. Where that level has under FEW_NODES nodes, the one below
+is added if it has no more than four times MOST_NODES; below the tokens are the single characters. Two fingerprints
+are compared at the finest level that both hold: likeness is twice the code points in equal nodes over those of both
+texts.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ from pyspark.sql import window as W
 from gaugeworks.llm.common import pick, slices
 from gaugeworks.session import checkpointed, scratch_path
 
-SENTENCE, PARAGRAPH, SECTION, TOP_LEVEL, MOST_NODES, MOST_BRANCHES = 3, 4, 5, 14, 64, 2000
+SENTENCE, PARAGRAPH, SECTION, TOP_LEVEL, MOST_NODES, FEW_NODES, MOST_BRANCHES = 3, 4, 5, 14, 64, 12, 2000
 TOKEN = re.compile(r"[^\x20\x09-\x0D]{1,12}[\x20\x09-\x0D]{0,12}|[\x20\x09-\x0D]{1,12}")
 _LEAF = np.dtype([("digest", "V16"), ("ends", "u1"), ("chars", "u1")])
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xFF51AFD7ED558CCD)]
@@ -87,7 +89,7 @@ class Tree:
 
     def __init__(self, text: str):
         self.n_chars = len(text)
-        self.text = text if len(text) <= MOST_NODES else ""
+        self.text = text if len(text) <= 4 * MOST_NODES else ""
         leaves = np.frombuffer(b"".join(map(_leaves.__getitem__, TOKEN.findall(text))), _LEAF)
         digests, chars = leaves["digest"].tobytes(), leaves["chars"].astype(np.int64)
         self.levels = [(digests, chars)]
@@ -108,19 +110,23 @@ class Tree:
         self.root = hashlib.blake2b(self.levels[-1][0] + str(self.n_chars).encode(), digest_size=16).hexdigest()
 
     def fingerprint(self) -> str:
+        sizes = [len(self.text) or self.n_chars, *(len(chars) for _, chars in self.levels)]
+        finest = next((level for level, n in enumerate(sizes) if n <= MOST_NODES), len(sizes) - 1)
+        if finest and sizes[finest] < FEW_NODES and sizes[finest - 1] <= 4 * MOST_NODES:
+            finest -= 1
         out = [self.root]
-        if self.text:
-            out.append("0" + "".join(f"{ord(c) & 0xFFFFF:05x}0001" for c in self.text))
+        if finest == 0 and self.text:
+            out.append("0" + "".join([f"{ord(c) & 0xFFFFF:05x}0001" for c in self.text]))
         for level, (digests, chars) in enumerate(self.levels, 1):
-            if 0 < len(chars) <= MOST_NODES:
+            if level >= finest and len(chars):
                 names = digests.hex()
                 out.append(f"{level:x}" + "".join([f"{names[32 * k : 32 * k + 5]}{n:04x}" for k, n in enumerate(np.minimum(chars, 0xFFFF).tolist())]))
         return ":".join(out)
 
 
 def compare(a: str, b: str) -> float:
-    """Likeness, from 0 to 1, of two fingerprints. Texts of which one has under 64 tokens and the other not many more
-    are compared from both their ends; longer ones as multisets of nodes. Texts whose lengths lie far apart hold no
+    """Likeness, from 0 to 1, of two fingerprints. At the levels of characters and tokens, so for short texts, nodes are
+    compared from both ends; above them as multisets. Texts whose lengths lie far apart hold no
     level in common and count as unlike."""
     root_a, *levels_a = a.split(":")
     root_b, *levels_b = b.split(":")
