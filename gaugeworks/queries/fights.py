@@ -277,17 +277,36 @@ def _drained(stream: DataFrame, mode: str, path: str) -> None:
 
 @query(f"WITH {AURAS} SELECT fight, ability, start_ AS \"start\", end_ AS \"end\", truncated, opener FROM auras")
 def aura_windows_streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The windows of aura_windows, paired by a stateful stream over the events as files."""
-    from gaugeworks.streaming.windows import paired_stream
+    """The windows of aura_windows, paired by a stateful stream over the events as files.
+
+    The files hold a sixth of the time each; every seventh row comes a file late, which the watermark's delay of two
+    files allows. A last file holds one row far behind the end, which lets the watermark pass every fight's end.
+    """
+    from gaugeworks.streaming.windows import keyed_state, paired_stream
 
     path = scratch_path(spark, "aura-stream")
     kind = F.when(F.col("event_type") == "signup", "start").when(F.col("event_type") == "purchase", "end")
-    ev = events(spark, sf_dir).select("fight", (F.col("event_id") % 2).alias("ability"), "t", F.col("event_id").alias("seq"), kind.alias("kind"), (F.col("event_id") % 4).alias("source"), "duration")
-    marks = ev.where("kind IS NOT NULL")
-    over = marks.groupBy("fight", "ability").agg(F.max("duration").alias("t")).select("fight", "ability", "t", F.lit(1 << 62).alias("seq"), F.lit("finish").alias("kind"), F.lit(None).cast("long").alias("source"))
-    rows = marks.drop("duration").unionByName(over)
-    rows.write.parquet(f"{path}/in")
-    _drained(paired_stream(spark.readStream.schema(rows.schema).parquet(f"{path}/in")), "append", path)
+    ev = events(spark, sf_dir).withColumn("kind", kind).where("kind IS NOT NULL")
+    ends = (F.floor(F.col("ms") / 86400000) * 86400000 + F.round(F.col("duration") * 1000)).cast("long").alias("ends")
+    rows = ev.select(
+        F.timestamp_millis("ms").alias("ts"), "fight", (F.col("event_id") % 2).alias("ability"), "t", F.col("event_id").alias("seq"), "kind",
+        (F.col("event_id") % 4).alias("source"), ends, "duration",
+    )
+    first, last = rows.agg(F.unix_millis(F.min("ts")), F.unix_millis(F.max("ts"))).first()
+    if first is None:
+        return spark.createDataFrame([], "fight long, ability long, start double, end double, truncated boolean, opener long")
+    span = (last - first) // 6 + 1
+    file = F.floor((F.unix_millis("ts") - first) / span) + F.when(F.col("seq") % 7 == 0, 1).otherwise(0)
+    tick = spark.range(1).select(
+        F.timestamp_millis(F.lit(last + 3 * span + 2 * 86400000)).alias("ts"), *(F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in rows.columns[1:])
+    )
+    numbered = checkpointed(rows.withColumn("file", file))
+    for k in range(7):  # files are read by the time of their writing
+        numbered.where(F.col("file") == k).drop("file").coalesce(1).write.mode("append").parquet(f"{path}/in")
+    tick.coalesce(1).write.mode("append").parquet(f"{path}/in")
+    with keyed_state(spark):
+        stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+        _drained(paired_stream(stream, f"{2 * span} milliseconds"), "append", path)
     return spark.read.parquet(f"{path}/rows")
 
 

@@ -6,52 +6,109 @@ Each gives, once the stream has ended, the rows of its batch form over the same
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 PAIR_OUT = "fight long, ability long, start double, end double, truncated boolean, opener long"
-PAIR_STATE = "open boolean, start double, opener long"
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 
-def paired_stream(events: DataFrame) -> DataFrame:
-    """Windows of kind 'start' to kind 'end' per (fight, ability), as they close, in append mode.
+@contextmanager
+def keyed_state(spark: SparkSession) -> Iterator[None]:
+    """State of several kinds for each key, and timers, need the RocksDB store; streams that start inside have it."""
+    before = spark.conf.get(_PROVIDER)
+    spark.conf.set(_PROVIDER, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(_PROVIDER, before)
 
-    events: fight, ability, t, seq, kind, source. A row of kind 'finish' says that the fight is over at its t: a
-    window still open is closed there, truncated. Rows of one trigger are taken in the order of t and seq, so
-    the source must not deliver a fight's rows in a later trigger than rows that follow them. The state of a
-    key is one open window.
-    """
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        is_open, start, opener = state.get if state.exists else (False, None, None)
+class _Pairing(StatefulProcessor):
+    """Of each (fight, ability): the open window, the rows that the watermark hasn't passed, and the fight's end."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getValueState("open", "start double, opener long")
+        self.waiting = handle.getListState("waiting", "at long, t double, seq long, kind string, source long")
+        self.fight = handle.getValueState("fight", "ends long, duration double")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        for frame in rows:
+            frame = frame[frame.kind.isin(["start", "end"])]
+            if not len(frame):
+                continue
+            if not self.fight.exists():
+                ends = int(frame.ends.iloc[0])
+                self.fight.update((ends, float(frame.duration.iloc[0])))
+                self.handle.registerTimer(ends)
+            sources = [None if pd.isna(s) else int(s) for s in frame.source]
+            self.waiting.appendList(
+                [(int(a), float(t), int(q), k, s) for a, t, q, k, s in zip(frame.stamp, frame.t, frame.seq, frame.kind, sources, strict=True)]
+            )
+        yield from self._released(key, timerValues.getCurrentWatermarkInMs())
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if not self.fight.exists():
+            return
+        ends, duration = self.fight.get()
+        if expiredTimerInfo.getExpiryTimeInMs() < ends:  # rows that no later input has released
+            yield from self._released(key, timerValues.getCurrentWatermarkInMs())
+            return
+        yield from self._released(key, 1 << 62)
+        if self.open.exists():
+            start, opener = self.open.get()
+            yield self._frame([(*key, start, duration, True, opener)])
+        for state in (self.open, self.waiting, self.fight):
+            state.clear()
+
+    def _released(self, key: tuple, until: int) -> Iterator[pd.DataFrame]:
+        """Takes the waiting rows up to the watermark, in their order, and gives the windows that they close."""
+        waiting = sorted(self.waiting.get(), key=lambda r: (r[1], r[2]))
+        ready, rest = [r for r in waiting if r[0] <= until], [r for r in waiting if r[0] > until]
+        if rest:
+            self.handle.registerTimer(int(max(r[0] for r in rest)))
+        if not ready:
+            return
+        window = self.open.get() if self.open.exists() else None
         out = []
-        rows = pd.concat(list(frames), ignore_index=True).sort_values(["t", "seq"])
-        finished = False
-        for t, kind, source in zip(rows.t, rows.kind, rows.source, strict=True):
-            source = None if pd.isna(source) else int(source)
-            if kind == "start" and not is_open:
-                is_open, start, opener = True, float(t), source
-            elif kind == "end":
-                out.append((*key, start if is_open else 0.0, float(t), not is_open, opener if is_open and opener is not None else source))
-                is_open, start, opener = False, None, None
-            elif kind == "finish":
-                finished = True
-                if is_open:
-                    out.append((*key, start, float(t), True, opener))
-                    is_open, start, opener = False, None, None
-        if finished or not is_open:
-            if state.exists:
-                state.remove()
+        for _, t, _, kind, source in ready:
+            if kind == "start":
+                window = window or (t, source)
+            else:
+                start, opener = window or (0.0, None)
+                out.append((*key, start, t, window is None, source if opener is None else opener))
+                window = None
+        if window:
+            self.open.update(tuple(window))
         else:
-            state.update((is_open, start, opener))
-        frame = pd.DataFrame(out, columns=["fight", "ability", "start", "end", "truncated", "opener"])
-        yield frame.astype({"opener": "Int64"})
+            self.open.clear()
+        if rest:
+            self.waiting.put(rest)
+        else:
+            self.waiting.clear()
+        if out:
+            yield self._frame(out)
+
+    def _frame(self, rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=["fight", "ability", "start", "end", "truncated", "opener"]).astype({"opener": "Int64"})
+
 
-    grouped = events.groupBy("fight", "ability")
-    return grouped.applyInPandasWithState(step, PAIR_OUT, PAIR_STATE, "append", GroupStateTimeout.NoTimeout)
+def paired_stream(events: DataFrame, delay: str) -> DataFrame:
+    """Windows of kind 'start' to kind 'end' per (fight, ability), in append mode, as intervals.paired gives them.
+
+    events: ts (event time), fight, ability, t (seconds into the fight), seq, kind, source, ends (time of the fight's
+    end in ms) and duration (its seconds). Rows may come in any order that the watermark, `delay` behind the newest
+    row, allows: they wait until it has passed them, and later ones are dropped. At the fight's end a timer closes a
+    window that is still open, truncated, and the key's state goes. Start it inside keyed_state().
+    """
+    rows = events.withWatermark("ts", delay).withColumn("stamp", F.unix_millis("ts"))
+    grouped = rows.groupBy("fight", "ability")
+    return grouped.transformWithStateInPandas(_Pairing(), PAIR_OUT, "Append", "EventTime")
 
 
 def entity_stream(hits: DataFrame, delay: str = "1 hour") -> DataFrame:

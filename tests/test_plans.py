@@ -57,7 +57,9 @@ def test_tiers_and_schemas(spark, tmp_path):
 
 def test_labels(spark):
     frame = spark.createDataFrame([(1.0, 5), (4.8, 5), (3.5, 5), (2.0, 5), (1.2, 5), (None, 5)], "v double, t int")
-    assert [r.l for r in frame.select(labels.concentration_label(F.col("v"), F.col("t")).alias("l")).collect()] == ["even", "single", "focused", "leaning", "slight", None]
+    assert [r.l for r in frame.select(labels.concentration_label(F.col("v"), F.col("t")).alias("l")).collect()] == [
+        "Spread evenly", "Almost all on main target", "Very concentrated", "Concentrated", "Slightly favours main target", None
+    ]
     one = spark.range(1).select(
         labels.signed_percent(F.lit(-0.0123)).alias("a"), labels.compact_number(F.lit(1234567)).alias("b"), labels.compact_number(F.lit(12345)).alias("c"), labels.level_gap(F.lit(10), F.lit(12), F.lit(20), F.lit(False)).alias("d"),
         labels.level_gap(F.lit(None).cast("int"), F.lit(1), F.lit(2), F.lit(True)).alias("e"), labels.variant_options(F.lit("v"), F.array(F.lit("x=1"), F.lit("y=2"))).alias("f"), labels.cast_times(F.lit(10.0)).alias("g"),

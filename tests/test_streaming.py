@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from gaugeworks.operators import intervals as I
 from gaugeworks.streaming.sink import MergedTable
-from gaugeworks.streaming.windows import entity_stream, paired_stream, tumbling
+from gaugeworks.streaming.windows import entity_stream, keyed_state, paired_stream, tumbling
 
 HITS = "ts timestamp, fight long, actor long, instance long, t double, amount double"
 
@@ -15,21 +15,43 @@ def drain(stream, mode, path):
 
 
 def test_pairing_over_several_triggers_equals_the_batch_form(spark, tmp_path):
+    """Rows come out of order and across triggers; each trigger is a run of its own, from the checkpoint of the last."""
     rng = random.Random(8)
     rows, seq = [], 0
     for k in range(20):
         for n in range(rng.randint(1, 14)):
             seq += 1
-            rows.append((k % 7, k, float(n), seq, rng.choice(["start", "end", "refresh"]), rng.randint(0, 3)))
+            rows.append((k % 7, k, float(n), seq, rng.choice(["start", "end", "refresh"]), rng.choice([None, 1, 2])))
     frame = spark.createDataFrame(rows, "fight long, ability long, t double, seq long, kind string, source long")
     batch = I.paired(frame.withColumn("duration", F.lit(50.0)), ["fight", "ability"], ["t", "seq"])
-    ends = frame.groupBy("fight", "ability").agg(F.lit(50.0).alias("t"), F.lit(10**6).cast("long").alias("seq"), F.lit("finish").alias("kind"), F.lit(None).cast("long").alias("source"))
+    stamped = frame.select(F.timestamp_millis((F.col("t") * 1000).cast("long") + 1_000_000).alias("ts"), "*", F.lit(1_050_000).cast("long").alias("ends"), F.lit(50.0).alias("duration"))
+    late = F.col("seq") % 3 == 0  # a third of the rows comes a trigger late, within the delay
+    end = spark.createDataFrame([(1_100_000,)], "ms long").select(F.timestamp_millis("ms").alias("ts"), *(F.lit(None).cast(f.dataType).alias(f.name) for f in stamped.schema[1:]))
+    parts = [stamped.where((F.col("t") < 4) & ~late), stamped.where(((F.col("t") < 4) & late) | ((F.col("t") >= 4) & (F.col("t") < 9) & ~late))]
+    parts += [stamped.where(((F.col("t") >= 4) & (F.col("t") < 9) & late) | ((F.col("t") >= 9) & ~late)), stamped.where((F.col("t") >= 9) & late), end]
     path = str(tmp_path)
-    for k, part in enumerate([frame.where("t < 4"), frame.where("t >= 4 AND t < 9"), frame.where("t >= 9"), ends]):
+    open_rows = []
+    for part in parts:
         part.coalesce(1).write.mode("append").parquet(f"{path}/in")
-        drain(paired_stream(spark.readStream.schema(frame.schema).parquet(f"{path}/in")), "append", path)  # goes on from its checkpoint
-    as_set = lambda df: sorted(tuple(r) for r in df.select("fight", "ability", "start", "end", "truncated").collect())
+        with keyed_state(spark):
+            drain(paired_stream(spark.readStream.schema(stamped.schema).parquet(f"{path}/in"), "10 seconds"), "append", path)
+        open_rows.append(spark.read.schema("fight long").parquet(f"{path}/rows").count())
+    as_set = lambda df: sorted(repr(tuple(r)) for r in df.select("fight", "ability", "start", "end", "truncated", "opener").collect())
     assert as_set(spark.read.parquet(f"{path}/rows")) == as_set(batch)
+    assert open_rows[0] == 0 and open_rows[-2] < open_rows[-1]  # the timer at the fights' end closes the rest
+
+
+def test_rows_behind_the_watermark_are_dropped(spark, tmp_path):
+    row = lambda s, kind: spark.createDataFrame([(s, kind)], "s long, kind string").select(
+        F.timestamp_millis(F.col("s") * 1000).alias("ts"), F.lit(1).cast("long").alias("fight"), F.lit(1).cast("long").alias("ability"), F.col("s").cast("double").alias("t"),
+        F.col("s").alias("seq"), "kind", F.lit(7).cast("long").alias("source"), F.lit(40_000).cast("long").alias("ends"), F.lit(40.0).alias("duration"),
+    )
+    path = str(tmp_path)
+    for part in (row(10, "start"), row(30, "other"), row(12, "end"), row(90, "other")):
+        part.coalesce(1).write.mode("append").parquet(f"{path}/in")
+        with keyed_state(spark):
+            drain(paired_stream(spark.readStream.schema(part.schema).parquet(f"{path}/in"), "5 seconds"), "append", path)
+    assert [tuple(r) for r in spark.read.parquet(f"{path}/rows").collect()] == [(1, 1, 10.0, 40.0, True, 7)]
 
 
 def test_running_aggregates(spark, tmp_path):
