@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from gaugeworks.operators.components import components
 from gaugeworks.session import checkpointed
 
+#: Fixed value: shapes are near when fewer of their samples than this share differ. Rows of a chunk that are compared.
+NEAR, CHUNK = 0.2, 500
+
 
 def last_before(steps: DataFrame, grid: DataFrame, keys: list[str], at: str, value: str) -> DataFrame:
     """grid (keys, at) with the value of the last step at or before it; 0 before the first. One union and one
@@ -46,38 +55,113 @@ def pair_distances(shapes: DataFrame, within: str, name: str) -> DataFrame:
     return met.select(within, f"{name}_a", f"{name}_b", shape_distance(F.col("shape_a"), F.col("shape_b")).alias("distance"))
 
 
-def clusters(shapes: DataFrame, distances: DataFrame, within: str, name: str, less: float = 0.2) -> DataFrame:
-    """(within, name, cluster): single-link clusters of members closer than `less`, each named by its first.
+def _tiles(rows: DataFrame, key: list[str], name: str) -> DataFrame:
+    """(key, members): the rows of each key that has two or more, dealt to chunks of about CHUNK; a row of two chunks
+    (or one) side by side for each pair of chunks, as an array of (name, shape). No task holds more than two."""
+    sizes = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").withColumn("_parts", F.ceil(F.col("_n") / CHUNK).cast("int"))
+    dealt = rows.join(sizes, key).withColumn("_part", F.pmod(F.xxhash64(name), F.col("_parts")).cast("int"))
+    dealt = dealt.withColumn("_with", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+    low, high = F.least("_part", "_with").alias("_low"), F.greatest("_part", "_with").alias("_high")
+    return dealt.groupBy(*key, low, high).agg(F.collect_list(F.struct(name, "shape")).alias("members")).select(*key, "members")
+
+
+def _tile_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, int, pa.Array, np.ndarray]]:
+    """Of each tile its batch and row, its names, and how many samples of each two shapes differ."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            members = batch.column("members")[k].values
+            shapes = np.stack([np.asarray(x) for x in members.field(1).to_pylist()])
+            apart = np.concatenate([(shapes[at : at + 32, None] != shapes[None]).sum(2) for at in range(0, len(shapes), 32)])
+            yield batch, k, members.field(0), apart
 
-    Labels spread along the links, twice as far every round, until none changes.
+
+def near_links(shapes: DataFrame, within: str, name: str, less: float = NEAR) -> DataFrame:
+    """(within, a, b): links that connect what pairs closer than `less` connect, and no others. Counts are whole
+    numbers, so two samples differ by 1 or more if they differ.
+
+    Two shapes that differ in at most d samples are equal in one of d + 1 blocks at least, so only shapes that share
+    a block are compared. Equal shapes are one. What a tile of shapes connects is linked to its first, so the number
+    of links grows with the shapes and not with their pairs. Empty shapes are near none.
+    """
+    kind = shapes.schema[name].dataType.simpleString()
+    one = shapes.where(F.size("shape") > 0).groupBy(within, "shape").agg(F.min(name).alias(name))
+    m = F.size("shape")
+    blocks = F.ceil(m * less).cast("int")  # the most samples that may differ, and one
+    begin = lambda b: F.floor(m * b / blocks).cast("int")
+    block = lambda b: F.xxhash64(m, b, F.slice("shape", begin(b) + 1, begin(b + 1) - begin(b)))
+    keyed = one.withColumn("block", F.explode(F.transform(F.sequence(F.lit(0), blocks - 1), block)))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, k, names, apart in _tile_rows(batches):
+            size = len(batch.column("members")[k].values.field(1)[0])
+            near = apart < less * size
+            order = pc.sort_indices(names).to_numpy()
+            near = near[order][:, order]
+            first = np.arange(len(near))
+            while True:
+                new = np.where(near, first, len(near)).min(1)
+                new = new[new]
+                if (new == first).all():
+                    break
+                first = new
+            names = names.take(pa.array(order))
+            linked = np.flatnonzero(first != np.arange(len(first)))
+            where = batch.column(within).take(pa.array(np.full(len(linked), k)))
+            yield pa.RecordBatch.from_arrays([where, names.take(pa.array(first[linked])), names.take(pa.array(linked))], [within, "a", "b"])
+
+    tiles = _tiles(keyed.select(within, "block", name, "shape"), [within, "block"], name)
+    return tiles.select(within, "members").mapInArrow(work, f"{within} {shapes.schema[within].dataType.simpleString()}, a {kind}, b {kind}").distinct()
+
+
+def clusters(shapes: DataFrame, within: str, name: str, less: float = NEAR) -> DataFrame:
+    """(within, name, cluster): single-link clusters of members closer than `less`, each named by its first."""
+    one = shapes.groupBy(within, "shape").agg(F.min(name).alias("_one"))
+    found = components(near_links(shapes, within, name, less), within)
+    named = one.join(found.select(within, F.col("node").alias("_one"), "component"), [within, "_one"], "left")
+    named = named.select(within, "shape", F.coalesce("component", "_one").alias("cluster"))
+    is_empty = F.size("shape") == 0  # an empty shape is at distance 1 from any, an equal one too
+    return shapes.join(named, [within, "shape"]).select(within, name, F.when(is_empty, F.col(name)).otherwise(F.col("cluster")).alias("cluster"))
+
+
+def medoids(shapes: DataFrame, members: DataFrame, within: str, name: str) -> DataFrame:
+    """(within, cluster, medoid, total, diameter, size): the member with the least sum of distances to its cluster's
+    others (6 places), then the first. members: within, name, cluster.
+
+    The sum of a member's distances needs no pairs: at each sample it differs from all but those with its own count.
+    The diameter is searched among the members that can be ends of it: those whose distances from the medoid add up to
+    more than the largest distance from the member that is farthest from it.
     """
-    key = [within, name]
-    near = distances.where(F.col("distance") < less)
-    links = near.select(within, F.col(f"{name}_a").alias(name), F.col(f"{name}_b").alias("to")).union(near.select(within, F.col(f"{name}_b"), F.col(f"{name}_a")))
-    links = checkpointed(links)
-    now = checkpointed(shapes.select(*key, F.col(name).alias("cluster")))
-    while True:
-        reach = links.join(now.select(within, F.col(name).alias("to"), F.col("cluster").alias("far")), [within, "to"]).groupBy(*key).agg(F.min("far").alias("far"))
-        step = now.join(reach, key, "left").select(*key, F.least("cluster", F.coalesce("far", "cluster")).alias("cluster"), F.col("cluster").alias("was"))
-        jump = step.select(within, F.col(name).alias("cluster"), F.col("cluster").alias("over"))
-        new = step.join(jump, [within, "cluster"], "left").select(*key, F.least("cluster", F.coalesce("over", "cluster")).alias("cluster"), "was")
-        new = checkpointed(new)
-        now = new.drop("was")
-        if new.where("cluster <> was").isEmpty():
-            return now
-
-
-def medoids(distances: DataFrame, members: DataFrame, within: str, name: str) -> DataFrame:
-    """(within, cluster, medoid, total, diameter): the member with the least sum of distances to its cluster's
-    others (6 places), then the first. members: within, name, cluster."""
-    both = distances.select(within, F.col(f"{name}_a").alias(name), F.col(f"{name}_b").alias("to"), "distance").union(
-        distances.select(within, F.col(f"{name}_b"), F.col(f"{name}_a"), "distance")
-    )
-    other = members.select(within, F.col(name).alias("to"), F.col("cluster").alias("other"))
-    met = members.join(both, [within, name], "left").join(other, [within, "to"], "left")
-    inside = F.when(F.col("cluster") == F.col("other"), F.col("distance"))
-    sums = met.groupBy(within, "cluster", name).agg(F.round(F.coalesce(F.sum(inside), F.lit(0.0)), 6).alias("total"), F.coalesce(F.max(inside), F.lit(0.0)).alias("far"))
-    return sums.groupBy(within, "cluster").agg(F.min_by(name, F.struct("total", name)).alias("medoid"), F.min("total").alias("total"), F.max("far").alias("diameter"), F.count(F.lit(1)).alias("size"))
+    group = [within, "cluster"]
+    met = members.join(shapes, [within, name]).select(*group, name, "shape")
+    sizes = met.groupBy(*group).agg(F.count(F.lit(1)).alias("size"))
+    points = met.select(*group, name, F.posexplode("shape").alias("at", "n"))
+    same = points.groupBy(*group, "at", "n").agg(F.count(F.lit(1)).alias("same"))
+    alike = points.join(same, [*group, "at", "n"]).groupBy(*group, name).agg(F.sum("same").alias("alike"), F.count(F.lit(1)).alias("m"))
+    sums = met.select(*group, name).join(alike, [*group, name], "left").join(sizes, group)
+    total = F.coalesce(F.col("size") - F.col("alike") / F.col("m"), F.col("size") - F.lit(1.0))  # empty shapes lie 1 apart
+    sums = sums.select(*group, name, "size", F.round(total, 6).alias("total"))
+    best = sums.groupBy(*group).agg(F.min_by(name, F.struct("total", name)).alias("medoid"), F.min("total").alias("total"), F.first("size").alias("size"))
+    best = checkpointed(best)
+    one = met.groupBy(*group, "shape").agg(F.min(name).alias(name))
+    centre = best.select(within, F.col("medoid").alias(name)).join(shapes, [within, name]).select(within, F.col(name).alias("medoid"), F.col("shape").alias("centre"))
+    centred = one.join(best.select(*group, "medoid"), group).join(centre, [within, "medoid"])
+    centred = centred.select(*group, name, "shape", shape_distance(F.col("shape"), F.col("centre")).alias("r"))
+    ends = centred.groupBy(*group).agg(F.max("r").alias("most"), F.max_by("shape", F.struct("r", name)).alias("end"))
+    reach = centred.join(ends, group).withColumn("far", F.when(F.size("shape") > 0, shape_distance(F.col("shape"), F.col("end"))).otherwise(F.lit(0.0)))
+    least = reach.groupBy(*group).agg(F.max("far").alias("reach"))
+    open_ = reach.join(least, group).where((F.size("shape") > 0) & (F.col("r") + F.col("most") > F.col("reach")))
+    kinds = {c: members.schema[c].dataType.simpleString() for c in group}
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, k, _, apart in _tile_rows(batches):
+            size = len(batch.column("members")[k].values.field(1)[0])
+            row = [batch.column(c).slice(k, 1) for c in group]
+            yield pa.RecordBatch.from_arrays([*row, pa.array([apart.max() / size])], [*group, "far"])
+
+    tiles = _tiles(open_.select(*group, name, "shape"), group, name)
+    wide = tiles.mapInArrow(work, ", ".join(f"{c} {k}" for c, k in kinds.items()) + ", far double").groupBy(*group).agg(F.max("far").alias("far"))
+    out = best.join(least, group, "left").join(wide, group, "left")
+    return out.select(*group, "medoid", "total", F.greatest(F.coalesce("reach", F.lit(0.0)), F.coalesce("far", F.lit(0.0))).alias("diameter"), "size")
 
 
 def representatives(pulls: DataFrame, within: str, name: str, mean: str, length: str) -> DataFrame:

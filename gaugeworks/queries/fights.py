@@ -75,11 +75,10 @@ def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H.resampled(I.concurrency(lives), until, "fight", SAMPLES).join(until.select("fight", "encounter"), "fight")
 
 
-def _distances(samples: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Shapes, written once since the rounds of the clustering read them again and again, and their distances."""
+def _shapes(samples: DataFrame) -> DataFrame:
+    """(fight, shape, encounter), written once since clusters and medoids read them again and again."""
     owner = samples.groupBy("fight").agg(F.first("encounter").alias("encounter"))
-    shapes = checkpointed(H.as_arrays(samples, "fight").join(owner, "fight"))
-    return shapes, H.pair_distances(shapes, "encounter", "fight")
+    return checkpointed(H.as_arrays(samples, "fight").join(owner, "fight"))
 
 
 @query(f"WITH {LIVES} SELECT fight, actor, instance, first, last, died, CAST(total AS DOUBLE) AS total FROM lives")
@@ -181,21 +180,20 @@ def resample_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {GRID} SELECT encounter, fight_a, fight_b, distance FROM dist")
 def shape_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _distances(_samples(spark, sf_dir))[1]
+    return H.pair_distances(_shapes(_samples(spark, sf_dir)), "encounter", "fight")
 
 
 @query(f"WITH RECURSIVE {CLUSTERS} SELECT encounter, fight, cluster FROM clusters")
 def shape_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shapes, distances = _distances(_samples(spark, sf_dir))
-    return H.clusters(shapes, distances, "encounter", "fight")
+    return H.clusters(_shapes(_samples(spark, sf_dir)), "encounter", "fight")
 
 
 @query(f"""WITH RECURSIVE {CLUSTERS}, both_ AS (SELECT fight_a AS fight, fight_b AS other, distance FROM dist UNION ALL SELECT fight_b, fight_a, distance FROM dist),
 s AS (SELECT c.encounter, c.cluster, c.fight, ROUND(COALESCE(SUM(b.distance), 0), 6) AS total, COALESCE(MAX(b.distance), 0) AS far FROM clusters c LEFT JOIN (both_ b JOIN clusters o ON o.fight = b.other) ON b.fight = c.fight AND o.cluster = c.cluster GROUP BY ALL)
 SELECT encounter, cluster, ARG_MIN(fight, (total, fight)) AS medoid, MIN(total) AS total, MAX(far) AS diameter, COUNT(*) AS size FROM s GROUP BY encounter, cluster""")
 def medoid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shapes, distances = _distances(_samples(spark, sf_dir))
-    return H.medoids(distances, H.clusters(shapes, distances, "encounter", "fight"), "encounter", "fight")
+    shapes = _shapes(_samples(spark, sf_dir))
+    return H.medoids(shapes, H.clusters(shapes, "encounter", "fight"), "encounter", "fight")
 
 
 @query(f"""WITH {GRID}, p AS (SELECT s.encounter, s.fight, CAST(SUM(n) AS DOUBLE) / COUNT(*) AS mean, MAX(window_) AS length FROM samples s JOIN win w ON w.fight = s.fight GROUP BY s.encounter, s.fight),

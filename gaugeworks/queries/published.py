@@ -102,8 +102,8 @@ SELECT z.encounter, medoid AS pattern, size AS pulls, ROUND(size / whole, 4) AS
 FROM z JOIN p ON p.fight = medoid JOIN o ON o.fight = medoid JOIN rep ON rep.encounter = z.encounter WHERE size >= 2 OR (matched = 0 AND medoid = chosen)""")
 def shape_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     samples = fights._samples(spark, sf_dir)
-    shapes, distances = fights._distances(samples)
-    found = H.medoids(distances, H.clusters(shapes, distances, "encounter", "fight"), "encounter", "fight")
+    shapes = fights._shapes(samples)
+    found = H.medoids(shapes, H.clusters(shapes, "encounter", "fight"), "encounter", "fight")
     lives = fights.fight_lives(spark, sf_dir)
     steps, until = I.concurrency(lives), fights.windows_of(lives)
     stats = I.concurrency_stats(steps, until.drop("encounter")).select("fight", "mean", "constant")

@@ -90,12 +90,55 @@ def test_roles_fold(spark):
     assert got == ["boss", "mixed", "unknown", "mixed", "unknown"]
 
 
-def test_clusters_are_single_link(spark):
-    pairs = [(1, a, a + 1, 0.1) for a in range(30) if a != 14] + [(1, 0, 29, 0.2), (1, 3, 20, 0.5)]
-    shapes = spark.createDataFrame([(1, a) for a in range(31)], "encounter long, fight long")
-    frame = spark.createDataFrame(pairs, "encounter long, fight_a long, fight_b long, distance double")
-    got = {r.fight: r.cluster for r in H.clusters(shapes, frame, "encounter", "fight").collect()}
-    assert got == {a: 0 if a <= 14 else 15 for a in range(31)}
+def single_link(shapes):
+    """Brute force: (cluster, medoid, total, diameter, size) by cluster, and the cluster of each member."""
+    apart = lambda x, y: sum(p != q for p, q in zip(x, y, strict=True)) / len(x) if x and y else 1.0
+    first = {k: k for k in shapes}
+    changed = True
+    while changed:
+        changed = False
+        for j in shapes:
+            for k in shapes:
+                if j != k and first[j] != first[k] and apart(shapes[j], shapes[k]) < 0.2:
+                    first[j] = first[k] = min(first[j], first[k])
+                    changed = True
+    out = {}
+    for c in set(first.values()):
+        own = [k for k in shapes if first[k] == c]
+        total = {k: round(sum(apart(shapes[k], shapes[j]) for j in own if j != k), 6) for k in own}
+        best = min(own, key=lambda k: (total[k], k))
+        wide = max([apart(shapes[j], shapes[k]) for j in own for k in own if j != k], default=0.0)
+        out[c] = (best, total[best], round(wide, 9), len(own))
+    return first, out
+
+
+def test_clusters_and_medoids_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(H, "CHUNK", 7)  # many chunks of a bucket meet in pairs
+    rng = random.Random(4)
+    shapes = {}
+    for e in range(3):
+        base = [[rng.randint(0, 3) for _ in range(60)] for _ in range(4)]
+        for k in range(40):
+            shape = list(rng.choice(base))
+            for at in rng.sample(range(60), rng.choice([0, 3, 9, 14, 30])):
+                shape[at] = rng.randint(0, 3)
+            shapes[e, 100 * e + k] = shape
+    shapes[9, 900], shapes[9, 901], shapes[9, 902] = [], [], [1] * 60
+    frame = spark.createDataFrame([(e, k, s) for (e, k), s in shapes.items()], "encounter long, fight long, shape array<long>")
+    found = H.clusters(frame, "encounter", "fight")
+    got = {(r.encounter, r.fight): r.cluster for r in found.collect()}
+    middle = {(r.encounter, r.cluster): (r.medoid, r.total, round(r.diameter, 9), r["size"]) for r in H.medoids(frame, found, "encounter", "fight").collect()}
+    for e in (0, 1, 2, 9):
+        first, want = single_link({k: s for (x, k), s in shapes.items() if x == e})
+        assert {k: c for (x, k), c in got.items() if x == e} == first
+        assert {c: v for (x, c), v in middle.items() if x == e} == want
+
+
+def test_a_large_group_of_like_shapes_needs_few_links(spark):
+    rng = random.Random(6)
+    rows = [(1, k, [0] * 50 + [rng.randint(0, 9) for _ in range(10)]) for k in range(2500)]  # all within 10 samples
+    frame = spark.createDataFrame(rows, "encounter long, fight long, shape array<long>")
+    assert {r.cluster for r in H.clusters(frame, "encounter", "fight").collect()} == {0}
 
 
 def test_distance_of_empty_shapes_is_one(spark):
