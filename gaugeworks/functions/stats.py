@@ -59,14 +59,3 @@ def variance_explained(df: DataFrame, group: str, value: str) -> DataFrame:
     met = df.join(medians, group).where(F.col(value).isNotNull())
     ratio = F.try_divide(F.var_pop(F.col(value) - F.col("mid")), F.var_pop(value))
     return met.agg(F.when((F.count(value) >= 2) & (F.var_pop(value) > 0), 1 - ratio).alias("explained"))
-
-
-def ranking_summary(df: DataFrame, keys: list[str], value: str, least: int = 5, tail_least: int = 20, places: int = 1) -> DataFrame:
-    """n, median, p95 and max of groups of `least` values or more; p95 only from `tail_least` on."""
-    known = df.where(F.col(value).isNotNull())
-    n = F.count(F.lit(1))
-    out = known.groupBy(*keys).agg(
-        n.alias("n"), F.round(F.median(value), places).alias("median"), F.when(n >= tail_least, F.round(interpolated(value, 0.95), places)).alias("p95"),
-        F.round(F.max(value), places).alias("top"),
-    )
-    return out.where(F.col("n") >= least)

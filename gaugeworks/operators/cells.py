@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from gaugeworks.operators.selection import order_statistics
+
 CELL = ["build", "scenario", "targets"]
 
 
@@ -71,4 +73,4 @@ def binned(series: DataFrame, keys: list[str], at: str, value: str, width: int)
 
 def context_median(cells: DataFrame, value: str = "dps") -> DataFrame:
     """Median over builds at each number of targets, with the lowest and highest."""
-    return cells.groupBy("targets").agg(F.median(value).alias("median"), F.min(value).alias("low"), F.max(value).alias("high"))
+    return order_statistics(cells, ["targets"], value, {"median": 0.5}).select("targets", "median", "low", "high")

@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gaugeworks.operators.components import components
+from gaugeworks.operators.selection import order_statistics
 from gaugeworks.session import checkpointed
 
 #: Fixed value: shapes are near when fewer of their samples than this share differ. Rows of a chunk that are compared.
@@ -166,19 +167,16 @@ def medoids(shapes: DataFrame, members: DataFrame, within: str, name: str) -> Da
 
 def representatives(pulls: DataFrame, within: str, name: str, mean: str, length: str) -> DataFrame:
     """(within, name): the pull nearest to its encounter's median mean, then its median length, then the first."""
-    mid = pulls.groupBy(within).agg(F.median(mean).alias("_m"), F.median(length).alias("_l"))
-    met = pulls.join(mid, within)
+    middle = lambda c, name: order_statistics(pulls, [within], c, {name: 0.5}).select(within, name)
+    met = pulls.join(middle(mean, "_m"), within, "left").join(middle(length, "_l"), within, "left")
     order = F.struct(F.round(F.abs(F.col(mean) - F.col("_m")), 6), F.round(F.abs(F.col(length) - F.col("_l")), 6), F.col(name))
     return met.groupBy(within).agg(F.min_by(name, order).alias(name))
 
 
 def band(samples: DataFrame, within: str, least: int = 2) -> DataFrame:
-    """(within, bucket, n, median, p25, p75, low, high) over the pulls of an encounter, of `least` or more."""
-    out = samples.groupBy(within, "bucket").agg(
-        F.count(F.lit(1)).alias("pulls"), F.percentile("n", F.lit(0.5)).alias("median"), F.percentile("n", F.lit(0.25)).alias("p25"),
-        F.percentile("n", F.lit(0.75)).alias("p75"), F.min("n").alias("low"), F.max("n").alias("high"),
-    )
-    return out.where(F.col("pulls") >= least)
+    """(within, bucket, pulls, median, p25, p75, low, high) over the pulls of an encounter, of `least` or more."""
+    out = order_statistics(samples, [within, "bucket"], "n", {"median": 0.5, "p25": 0.25, "p75": 0.75}).toDF(within, "bucket", "pulls", "low", "high", "median", "p25", "p75")
+    return out.where(F.col("pulls") >= least).select(within, "bucket", "pulls", "median", "p25", "p75", "low", "high")
 
 
 def aligned(steps: DataFrame, ends: DataFrame, within: str, name: str) -> DataFrame:

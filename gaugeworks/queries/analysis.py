@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gaugeworks.functions import stats as S
+from gaugeworks.operators import selection
 from gaugeworks.queries.registry import query
 from gaugeworks.session import table
 
@@ -20,13 +21,14 @@ def compared(spark: SparkSession, sf_dir: str) -> DataFrame:
     customers = table(spark, sf_dir, "customer")
     sim = customers.groupBy(F.col("c_nationkey").alias("build")).agg((F.sum(F.col("c_acctbal").cast("decimal(18,2)")).cast("double") / F.count(F.lit(1)) + 10000).alias("sim"))
     met = table(spark, sf_dir, "orders").join(customers.select("c_custkey", F.col("c_nationkey").alias("build")), F.col("o_custkey") == F.col("c_custkey"))
-    logged = met.groupBy(F.col("o_orderpriority").alias("boss"), "build").agg(F.median("o_totalprice").alias("logs"), F.count(F.lit(1)).alias("sample"))
+    logged = selection.order_statistics(met.withColumnRenamed("o_orderpriority", "boss"), ["boss", "build"], "o_totalprice", {"logs": 0.5})
+    logged = logged.select("boss", "build", "logs", F.col("n").alias("sample"))
     return logged.join(sim, "build").withColumn("ratio", F.col("logs") / F.col("sim"))
 
 
 @query("""SELECT o_orderpriority AS boss, ROUND(MEDIAN(o_totalprice), 3) AS median, ROUND(MIN(o_totalprice), 3) AS low, ROUND(MAX(o_totalprice), 3) AS high, COUNT(o_totalprice) AS n FROM orders GROUP BY 1""")
 def spread_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("boss")).agg(S.spread("o_totalprice").alias("s")).select("boss", "s.*")
+    return selection.spreads(table(spark, sf_dir, "orders").withColumnRenamed("o_orderpriority", "boss"), ["boss"], "o_totalprice")
 
 
 @query("""SELECT c_custkey AS build, o_orderpriority AS boss, COUNT(*) AS n, ROUND(MEDIAN(o_totalprice), 4) AS median, CASE WHEN COUNT(*) >= 20 THEN ROUND(QUANTILE_CONT(o_totalprice, 0.95), 4) END AS p95, ROUND(MAX(o_totalprice), 4) AS top
@@ -34,7 +36,7 @@ FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1, 2 HAVING COUNT(*)
 def ranking_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("build"), F.col("o_orderpriority").alias("boss"), "o_totalprice")
     known = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("build"))
-    return S.ranking_summary(rows.join(known, "build", "left_semi"), ["build", "boss"], "o_totalprice", places=4)
+    return selection.ranking_summary(rows.join(known, "build", "left_semi"), ["build", "boss"], "o_totalprice", places=4)
 
 
 _EXPLAINED = """SELECT '{name}' AS grouping_by, ROUND(1 - VAR_POP(ratio - m) / VAR_POP(ratio), 6) AS explained FROM (SELECT *, MEDIAN(ratio) OVER (PARTITION BY {name}) AS m FROM rows_)"""
@@ -77,7 +79,7 @@ def build_vs_field(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {COMPARED} SELECT boss, COUNT(*) AS n, ROUND(MEDIAN(ratio), 6) AS median, ROUND(MIN(ratio), 6) AS low, ROUND(MAX(ratio), 6) AS high FROM rows_ GROUP BY boss""")
 def boss_reading(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return compared(spark, sf_dir).groupBy("boss").agg(S.spread("ratio", 6).alias("s")).select("boss", "s.*")
+    return selection.spreads(compared(spark, sf_dir), ["boss"], "ratio", 6)
 
 
 @query(f"""WITH {COMPARED} SELECT boss, build, ROW_NUMBER() OVER (PARTITION BY boss ORDER BY logs DESC, build) - ROW_NUMBER() OVER (PARTITION BY boss ORDER BY sim DESC, build) AS move FROM rows_""")

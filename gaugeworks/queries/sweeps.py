@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gaugeworks.operators import cells as C
 from gaugeworks.operators import compare as V
+from gaugeworks.operators.selection import order_statistics
 from gaugeworks.queries.registry import query
 from gaugeworks.session import table
 
@@ -83,7 +84,8 @@ def top_k_other(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {CELLS} SELECT scenario, targets, ROUND(MEDIAN(err), 6) AS median_error, COUNT(*) AS n FROM cells WHERE err > 0 GROUP BY scenario, targets""")
 def median_error(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = sweep(spark, sf_dir).where("err > 0")
-    return known.groupBy("scenario", "targets").agg(F.round(F.median("err"), 6).alias("median_error"), F.count(F.lit(1)).alias("n"))
+    out = order_statistics(known, ["scenario", "targets"], "err", {"median_error": 0.5})
+    return out.select("scenario", "targets", F.round("median_error", 6).alias("median_error"), "n")
 
 
 @query(f"""WITH {CELLS} SELECT targets, MEDIAN(dps) AS median, MIN(dps) AS low, MAX(dps) AS high FROM cells GROUP BY targets""")
