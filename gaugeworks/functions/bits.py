@@ -111,7 +111,10 @@ def encoded(version: Column, spec: Column, picks: Column, nodes: list[Node]) ->
 
 
 def header(text: Column) -> Column:
-    """struct(version, spec) by columns alone: the first 24 bits are the first four letters."""
-    six = [F.instr(F.lit(ALPHABET), F.substr(text, F.lit(k + 1), F.lit(1))).cast("int") - 1 for k in range(4)]
+    """struct(version, spec) by columns alone: the first 24 bits are the first four letters. Nulls for a letter outside
+    the alphabet; past the end are zeros."""
+    letter = lambda k: F.substr(text, F.lit(k + 1), F.lit(1))
+    at = lambda k: F.nullif(F.instr(F.lit(ALPHABET), letter(k)), F.lit(0)).cast("int") - 1
+    six = [F.when(letter(k) == "", 0).otherwise(at(k)) for k in range(4)]
     number = six[0] + six[1] * 64 + six[2] * 4096 + six[3] * 262144
     return F.struct((number % 256).alias("version"), F.floor(number / 256).cast("int").alias("spec"))

@@ -185,27 +185,24 @@ def contested(spark: SparkSession, sf_dir: str) -> DataFrame:
 _TREE_PICKS = """picks AS (SELECT p_partkey AS id, n AS node, 1 + (p_partkey + n) % 3 AS rank, 1 + n % 3 AS tree FROM part, range(1, 31) r(n) WHERE (p_partkey * 7 + n * n) % 4 = 0)"""
 
 
-def _picks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Selections of 30 nodes, of which each part takes some; node n is in tree 1 + n % 3."""
+def _picks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Selections of 30 nodes, of which each part takes some; node n is in tree 1 + n % 3, every fifth of two specs."""
     node = F.explode(F.sequence(F.lit(1).cast("long"), F.lit(30).cast("long"))).alias("node")
     picks = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").alias("spec"), node)
     picks = picks.where((F.col("id") * 7 + F.col("node") * F.col("node")) % 4 == 0).withColumn("rank", 1 + (F.col("id") + F.col("node")) % 3).withColumn("entry", F.lit(0))
-    specs = F.when(F.col("id") % 5 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array().cast("array<int>"))
-    traits = spark.range(1, 31).select(F.col("id").alias("node"), F.lit(0).alias("entry"), (1 + F.col("id") % 3).alias("tree"), specs.alias("specs"))
-    return picks, traits
+    specs = F.when(F.col("node") % 5 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array().cast("array<int>"))
+    return picks.withColumn("specs", specs).withColumn("tree", 1 + F.col("node") % 3).withColumn("sub_tree", F.lit(0))
 
 
 @query(f"""WITH {_TREE_PICKS} SELECT id, CAST(COALESCE(SUM(rank) FILTER (WHERE tree = 1), 0) AS BIGINT) AS class_points, CAST(COALESCE(SUM(rank) FILTER (WHERE tree = 2), 0) AS BIGINT) AS spec_points, CAST(COALESCE(SUM(rank) FILTER (WHERE tree = 3), 0) AS BIGINT) AS hero_points,
   COALESCE(SUM(rank) FILTER (WHERE tree = 1), 0) < 20 AS thin FROM picks GROUP BY id""")
 def talent_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    picks, traits = _picks(spark, sf_dir)
-    return T.points(picks, traits, ["id"])
+    return T.points(_picks(spark, sf_dir), ["id"])
 
 
 @query(f"""WITH {_TREE_PICKS} SELECT id, MIN(node) AS node, 0 AS entry FROM picks JOIN part ON p_partkey = id WHERE tree <> 3 AND node % 5 = 0 AND p_size NOT IN (1, 2) GROUP BY id""")
 def talent_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    picks, traits = _picks(spark, sf_dir)
-    return T.violations(picks, traits, ["id"])
+    return T.violations(_picks(spark, sf_dir), ["id"])
 
 
 @query("""WITH s AS (SELECT o_orderpriority AS boss, MEDIAN(o_totalprice) AS m, MIN(o_totalprice) AS lo, MAX(o_totalprice) AS hi, COUNT(*) AS n FROM orders GROUP BY 1) SELECT boss, n, lo < hi AS ranged FROM s""")

@@ -87,11 +87,6 @@ def test_gear_and_talents(spark):
     assert gear.drift(sets.limit(1), solo, ["k"]).first().drift == 0.0
     matrix = gear.candidate_matrix(spark.createDataFrame([(1, "a", 2.0), (1, "b", 4.0)], "item long, build string, gain double"), "item", "build", "gain").first()
     assert matrix.gains == {"a": 2.0, "b": 4.0} and (matrix["mean"], matrix.best) == (3.0, 4.0)
-    traits = spark.createDataFrame([("m", 1, 5, 1, 1, False), ("m", 1, 5, 2, 1, False), ("m", 2, 6, 3, 2, True), ("m", 2, 6, 4, 1, True), ("m", 7, 9, 1, 1, False)], "class string, tree int, node int, entry int, rank int, tiered boolean")
-    assert {(r.node, r.max_rank) for r in talents.layout(traits).collect()} == {(5, 1), (6, 3)}
-    decoded = spark.createDataFrame([("a", "bad letter"), ("b", None), ("c", None)], "id string, error string")
-    broken = spark.createDataFrame([("b", 7)], "id string, node int")
-    assert {(r.id, r.reason) for r in talents.refused(decoded, broken, ["id"]).collect()} == {("a", "bad letter"), ("b", "node 7 is not of this spec")}
     heroes = talents.hero_names(spark.createDataFrame([("x", 1), ("y", 2), ("z", None)], "id string, sub_tree int"), spark.createDataFrame([(1, "One")], "sub_tree int, name string"), spark.createDataFrame([("x", "Uno")], "id string, name string"))
     assert {(r.id, r.hero, r.unresolved) for r in heroes.collect()} == {("x", "Uno", None), ("y", None, "unnamed hero tree"), ("z", None, "no hero tree")}
     assert [r.t for r in spark.createDataFrame([("frost-12",), ("frost",)], "k string").select(talents.tree_of_key(F.col("k")).alias("t")).collect()] == [12, None]
