@@ -10,6 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gaugeworks.session import checkpointed
+
 #: The six ASCII white-space characters, as the contracts name them.
 SPACE_RUN = r"[\x20\x09-\x0D]+"
 
@@ -52,6 +54,13 @@ def semi_join(rows: DataFrame, keys: DataFrame, key: str, most: int = 1_000_000)
     return rows.join(F.broadcast(keys) if small else keys.hint("merge"), key, "left_semi")
 
 
+def anti_join(rows: DataFrame, keys: DataFrame, on, most: int = 200_000) -> DataFrame:
+    """Rows that meet none of keys. Up to `most` keys, by count, are broadcast, so that no row moves; on is a name or
+    a condition."""
+    keys = checkpointed(keys)
+    return rows.join(F.broadcast(keys) if keys.count() <= most else keys.hint("merge"), on, "left_anti")
+
+
 def gathered(df: DataFrame, rows: int, each: int = 20_000) -> DataFrame:
     """df in no more partitions than `rows`, about their number, need at `each` a task, but eight at least: small
     steps of a loop then write few files, however many partitions a shuffle has."""

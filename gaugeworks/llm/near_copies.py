@@ -7,9 +7,12 @@ buckets are cut by masks of random bits: as many masks as leave a pair at 0.8 ou
 MISS. Inside a bucket the search is the Gray-order index of simhash.py, which is exact. Texts that its links connect
 are a group.
 
-Groups are verified on whole sets of shingles. No group's pairs are listed at once: in each round its members are
-compared with a few centres of it; what is near goes, centres that were compared with all are done, and the rest
-meets again in the next round, with more centres, until no group holds two.
+In a group the pairs at 0.8 are found on whole sets of shingles, exactly, in three steps of which each looks only at
+texts for which the steps before found no near text of a smaller rank. First all are compared with the group's
+smallest, which settles most of a group of copies. Then a prefix filter applies: of a set of n shingles, ordered by the
+number of the group's texts that hold them, the first n - ceil(4 n / 5) + 1 are its prefix, and two sets at 0.8 share
+a shingle of their prefixes. A text is compared with the smallest of each of these shingles, and then with all others
+that share one. Rare shingles come first, so loosely linked texts have few partners; no step lists a group's pairs.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ from gaugeworks.llm.common import HOT_SHARE, SMALL_ROWS, gathered, join_by_group
 from gaugeworks.llm.components import components
 from gaugeworks.session import checkpointed
 
-WORDS, NUMBERS, LIMIT, SAME, MISS, MOST_CENTRES = 5, 4, 56, 0.848, 0.01, 512
+WORDS, NUMBERS, LIMIT, SAME, MISS = 5, 4, 56, 0.848, 0.01
 BITS = 64 * NUMBERS
 HOT_BYTES, PART_PAIRS = 65_536, 256
 FPS = tuple(f"fp{k}" for k in range(NUMBERS))
@@ -69,14 +72,6 @@ def random_masks(n: int, miss: float = MISS) -> list[list[int]]:
     return out
 
 
-def _bits_apart(c: Column) -> Column:
-    """The number of bits in which a struct of fingerprints differs from those of the row."""
-    total = F.lit(0)
-    for f in FPS:
-        total = total + F.bit_count(c[f].bitwiseXOR(F.col(f)))
-    return total
-
-
 def _fingerprinted(rows: DataFrame) -> DataFrame:
     """(node, doc_id, *FPS) of the rows that have a word."""
 
@@ -162,7 +157,7 @@ def _near(pairs: DataFrame, sets: DataFrame, rows: int) -> DataFrame:
 
 
 def groups_of(docs: DataFrame) -> DataFrame:
-    """(node, doc_id, grp, *FPS) of every row (node, doc_id, text) that a link, or an equal fingerprint, connects
+    """(node, doc_id, grp) of every row (node, doc_id, text) that a link, or an equal fingerprint, connects
     with another; grp names the group."""
     fps = checkpointed(_fingerprinted(docs).dropDuplicates(["node"]).withColumn("fp", F.xxhash64(*FPS)))
     n = fps.count()
@@ -175,48 +170,69 @@ def groups_of(docs: DataFrame) -> DataFrame:
     kinds = checkpointed(kinds.select("fp", "copies", F.coalesce("component", "node").alias("grp")))
     members = kinds.groupBy("grp").agg(F.sum("copies").alias("members")).where("members > 1")
     kinds = checkpointed(semi_join(kinds, checkpointed(members.select("grp")), "grp"))
-    return join_by_group(fps, kinds, "fp", "copies", n).where("grp IS NOT NULL").select("node", "doc_id", "grp", *FPS)
+    return join_by_group(fps, kinds, "fp", "copies", n).where("grp IS NOT NULL").select("node", "doc_id", "grp")
+
+
+def _prefixes(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """(node, grp, rank, size, shingle): the prefix of each member's set, rarest shingles of its group first."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "held", 400_000):
+                held = [np.frombuffer(x, np.int64) for x in part.column("held").to_pylist()]
+                sizes = np.array([len(x) for x in held], np.int64)
+                at = pa.array(np.repeat(np.arange(len(held)), sizes))
+                columns = [part.column(c).take(at) for c in ("node", "grp", "rank")]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(sizes).take(at), pa.array(np.concatenate(held))], ["node", "grp", "rank", "size", "shingle"])
+
+    kinds = dict(members.dtypes)
+    met = members.select("node", "grp", "rank").join(sets.select("node", "held"), "node")
+    rows = met.mapInArrow(work, f"node long, grp {kinds['grp']}, rank {kinds['rank']}, size long, shingle long")
+    rows = checkpointed(rows)
+    often = rows.groupBy("grp", "shingle").agg(F.count(F.lit(1)).alias("texts"))
+    ordered = rows.join(often, ["grp", "shingle"]).groupBy("node", "grp", "rank", "size").agg(F.array_sort(F.collect_list(F.struct("texts", "shingle"))).alias("s"))
+    length = F.col("size") - F.ceil(4 * F.col("size") / 5) + 1
+    return ordered.select("node", "grp", "rank", "size", F.explode(F.slice("s", 1, length.cast("int"))["shingle"]).alias("shingle"))
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, node): the id and row_key() of each row that goes, so that of the texts that stay no two of one
-    group, at LIMIT or fewer differing bits, have a similarity of 0.8 or more.
+    """(doc_id, node): the id and row_key() of each row that goes: those to which a text of smaller rank in their
+    group is near, at a similarity of 0.8 or more. Ranks follow ids, a null id after all others.
 
-    Of two near texts the one with the larger doc_id goes, a null id before all others. So a row goes only if a
-    chain of near texts with smaller and smaller ids leads to one that stays. Null texts and texts without words are
-    near to none. Rows that repeat both id and text share their fate. Other columns are not read. An empty table
-    gives no rows.
+    So of the texts that stay no two of a group are near, and from each that goes a chain of near texts with smaller
+    and smaller ids leads to one that stays. Null texts and texts without words are near to none. Rows that repeat
+    both id and text share their fate. Other columns are not read. An empty table gives no rows.
     """
     rows = pick(docs, doc_id=id_col, text=text_col).withColumn("node", F.xxhash64("doc_id", "text"))
     rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "node").alias("rank")
-    active = checkpointed(groups_of(rows).select("node", "grp", *FPS, rank))
-    total = active.count()
-    active = gathered(active, total)
-    sets = gathered(checkpointed(_sets(semi_join(rows, active.select("node"), "node")).dropDuplicates(["node"])), total, 5000)
-    out = active.select("rank.doc_id", "node").limit(0)
-    few = total <= SMALL_ROWS
-    parts = 1  # one centre at first, that of the smallest id: most of a large group goes by it
-    while True:
-        slots = active.groupBy("grp", F.pmod("node", F.lit(parts)).alias("slot")).agg(F.min(F.struct("rank", *FPS)).alias("centre"), F.count(F.lit(1)).alias("n"))
-        centres = slots.groupBy("grp").agg(F.sum("n").alias("size"), F.collect_list("centre").alias("centres"))  # MOST_CENTRES at most
-        centres = checkpointed(gathered(centres.where("size > 1"), total))
-        if centres.isEmpty():
-            return out
-        if few:  # there are no more centres than rows
-            met = active.join(F.broadcast(centres), "grp")
-        else:
-            met = join_by_group(active, centres, "grp", "size", total).where("size IS NOT NULL")
-        met = met.withColumn("is_centre", F.exists("centres", lambda c: c["rank"] == F.col("rank")))
-        # two centres meet once: the one that ranks higher is u
-        meets = lambda c: ((c["rank"] < F.col("rank")) | ((c["rank"] > F.col("rank")) & ~F.col("is_centre"))) & (_bits_apart(c) <= LIMIT)
-        partner = lambda c: F.struct(c["rank"]["node"].alias("v"), F.greatest(c["rank"], F.col("rank")).alias("gone"))
-        met = met.select("node", "grp", *FPS, "rank", "is_centre", F.transform(F.filter("centres", meets), partner).alias("partners"))
-        met = checkpointed(gathered(met, total))
-        pairs = checkpointed(met.select(F.col("node").alias("u"), F.explode("partners").alias("with")).select("u", "with.*"))
-        gone = checkpointed(gathered(_near(pairs, sets, total), total))
-        out = out.union(gone)
-        left_out = gone.select("node")  # no more than `total`
-        left_out = F.broadcast(left_out) if few else left_out
-        active = met.where("NOT is_centre").select("node", "grp", *FPS, "rank").join(left_out, "node", "left_anti")
-        active = checkpointed(gathered(active, total))
-        parts = min(parts * 32, MOST_CENTRES)
+    members = checkpointed(groups_of(rows).select("node", "grp", rank))
+    total = members.count()
+    members = gathered(members, total)
+    sets = gathered(checkpointed(_sets(semi_join(rows, members.select("node"), "node")).dropDuplicates(["node"])), total, 5000)
+    few = F.broadcast if total <= SMALL_ROWS else lambda df: df  # there are no more groups, or texts that go, than members
+    firsts = checkpointed(gathered(members.groupBy("grp").agg(F.min("rank").alias("first"), F.count(F.lit(1)).alias("n")), total))
+    if total <= SMALL_ROWS:
+        met = members.join(F.broadcast(firsts), "grp")
+    else:
+        met = join_by_group(members, firsts, "grp", "n", total)
+    open_ = met.where(F.col("rank") > F.col("first")).select("node", "grp", "rank", F.col("first.node").alias("v"))
+    pairs = checkpointed(gathered(open_.select(F.col("node").alias("u"), "v", F.col("rank").alias("gone")), total))
+    gone = checkpointed(gathered(_near(pairs, sets, total), total))
+    left = checkpointed(gathered(open_.drop("v").join(few(gone.select("node")), "node", "left_anti"), total))
+    if left.isEmpty():
+        return gone
+    groups = checkpointed(gathered(left.groupBy("grp").agg(F.count(F.lit(1)).alias("n")), total))
+    held = members.join(few(groups.select("grp")), "grp", "left_semi")
+    prefixes = checkpointed(gathered(_prefixes(held, sets), 20 * total, 200_000))
+    own = prefixes.join(few(left.select("node")), "node", "left_semi").withColumnRenamed("size", "own_size")
+    smallest = prefixes.groupBy("grp", "shingle").agg(F.min(F.struct("rank", "size")).alias("other"))
+    fits = (F.col("other.rank") < F.col("rank")) & (5 * F.least("own_size", "other.size") >= 4 * F.greatest("own_size", "other.size"))
+    named = [F.col("node").alias("u"), F.col("other.rank.node").alias("v"), F.col("rank").alias("gone")]
+    pairs = checkpointed(gathered(own.join(smallest, ["grp", "shingle"]).where(fits).select(*named).distinct(), total))
+    more = checkpointed(gathered(_near(pairs, sets, total), total))
+    own = own.join(few(more.select("node")), "node", "left_anti")
+    others = prefixes.select("grp", "shingle", F.struct("rank", "size").alias("other"))
+    rest = own.join(others, ["grp", "shingle"]).where(fits).select(*named).distinct()
+    rest = checkpointed(rest.join(pairs.select("u", "v"), ["u", "v"], "left_anti"))
+    last = checkpointed(gathered(_near(rest, sets, total), total))
+    return gone.union(more).union(last)
