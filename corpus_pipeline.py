@@ -8,22 +8,24 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeworks.llm import decontamination, exact_dedup, language_id, near_copies, packing
-from gaugeworks.session import scratch_path, table
+from gaugeworks.llm.common import anti_join
+from gaugeworks.session import checkpointed, scratch_path, table
 
-#: Shorter texts hold too few n-grams to be told from noise: they stay if they hold a letter.
-LEAST_CHARACTERS = 60
+#: At this many characters half of the noise's bar applies. Short texts hold too few n-grams to be told from noise.
+HALF_BAR = 60
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str, languages: tuple[str, ...] | None = None) -> DataFrame:
     """Documents of a known language, or of one of `languages` where these are named.
 
     Those go that are null, hold no letter, are of another of the learned languages, or whose cosine with every
-    learned language is one that noise reaches. Texts of under LEAST_CHARACTERS characters go only by the first three
-    reasons. Very long texts are read whole. Columns may have any name; those of docs are returned as they are.
+    learned language is one that noise reaches. The bar rises with the length n of a text, n / (n + HALF_BAR) of the
+    noise's, without a step. Very long texts are read whole. Columns may have any name; those of docs are returned as
+    they are.
     """
     kept = [f"kept_{k}" for k in range(len(docs.columns))]
     plain = docs.select(docs["doc_id"], docs["text"], *(docs[c].alias(k) for c, k in zip(docs.columns, kept, strict=True)))
@@ -31,21 +33,40 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str, languag
     is_known = F.col("lang_pred") != language_id.UNKNOWN
     if languages is not None:
         is_known &= F.col("lang_pred").isin(*languages)
-    is_near = (F.col("score") >= language_id.noise()) | (F.length("text") < LEAST_CHARACTERS)
+    is_near = F.col("score") >= language_bar(F.length("text"))
     return scored.where(is_known & is_near).select(*(F.col(k).alias(c) for c, k in zip(docs.columns, kept, strict=True)))
 
 
+def language_bar(length: Column) -> Column:
+    """The least cosine that tells a text of that many characters from noise."""
+    return language_id.noise() * length / (length + HALF_BAR)
+
+
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each text, white space aside; null counts as empty. Rows that repeat an id as well as a text count
     as copies. Very long texts are read whole. Columns may have any name; those of docs are returned as they are."""
     index = exact_dedup.DigestIndex(spark, scratch_path(spark, "digest-index"), f"digests_{uuid.uuid4().hex}")
-    key = F.concat_ws(":", F.col("doc_id").cast("string"), F.hex("digest")).alias("key")
-    gone = index.dedup(docs).where("NOT kept AND NOT doc_id <=> keep_id").select(key).distinct()
+    found = index.dedup(docs)
     index.close()
+    gone = found.where("NOT kept AND NOT doc_id <=> keep_id").select(F.col("doc_id").alias("gone_id"), F.col("digest").alias("gone_digest")).distinct()
     names = [f"kept_{k}" for k in range(len(docs.columns))]
     rows = docs.select(docs["doc_id"], exact_dedup.text_digest(docs["text"]).alias("digest"), *(docs[c].alias(k) for c, k in zip(docs.columns, names, strict=True)))
-    # one shuffle by key serves both the join and the rows that repeat id and text
-    left = rows.select(key, *names).join(gone.hint("merge"), "key", "left_anti").dropDuplicates(["key"])
+    left = anti_join(rows, gone, F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.col("digest") == F.col("gone_digest")))
+    # rows that repeat id and text: only they are shuffled, if there are any
+    again = checkpointed(found.groupBy("doc_id", "digest").count().where("count > 1").select(F.col("doc_id").alias("gone_id"), F.col("digest").alias("gone_digest")))
+    if not again.isEmpty():
+        same = F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.col("digest") == F.col("gone_digest"))
+        once = left.join(again, same, "left_semi").dropDuplicates(["doc_id", "digest"])
+        left = anti_join(left, again, same).union(once)
+    return left.select(*(F.col(k).alias(c) for c, k in zip(docs.columns, names, strict=True)))
+
+
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs without the rows of gone (doc_id, node): both the id, null or not, and the hash of id and text must meet."""
+    gone = gone.select(F.col("doc_id").alias("gone_id"), F.col("node").alias("gone_node"))
+    names = [f"kept_{k}" for k in range(len(docs.columns))]
+    rows = docs.select(docs["doc_id"].alias("id"), near_copies.row_key(docs).alias("node"), *(docs[c].alias(k) for c, k in zip(docs.columns, names, strict=True)))
+    left = anti_join(rows, gone, F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("node") == F.col("gone_node")))
     return left.select(*(F.col(k).alias(c) for c, k in zip(docs.columns, names, strict=True)))
 
 
@@ -53,17 +74,18 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """Documents of which no two of one SimHash group have a similarity of 0.8 or more in runs of five words; of two
     near copies the smaller doc_id stays. Null texts and texts without words stay. Very long texts are read whole.
     Columns may have any name; those of docs are returned as they are."""
-    gone = near_copies.near_copies(docs)
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["doc_id"]) & (near_copies.row_key(docs) == gone["node"]), "left_anti")
+    return _without(docs, near_copies.near_copies(docs))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item. Rows are told apart by id and text, so a null or repeated id does no
     harm. Null texts hold nothing and stay. Very long texts are read whole. Columns may have any name; those of docs
     are returned as they are."""
-    rows = docs.select(near_copies.row_key(docs).alias("node"), docs["text"].alias("text"))
-    gone = decontamination.contaminated(rows, table(spark, sf_dir, "benchmark"), id_col="node").select("doc_id").distinct()
-    return docs.join(gone, near_copies.row_key(docs) == gone["doc_id"], "left_anti")
+    key = F.struct(docs["doc_id"].alias("doc_id"), near_copies.row_key(docs).alias("node"))
+    rows = docs.select(F.to_json(key, {"ignoreNullFields": "false"}).alias("row"), docs["text"].alias("text"))
+    found = decontamination.contaminated(rows, table(spark, sf_dir, "benchmark"), id_col="row").select("doc_id").distinct()
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return _without(docs, found.select(F.from_json("doc_id", f"doc_id {kind}, node long").alias("row")).select("row.*"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
