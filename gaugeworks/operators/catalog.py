@@ -104,20 +104,41 @@ def numbered(df: DataFrame, order: list[str]) -> DataFrame:
     return placed.join(F.broadcast(starts), "_part").withColumn("position", F.col("_before") + F.col("_at") + 1).drop("_id", "_part", "_at", "_before")
 
 
-def owners(edges: DataFrame, node: str, parent: str, most: int = 64) -> DataFrame:
-    """(node, root, depth): follows parents to the top, doubling the step each round; a node of a cycle has no root.
+#: A parent of at least this share of all rows is met by broadcast; there are 1 / HOT_SHARE of them at most.
+HOT_SHARE = 1e-3
 
-    After r rounds chains of 2 ** r steps are settled, so `most` rounds are never the limit in practice.
+
+def _at_parents(rows: DataFrame, parents: DataFrame, total: int) -> DataFrame:
+    """rows joined with parents, a row for each p; rows of hot parents stay where they are."""
+    hot = checkpointed(rows.groupBy("p").count().where(F.col("count") >= max(2, int(total * HOT_SHARE))).select("p"))
+    if hot.isEmpty():
+        return rows.join(parents, "p", "left")
+    at_hot = rows.join(F.broadcast(hot), "p", "left_semi").join(F.broadcast(parents.join(F.broadcast(hot), "p", "left_semi")), "p", "left")
+    return at_hot.unionByName(rows.join(F.broadcast(hot), "p", "left_anti").join(parents, "p", "left"))
+
+
+def owners(edges: DataFrame, node: str, parent: str) -> DataFrame:
+    """(node, root, depth): follows parents to the top, twice as far each round. A parent that is no node itself is a
+    root. Nodes of a cycle, and those that lead to one, have no row.
+
+    A node whose parent is a root, or has found its own, is settled and leaves the loop, so a round costs as much as
+    there are nodes deeper than its reach. Nodes are unique; the loop ends after log2 of the longest chain.
     """
-    now = checkpointed(edges.select(F.col(node).alias("n"), F.col(parent).alias("p"), F.when(F.col(parent).isNull(), 0).otherwise(1).cast("long").alias("d")))
-    rows = now.count()
-    for r in range(most):
-        up = now.select(F.col("n").alias("p"), F.col("p").alias("pp"), F.col("d").alias("pd"))
-        step = now.join(up, "p", "left").select("n", F.when(F.col("pp").isNotNull(), F.col("pp")).otherwise(F.col("p")).alias("p"), (F.col("d") + F.when(F.col("pp").isNotNull(), F.col("pd")).otherwise(0)).alias("d"), F.col("pp").isNotNull().alias("moved"))
-        step = checkpointed(step)
-        moved = step.where("moved").count()
-        now = step.drop("moved")
-        if not moved or 2**r > rows:
-            break
-    open_ = now.join(edges.where(F.col(parent).isNotNull()).select(F.col(node).alias("p")), "p", "left_semi").select("n")
-    return now.join(open_, "n", "left_anti").select(F.col("n").alias(node), F.coalesce("p", "n").alias("root"), F.col("d").alias("depth"))
+    rows = edges.select(F.col(node).alias("n"), F.col(parent).alias("p"))
+    settled = checkpointed(rows.where("p IS NULL").select("n", F.col("n").alias("root"), F.lit(0).cast("long").alias("depth")))
+    inner = checkpointed(rows.where("p IS NOT NULL").withColumn("d", F.lit(1).cast("long")))
+    total = inner.count()
+    names = inner.select(F.col("n").alias("p"), F.lit(True).alias("is_inner"))
+    met = checkpointed(_at_parents(inner, names, total))
+    done = met.where("is_inner IS NULL").select("n", F.col("p").alias("root"), F.col("d").alias("depth"))
+    found, open_ = checkpointed(done), checkpointed(met.where("is_inner").select("n", "p", "d"))
+    reach = 1
+    while reach <= total and not open_.isEmpty():
+        ahead = found.select(F.col("n").alias("p"), F.col("root").alias("to"), F.col("depth").alias("more"), F.lit(True).alias("at_root"))
+        ahead = ahead.union(open_.select(F.col("n").alias("p"), F.col("p").alias("to"), F.col("d").alias("more"), F.lit(False)))
+        step = checkpointed(_at_parents(open_, ahead, total))
+        ends = step.where("at_root").select("n", F.col("to").alias("root"), (F.col("d") + F.col("more")).alias("depth"))
+        found = checkpointed(found.union(ends))
+        open_ = checkpointed(step.where("NOT at_root").select("n", F.col("to").alias("p"), (F.col("d") + F.col("more")).alias("d")))
+        reach *= 2
+    return settled.union(found).select(F.col("n").alias(node), "root", "depth")

@@ -44,31 +44,51 @@ def summary(cells: DataFrame, targets: tuple[int, ...], value: str = "dps") -> D
 
 def top_with_other(df: DataFrame, keys: list[str], name: str, amount: str, k: int, least_share: float = 0.001) -> DataFrame:
     """(keys, rank, name, amount, share): amounts summed by name, the k largest of each group, and what is left
-    as "Other" where it is over `least_share` of the group's total. Equal amounts go by name."""
-    total = df.groupBy(*keys, name).agg(F.sum(amount).alias("amount")).where(F.col("amount") > 0)
-    per = W.partitionBy(*keys)
-    ranked = total.withColumn("rank", F.row_number().over(per.orderBy(F.desc("amount"), name))).withColumn("all", F.sum("amount").over(per))
-    named = F.when(F.col("rank") <= k, F.col(name)).otherwise(F.lit("Other"))
-    out = ranked.groupBy(*keys, F.least("rank", F.lit(k + 1)).alias("rank"), named.alias("name")).agg(F.sum("amount").alias("amount"), F.first("all").alias("all"))
+    as "Other" where it is over `least_share` of the group's total. Equal amounts go by name.
+
+    Each task passes on its k largest of a group at most, and the rest is the total less the k largest."""
+    sums = df.groupBy(*keys, name).agg(F.sum(amount).alias("amount")).where(F.col("amount") > 0)
+    totals = sums.groupBy(*keys).agg(F.sum("amount").alias("all"), F.count(F.lit(1)).alias("names"))
+    order = W.partitionBy(*keys).orderBy(F.desc("amount"), name)
+    top = sums.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    named = top.join(totals, keys).select(*keys, "rank", F.col(name).alias("name"), "amount", "all")
+    held = top.groupBy(*keys).agg(F.sum("amount").alias("held"))
+    rest = totals.where(F.col("names") > k).join(held, keys)
+    other = rest.select(*keys, F.lit(k + 1).alias("rank"), F.lit("Other").alias("name"), (F.col("all") - F.col("held")).alias("amount"), "all")
     share = F.col("amount").cast("double") / F.col("all").cast("double")
-    return out.withColumn("share", share).where((F.col("rank") <= k) | (F.col("share") > least_share)).drop("all")
-
-
-def rolling_burst(series: DataFrame, keys: list[str], order: str, value: str, width: int = 20) -> DataFrame:
-    """(keys, n, burst): the largest mean of `width` consecutive values over the mean of all; null for fewer
-    values or a mean that isn't above 0."""
-    w = W.partitionBy(*keys).orderBy(order).rowsBetween(1 - width, 0)
-    full = F.when(F.count(value).over(w) == width, F.sum(value).over(w))
-    rolled = series.select(*keys, F.col(value).alias("v"), full.alias("window"))
-    mean = F.sum("v").cast("double") / F.count("v")
-    out = rolled.groupBy(*keys).agg(F.count("v").alias("n"), F.when((F.count("v") >= width) & (mean > 0), F.max("window").cast("double") / width / mean).alias("burst"))
-    return out
-
-
-def binned(series: DataFrame, keys: list[str], at: str, value: str, width: int) -> DataFrame:
-    """(keys, bin, mean): means of consecutive chunks of `width` positions; the last may be short."""
-    cut = F.floor(F.col(at) / width).cast("long").alias("bin")
-    return series.groupBy(*keys, cut).agg((F.sum(value).cast("double") / F.count(value)).alias("mean"))
+    return named.union(other).withColumn("share", share).where((F.col("rank") <= k) | (F.col("share") > least_share)).drop("all")
+
+
+def rolling_burst(series: DataFrame, keys: list[str], at: str, value: str, span: int, width: int = 20) -> DataFrame:
+    """(keys, n, burst): the largest mean of `width` consecutive positions over the mean of all `span` of them, from 0;
+    null if there are fewer, or for a mean that isn't above 0. A position without a row has the value 0.
+
+    The sum of a window changes only where a value enters it, or leaves it `width` later: it is the running sum of both
+    kinds of changes, and is looked at there and at the end of the first whole window, so that positions without values
+    cost nothing. Decimal sums are exact. Rows without a position or outside the span go.
+    """
+    known = series.where(F.col(at).between(0, span - 1)).select(*keys, F.col(at).alias("_at"), F.coalesce(value, F.lit(0)).alias("_v"))
+    moves = known.union(known.select(*keys, F.col("_at") + width, -F.col("_v"))).groupBy(*keys, "_at").agg(F.sum("_v").alias("_v"))
+    order = W.partitionBy(*keys).orderBy("_at")
+    running = moves.withColumn("_s", F.sum("_v").over(order.rowsBetween(W.unboundedPreceding, 0))).withColumn("_next", F.lead("_at").over(order))
+    # the last change at or before the end of the first window tells that window's sum
+    is_whole = (F.col("_at") < span) & (F.coalesce("_next", F.lit(span)) > width - 1)
+    started = F.when(F.min("_at") > width - 1, F.lit(0))  # then the first window is empty
+    sums = running.groupBy(*keys).agg(F.greatest(F.max(F.when(is_whole, F.col("_s"))), started).alias("_most"))
+    totals = known.groupBy(*keys).agg(F.sum("_v").alias("_all"))
+    mean = F.col("_all").cast("double") / span
+    burst = F.when((F.lit(span) >= width) & (mean > 0), F.col("_most").cast("double") / width / mean)
+    return totals.join(sums, keys).select(*keys, F.lit(span).cast("long").alias("n"), burst.alias("burst"))
+
+
+def binned(series: DataFrame, keys: list[str], at: str, value: str, span: int, width: int) -> DataFrame:
+    """(keys, bin, mean): means of consecutive chunks of `width` of `span` positions, from 0; the last may be short. A
+    position without a row has the value 0, and so has the mean of a bin without any."""
+    known = series.where(F.col(at).between(0, span - 1))
+    sums = known.groupBy(*keys, F.floor(F.col(at) / width).cast("long").alias("bin")).agg(F.sum(value).alias("_v"))
+    bins = known.select(*keys).distinct().withColumn("bin", F.explode(F.sequence(F.lit(0).cast("long"), F.lit((span - 1) // width).cast("long"))))
+    length = F.least(F.lit(width), F.lit(span) - F.col("bin") * width)
+    return bins.join(sums, [*keys, "bin"], "left").select(*keys, "bin", F.coalesce(F.col("_v").cast("double") / length, F.lit(0.0)).alias("mean"))
 
 
 def context_median(cells: DataFrame, value: str = "dps") -> DataFrame:

@@ -17,16 +17,23 @@ def is_tie(gain: Column, error: Column) -> Column:
     return F.abs(gain) <= error
 
 
+def first_two(df: DataFrame, keys: list[str], order: list, columns: list[str]) -> DataFrame:
+    """(keys, one, two): structs of `columns` of the first and second row of each group; two is null for a lone row.
+
+    The filter by rank stands straight on its window, so that each task passes on two rows of a group at most."""
+    top = df.select(*keys, *columns, F.row_number().over(W.partitionBy(*keys).orderBy(*order)).alias("_n")).where("_n <= 2")
+    at = lambda n: F.max(F.when(F.col("_n") == n, F.struct(*columns)))
+    return top.groupBy(*keys).agg(at(1).alias("one"), at(2).alias("two"))
+
+
 def winner_and_runner_up(df: DataFrame, keys: list[str], name: str, value: str, error: str) -> DataFrame:
     """(keys, winner, runner_up, margin, noise, decisive): the two largest values of each group; equal values go
     by name. error is in percent of the value. A lone entry wins without a margin and isn't decisive."""
-    order = W.partitionBy(*keys).orderBy(F.desc(value), name)
-    nxt = lambda c: F.lead(c).over(order)
-    ranked = df.select(
-        *keys, F.row_number().over(order).alias("_n"), F.col(name).alias("winner"), nxt(name).alias("runner_up"), (F.col(value) - nxt(value)).alias("margin"),
-        combined_error(F.col(value), F.col(error), nxt(value), nxt(error)).alias("noise"),
-    )
-    out = ranked.where(F.col("_n") == 1).drop("_n")
+    two = first_two(df, keys, [F.desc(value), name], [name, value, error])
+    a, b = F.col("one"), F.col("two")
+    out = two.select(
+        *keys, a[name].alias("winner"), b[name].alias("runner_up"), (a[value] - b[value]).alias("margin"), combined_error(a[value], a[error], b[value], b[error]).alias("noise")
+    )
     return out.withColumn("decisive", F.coalesce(F.col("margin") > F.col("noise"), F.lit(False)))
 
 

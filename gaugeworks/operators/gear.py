@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gaugeworks.operators.compare import combined_error, is_tie
+from gaugeworks.operators.compare import combined_error, first_two, is_tie
 
 
 def method(full: int, baseline: int, budget: int = 120) -> str:
@@ -24,12 +23,10 @@ def solo_gains(variants: DataFrame, keys: list[str], empty: str = "empty") -> Da
 def best_sets(sets: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, items, dps, gap, gap_error, tie): the best measured set of each key, and how far the next is.
     sets: keys, items (array, sorted), dps, error."""
-    order = W.partitionBy(*keys).orderBy(F.desc("dps"), F.array_join(F.col("items").cast("array<string>"), "/"))
-    nxt = lambda c: F.lead(c).over(order)
-    ranked = sets.select(
-        *keys, "items", "dps", F.row_number().over(order).alias("_n"), (F.col("dps") - nxt("dps")).alias("gap"), combined_error(F.col("dps"), F.col("error"), nxt("dps"), nxt("error")).alias("gap_error")
-    )
-    return ranked.where("_n = 1").drop("_n").withColumn("tie", F.coalesce(is_tie(F.col("gap"), F.col("gap_error")), F.lit(False)))
+    two = first_two(sets, keys, [F.desc("dps"), F.array_join(F.col("items").cast("array<string>"), "/")], ["items", "dps", "error"])
+    a, b = F.col("one"), F.col("two")
+    out = two.select(*keys, a["items"].alias("items"), a["dps"].alias("dps"), (a["dps"] - b["dps"]).alias("gap"), combined_error(a["dps"], a["error"], b["dps"], b["error"]).alias("gap_error"))
+    return out.withColumn("tie", F.coalesce(is_tie(F.col("gap"), F.col("gap_error")), F.lit(False)))
 
 
 def candidates(items: DataFrame, baseline: DataFrame, keys: list[str]) -> DataFrame:

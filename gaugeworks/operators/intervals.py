@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from gaugeworks.operators.compare import first_two
+
 
 def lives(hits: DataFrame, deaths: DataFrame) -> DataFrame:
     """(fight, actor, instance, first, last, died, total) of every entity that was hit.
@@ -127,15 +129,30 @@ def peak_visits(steps: DataFrame, group: str = "fight") -> DataFrame:
     return tagged.withColumn("up", up).groupBy(group).agg(F.max("peak").alias("peak"), F.count_if("up").alias("visits"))
 
 
-def nominated(damage: DataFrame, group: str, actor: str, amount: str, margin: float = 1.25) -> DataFrame:
-    """(group, actor, reason): the only actor, else the one whose damage is `margin` times the next's; else none.
-    An actor whose next did nothing is any times ahead."""
-    order = W.partitionBy(group).orderBy(F.desc(amount), actor)
-    ranked = damage.select(group, actor, amount, F.row_number().over(order).alias("k"), F.lead(amount).over(order).alias("next"), F.count(F.lit(1)).over(W.partitionBy(group)).alias("n"))
-    ahead = (F.col("next") <= 0) | (F.col(amount) >= margin * F.col("next"))
-    reason = F.when(F.col("n") == 1, "only").when(ahead, "margin").otherwise("none")
-    top = ranked.where("k = 1").withColumn("reason", reason)
-    return top.select(group, F.when(F.col("reason") != "none", F.col(actor)).alias(actor), "reason")
+#: Fixed value: how far ahead of the next an actor's damage nominates it.
+MARGIN = 1.25
+
+
+def nominated(damage: DataFrame, group: str, actor: str, amount: str, name: str | None = None, encounter: str | None = None, margin: float = MARGIN) -> DataFrame:
+    """(group, actor, reason), by the first rule that holds: the first actor by id whose name is the encounter's,
+    stands in it or holds it ("name"; case and outer white space aside, empty names are none); the only actor
+    ("only"); the one whose damage is `margin` times the next's, any times if the next did nothing ("margin"); else
+    none. Without the columns of names the first rule is left out.
+
+    Each task passes on two actors of a group at most."""
+    two = first_two(damage, [group], [F.desc(amount), actor], [actor, amount])
+    one, nxt = F.col("one"), F.col("two")
+    ahead = (one[amount] > 0) & ((nxt[amount] <= 0) | (one[amount] >= margin * nxt[amount]))
+    if name is None or encounter is None:
+        met = two.withColumn("_named", F.lit(None).cast(damage.schema[actor].dataType))
+    else:
+        low = lambda c: F.lower(F.trim(F.coalesce(c, F.lit(""))))
+        own, whole = low(name), low(encounter)
+        is_named = (own != "") & (whole != "") & (F.contains(whole, own) | F.contains(own, whole))
+        met = two.join(damage.where(is_named).groupBy(group).agg(F.min(actor).alias("_named")), group, "left")
+    reason = F.when(F.col("_named").isNotNull(), "name").when(nxt.isNull(), "only").when(ahead, "margin").otherwise("none")
+    chosen = F.when(F.col("_named").isNotNull(), F.col("_named")).when(reason != "none", one[actor])
+    return met.select(group, chosen.alias(actor), reason.alias("reason"))
 
 
 def significant(damage: DataFrame, group: str, amount: str, least: float = 0.01) -> DataFrame:

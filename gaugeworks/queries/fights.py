@@ -160,11 +160,17 @@ def _damage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fight_lives(spark, sf_dir).groupBy("fight", "actor").agg(F.sum("total").alias("total"))
 
 
-@query(f"""WITH {_DAMAGE}, r AS (SELECT *, ROW_NUMBER() OVER w AS k, LEAD(total) OVER w AS nxt, COUNT(*) OVER (PARTITION BY fight) AS c FROM dmg WINDOW w AS (PARTITION BY fight ORDER BY total DESC, actor)),
-z AS (SELECT fight, actor, CASE WHEN c = 1 THEN 'only' WHEN nxt <= 0 OR CAST(total AS DOUBLE) >= 1.25 * CAST(nxt AS DOUBLE) THEN 'margin' ELSE 'none' END AS reason FROM r WHERE k = 1)
-SELECT fight, CASE WHEN reason <> 'none' THEN actor END AS actor, reason FROM z""")
+@query(f"""WITH {_DAMAGE}, nm AS (SELECT fight, actor, total, 'Raid ' || fight // 100000 AS encounter, CASE WHEN actor = fight // 100000 % 7 THEN ' RAID ' || fight // 100000 || ' lord ' WHEN actor = 3 AND fight % 4 = 0 THEN 'raid' WHEN actor = 2 THEN '' ELSE 'add ' || actor END AS name FROM dmg),
+r AS (SELECT *, ROW_NUMBER() OVER w AS k, LEAD(total) OVER w AS nxt, COUNT(*) OVER (PARTITION BY fight) AS c FROM nm WINDOW w AS (PARTITION BY fight ORDER BY total DESC, actor)),
+n AS (SELECT fight, MIN(actor) AS named FROM nm WHERE TRIM(name) <> '' AND (CONTAINS(LOWER(TRIM(name)), LOWER(encounter)) OR CONTAINS(LOWER(encounter), LOWER(TRIM(name)))) GROUP BY fight),
+z AS (SELECT r.fight, actor, named, CASE WHEN named IS NOT NULL THEN 'name' WHEN c = 1 THEN 'only' WHEN total > 0 AND (nxt <= 0 OR CAST(total AS DOUBLE) >= 1.25 * CAST(nxt AS DOUBLE)) THEN 'margin' ELSE 'none' END AS reason FROM r LEFT JOIN n USING (fight) WHERE k = 1)
+SELECT fight, CASE WHEN named IS NOT NULL THEN named WHEN reason <> 'none' THEN actor END AS actor, reason FROM z""")
 def priority_nomination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.nominated(_damage(spark, sf_dir).withColumn("total", F.col("total").cast("double")), "fight", "actor", "total")
+    encounter = F.floor(F.col("fight") / 100000)
+    name = F.when(F.col("actor") == encounter % 7, F.concat(F.lit(" RAID "), encounter, F.lit(" lord "))).when((F.col("actor") == 3) & (F.col("fight") % 4 == 0), "raid")
+    name = name.when(F.col("actor") == 2, "").otherwise(F.concat(F.lit("add "), "actor"))
+    damage = _damage(spark, sf_dir).withColumn("total", F.col("total").cast("double")).withColumn("name", name).withColumn("encounter", F.concat(F.lit("Raid "), encounter))
+    return I.nominated(damage, "fight", "actor", "total", "name", "encounter")
 
 
 @query(f"""WITH {_DAMAGE}, s AS (SELECT fight, actor, CASE WHEN SUM(total) OVER (PARTITION BY fight) > 0 THEN CAST(total AS DOUBLE) / CAST(SUM(total) OVER (PARTITION BY fight) AS DOUBLE) ELSE 1.0 END AS share FROM dmg)
@@ -235,23 +241,24 @@ _HOURS = f"""{EV}, h0 AS (SELECT encounter, ms // 3600000 AS hour, SUM(amount) A
 dense AS (SELECT u.encounter, x.hour, COALESCE(h0.v, 0) AS v, x.hour - lo AS k FROM (SELECT DISTINCT encounter FROM h0) u, r, range(lo, hi + 1) x(hour) LEFT JOIN h0 ON h0.encounter = u.encounter AND h0.hour = x.hour)"""
 
 
-def _hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(encounter, k, v): hourly sums, dense over the span of the table."""
-    summed = events(spark, sf_dir).groupBy("encounter", F.floor(F.col("ms") / 3600000).alias("hour")).agg(F.sum("amount").alias("v"))
-    span = summed.agg(F.min("hour").alias("lo"), F.max("hour").alias("hi"))
-    grid = summed.select("encounter").distinct().join(F.broadcast(span)).select("encounter", "lo", F.explode(F.sequence("lo", "hi")).alias("hour"))
-    return grid.join(summed, ["encounter", "hour"], "left").select("encounter", (F.col("hour") - F.col("lo")).alias("k"), F.coalesce("v", F.lit(0).cast("decimal(28,2)")).alias("v"))
+def _hourly(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
+    """(encounter, k, v) of the hours that have events, and how many hours the table spans."""
+    summed = checkpointed(events(spark, sf_dir).groupBy("encounter", F.floor(F.col("ms") / 3600000).alias("hour")).agg(F.sum("amount").alias("v")))
+    first, last = summed.agg(F.min("hour"), F.max("hour")).first()
+    return summed.select("encounter", (F.col("hour") - F.lit(first)).alias("k"), "v"), 0 if first is None else last - first + 1
 
 
 @query(f"""WITH {_HOURS}, w AS (SELECT *, CASE WHEN COUNT(v) OVER x = 20 THEN SUM(v) OVER x END AS s FROM dense WINDOW x AS (PARTITION BY encounter ORDER BY k ROWS BETWEEN 19 PRECEDING AND CURRENT ROW))
 SELECT encounter, COUNT(*) AS n, CASE WHEN COUNT(*) >= 20 AND SUM(v) > 0 THEN CAST(MAX(s) AS DOUBLE) / 20 / (CAST(SUM(v) AS DOUBLE) / COUNT(*)) END AS burst FROM w GROUP BY encounter""")
 def burst_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.rolling_burst(_hourly(spark, sf_dir), ["encounter"], "k", "v")
+    series, span = _hourly(spark, sf_dir)
+    return C.rolling_burst(series, ["encounter"], "k", "v", span)
 
 
 @query(f"WITH {_HOURS} SELECT encounter, k // 24 AS bin, CAST(SUM(v) AS DOUBLE) / COUNT(*) AS mean FROM dense GROUP BY ALL")
 def binned_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.binned(_hourly(spark, sf_dir), ["encounter"], "k", "v", 24)
+    series, span = _hourly(spark, sf_dir)
+    return C.binned(series, ["encounter"], "k", "v", span, 24)
 
 
 @query("""WITH p AS (SELECT p_partkey AS plan, CAST(p_size AS DOUBLE) AS first, CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE CAST(p_partkey % 40 AS DOUBLE) END AS cadence, 15.0 AS lasts, 120.0 AS length FROM part),

@@ -1,10 +1,12 @@
+import random
+from decimal import Decimal
 import json
 
 import pytest
 from pyspark.sql import functions as F
 
 from gaugeworks.functions import bits, stats, text
-from gaugeworks.operators import catalog, cells, compare, merge
+from gaugeworks.operators import catalog, cells, compare, gear, kills, merge
 from gaugeworks.plans import rules
 from gaugeworks.sources import reports, scans, sinks
 
@@ -73,9 +75,35 @@ def test_gain_needs_a_baseline_above_zero(spark):
 
 
 def test_burst_needs_a_full_window(spark):
-    rows = [("a", k, 1.0 if k < 30 else 4.0) for k in range(40)] + [("b", k, 1.0) for k in range(19)] + [("c", k, 0.0) for k in range(20)]
-    got = {r.k: r.burst for r in cells.rolling_burst(spark.createDataFrame(rows, "k string, at int, v double"), ["k"], "at", "v").collect()}
-    assert got["b"] is None and got["c"] is None and abs(got["a"] - 2.5 / 1.75) < 1e-12
+    rows = [("a", k, 1.0 if k < 30 else 4.0) for k in range(40)] + [("c", k, 0.0) for k in range(20)]
+    frame = spark.createDataFrame(rows, "k string, at int, v double")
+    got = {r.k: r.burst for r in cells.rolling_burst(frame, ["k"], "at", "v", 40).collect()}
+    assert got["c"] is None and abs(got["a"] - 2.5 / 1.75) < 1e-12
+    short = cells.rolling_burst(frame.where("at < 19"), ["k"], "at", "v", 19).collect()
+    assert {r.burst for r in short} == {None} and {r.n for r in short} == {19}
+
+
+def test_bursts_and_bins_of_sparse_series_equal_dense_ones(spark):
+    draw = random.Random(3)
+    rows = {k: {at: draw.randint(-3, 9) for at in draw.sample(range(100), draw.choice([1, 2, 8, 40]))} for k in range(40)}
+    rows |= {40: {5: 7}, 41: {99: 7}, 42: {0: -4, 50: 9}, 43: {19: 1, 39: 1}}
+    frame = spark.createDataFrame([(k, at, Decimal(v)) for k, series in rows.items() for at, v in series.items()] + [(0, 300, Decimal(50))], "k int, at int, v decimal(10,2)")
+    burst = {r.k: r.burst for r in cells.rolling_burst(frame, ["k"], "at", "v", 100).collect()}
+    bins = {(r.k, r.bin): r["mean"] for r in cells.binned(frame, ["k"], "at", "v", 100, 24).collect()}
+    for k, series in rows.items():
+        dense = [series.get(at, 0) for at in range(100)]
+        most, mean = max(sum(dense[e - 19 : e + 1]) for e in range(19, 100)), sum(dense) / 100
+        assert (burst[k] is None) == (mean <= 0) and (mean <= 0 or abs(burst[k] - most / 20 / mean) < 1e-9), k
+        assert [bins[k, b] for b in range(5)] == [sum(dense[24 * b : 24 * b + 24]) / len(dense[24 * b : 24 * b + 24]) for b in range(5)]
+
+
+def test_the_first_of_a_group_are_cut_before_the_shuffle(spark):
+    rows = spark.range(1000).select((F.col("id") % 3).alias("k"), F.col("id").cast("string").alias("name"), F.col("id").cast("double").alias("v"), F.lit(1.0).alias("e"))
+    for out in (
+        compare.winner_and_runner_up(rows, ["k"], "name", "v", "e"), cells.top_with_other(rows, ["k"], "name", "v", 3), gear.best_sets(rows.select("k", F.array("name").alias("items"), F.col("v").alias("dps"), F.col("e").alias("error")), ["k"]),
+        kills.earliest_kills(rows.select("k", F.col("name").alias("code"), F.col("v").alias("at"), F.col("v").alias("fight")), 2, ("k",)), compare.best_by(rows, ["k"], "v", ["name"], ["name"]),
+    ):
+        assert "WindowGroupLimit" in out._jdf.queryExecution().executedPlan().toString()
 
 
 def test_an_equal_gap_is_a_tie_and_not_decisive(spark):
@@ -159,10 +187,13 @@ def test_shards_part_rows_exactly_once(spark, n):
         catalog.shard(rows, ["k"], n, n)
 
 
-def test_owners_survive_cycles(spark):
-    edges = [(k, k - 1 if k else None) for k in range(40)] + [(100, 101), (101, 100), (102, 100), (200, None)]
+def test_owners_survive_cycles_and_stars(spark):
+    edges = [(k, k - 1 if k else None) for k in range(40)] + [(100, 101), (101, 100), (102, 100), (103, 102), (200, None), (300, 999)]
+    edges += [(1000 + k, 5) for k in range(3000)] + [(5000 + k, 200) for k in range(3000)] + [(9000 + k, 5000 + k % 7) for k in range(300)]
     got = {r.node: (r.root, r.depth) for r in catalog.owners(spark.createDataFrame(edges, "node long, parent long"), "node", "parent").collect()}
-    assert got == {k: (0, k) for k in range(40)} | {200: (200, 0)}
+    want = {k: (0, k) for k in range(40)} | {200: (200, 0), 300: (999, 1)} | {1000 + k: (0, 6) for k in range(3000)}
+    assert got == want | {5000 + k: (200, 1) for k in range(3000)} | {9000 + k: (200, 2) for k in range(300)}
+    assert catalog.owners(spark.createDataFrame([], "node long, parent long"), "node", "parent").count() == 0
 
 
 def test_gate_order(spark):

@@ -82,6 +82,13 @@ def test_nomination_order(spark):
     rows = [(1, 1, 10.0), (1, 2, 8.0), (2, 1, 10.0), (2, 2, 9.0), (3, 4, 0.0), (4, 1, 1.0), (4, 2, 0.0)]
     got = {r.fight: (r.actor, r.reason) for r in I.nominated(spark.createDataFrame(rows, "fight long, actor long, total double"), "fight", "actor", "total").collect()}
     assert got == {1: (1, "margin"), 2: (None, "none"), 3: (4, "only"), 4: (1, "margin")}
+    named = [
+        (1, 2, 1.0, "Big Boss ", "big boss"), (1, 1, 90.0, "Add", "big boss"), (2, 3, 1.0, "The big boss lord", "Big Boss"), (2, 2, 1.0, "boss", "Big Boss"), (2, 1, 9.0, "", "Big Boss"),
+        (3, 1, 9.0, None, "Big Boss"), (3, 2, 1.0, "Add", "Big Boss"), (4, 1, 9.0, "x", ""), (4, 2, 8.9, "y", None), (5, 1, 0.0, "x", "z"), (5, 2, 0.0, "y", "z"),
+    ]
+    frame = spark.createDataFrame(named, "fight long, actor long, total double, name string, encounter string")
+    got = {r.fight: (r.actor, r.reason) for r in I.nominated(frame, "fight", "actor", "total", "name", "encounter").collect()}
+    assert got == {1: (2, "name"), 2: (2, "name"), 3: (1, "margin"), 4: (None, "none"), 5: (None, "none")}
 
 
 def test_roles_fold(spark):
