@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeworks.session import checkpointed
@@ -67,6 +67,14 @@ def gathered(df: DataFrame, rows: int, each: int = 20_000) -> DataFrame:
     return df.coalesce(max(8, -(-rows // each)))
 
 
+def bound_batches(spark: SparkSession, most_bytes: int = 4_000_000) -> None:
+    """From now on the session passes texts to Python workers in batches of about most_bytes, where it would pass more:
+    the writer's and the worker's buffers are of that size then, for long rows too."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.isModifiable(key):
+        spark.conf.set(key, most_bytes)
+
+
 def slices(batch: pa.RecordBatch, text: str, most_bytes: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """Consecutive parts of a batch with at most most_bytes of text each; a longer text gets a part of its own."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)

@@ -1,9 +1,10 @@
 """Benchmark decontamination by greedy string tiling.
 
-A document and a benchmark item are compared as words (lower-cased, ASCII signs dropped). Runs of MATCH_WORDS
+A document and a benchmark item are compared as words, lower-cased: white space and signs of any script part them, and
+in scripts that put no spaces between words each character is one. Runs of MATCH_WORDS
 words that both hold, found by running Karp-Rabin hashes, are seeds. Seeds on one diagonal join to maximal
 matches; the longest that overlaps no marked word is marked, again and again, until none of MATCH_WORDS words
-is left. The marked tiles may come in any order, so passages whose parts are moved are still covered. An item
+is left. An item of fewer words is found where all of them stand in a row. The marked tiles may come in any order, so passages whose parts are moved are still covered. An item
 is found in a document when tiles cover at least COVERAGE of its words.
 
 The benchmark is sent to the executors in blocks of at most BLOCK_BYTES of text, so what is sent at once is
@@ -13,6 +14,7 @@ bounded however large the benchmark is; every block is held against all document
 from __future__ import annotations
 
 import heapq
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +29,16 @@ from gaugeworks.llm.words import WordHashes, running_hashes
 
 MATCH_WORDS, COVERAGE, BLOCK_BYTES = 5, 0.5, 16_000_000
 FILTER_BITS = 22
+#: Letters of scripts without spaces between words: Thai, Lao, Burmese, Khmer, kana and Han.
+_ALONE = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+_ODD, _SIGN, _LETTER = re.compile(rf"[^\x00-\x7f\w]|[{_ALONE}]"), re.compile(r"[^\x00-\x7f\w]+"), re.compile(f"([{_ALONE}])")
+
+
+def parted(text: str | None) -> str | None:
+    """A text with a space for each run of signs beyond ASCII, and around each letter of a script without spaces."""
+    if not text or text.isascii() or not _ODD.search(text):
+        return text
+    return _LETTER.sub(r" \1 ", _SIGN.sub(" ", text))
 
 
 def _begins(doc: np.ndarray, item: np.ndarray, d: np.ndarray, i: np.ndarray) -> np.ndarray:
@@ -94,7 +106,13 @@ class Block:
     def __init__(self, items: list[tuple[object, str]]):
         words = WordHashes()
         self.names = [n for n, _ in items]
-        self.items = [words.text(t) for _, t in items]
+        self.items = [words.text(parted(t)) for _, t in items]
+        #: of items of 1 to MATCH_WORDS - 1 words: the hash of their whole run, and which they are
+        self.short = {}
+        for n in range(1, MATCH_WORDS):
+            own = np.array([k for k, w in enumerate(self.items) if len(w) == n], np.int64)
+            if len(own):
+                self.short[n] = np.array([running_hashes(self.items[k], n)[0] for k in own], np.uint64), own
         runs = [running_hashes(w, MATCH_WORDS) for w in self.items]
         every = np.concatenate([np.zeros(0, np.uint64), *runs])
         owner = np.repeat(np.arange(len(runs)), [len(r) for r in runs])
@@ -106,6 +124,9 @@ class Block:
 
     def matches(self, doc: np.ndarray, coverage: float) -> Iterator[tuple[object, float, int, int, int]]:
         """(item, covered share, tiles, words of the longest, words covered) of each item found in a document."""
+        for n, (whole, own) in self.short.items():
+            for k in own[np.isin(whole, running_hashes(doc, n))]:
+                yield self.names[k], 1.0, 1, n, n
         runs = running_hashes(doc, MATCH_WORDS)
         at = np.flatnonzero(self.maybe[runs >> np.uint64(64 - FILTER_BITS)])
         if not len(at):
@@ -162,8 +183,8 @@ def contaminated(
     it holds; documents that hold none have no row. Ids may be of any type. Very long and repetitive texts are read
     whole: what is held at once are the starts of matches, never all pairs of equal runs.
 
-    Items of fewer than MATCH_WORDS words, null and empty ones can't be told from common speech and are never
-    found. Null and empty texts hold nothing. Repeated documents or items are reported each. Without documents
+    An item of fewer than MATCH_WORDS words is found where all its words stand in a row, however common they are; null
+    items and those without a word are never found. Null and empty texts hold nothing. Repeated documents or items are reported each. Without documents
     or items there are no rows.
     """
     items = pick(benchmark, item_id=item_col, text=item_text_col).where("text IS NOT NULL")
@@ -188,7 +209,7 @@ def _search(block: list[tuple[object, str]], coverage: float, item_kind: DataTyp
             for part in slices(batch, "text"):
                 at, found = [], []
                 for k, text in enumerate(part.column("text").to_pylist()):
-                    for row in index.matches(words.text(text), coverage):
+                    for row in index.matches(words.text(parted(text)), coverage):
                         at.append(k)
                         found.append(row)
                 if found:

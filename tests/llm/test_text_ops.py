@@ -191,3 +191,14 @@ def test_odd_rows(spark):
     bench = spark.createDataFrame([(1, "w w w w w w w")], "item_id long, text string")
     assert [r.doc_id for r in decontamination.contaminated(docs, bench).collect()] == [8]
     assert line_dedup.remove_shared_lines(docs).count() == len(ODD)
+
+
+def test_short_items_unspaced_scripts_and_spaces_of_any_kind(spark):
+    docs = [
+        (1, "Which way to go"), (2, "someone asked which way, to go!"), (3, "which way to stay go"), (4, "前の文。東京は日本の首都であり、人口が最も多い都市である。後の文"), (5, "東京は大きい"),
+        (6, "one two\u00a0three four\u2003five six"), (7, "\u201cone\u201d two three \u2014 four five six"), (8, None), (9, ""), (10, "ไทยเป็นภาษา"),
+    ]
+    items = [(1, "Which way to go?"), (2, "東京は日本の首都であり、人口が最も多い都市である。"), (3, "one two three four five six"), (4, ""), (5, "!!"), (6, None), (7, "首都")]
+    found = decontamination.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == {(1, 1), (2, 1), (4, 2), (4, 7), (6, 3), (7, 3)}
+    assert {(r.coverage, r.n_tiles, r.longest_tile, r.covered_words) for r in found if r.item_id == 1} == {(1.0, 1, 4, 4)}
