@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeworks.llm import decontamination, exact_dedup, language_id, near_copies, packing
-from gaugeworks.llm.common import anti_join
+from gaugeworks.llm.common import anti_join, bound_batches
 from gaugeworks.session import checkpointed, scratch_path, table
 
 #: At this many characters half of the noise's bar applies. Short texts hold too few n-grams to be told from noise.
@@ -27,6 +27,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str, languag
     noise's, without a step. Very long texts are read whole. Columns may have any name; those of docs are returned as
     they are.
     """
+    bound_batches(spark)
     kept = [f"kept_{k}" for k in range(len(docs.columns))]
     plain = docs.select(docs["doc_id"], docs["text"], *(docs[c].alias(k) for c, k in zip(docs.columns, kept, strict=True)))
     scored = language_id.predict(plain, language_id.learn(docs), keep=("text", *kept))
@@ -45,6 +46,7 @@ def language_bar(length: Column) -> Column:
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each text, white space aside; null counts as empty. Rows that repeat an id as well as a text count
     as copies. Very long texts are read whole. Columns may have any name; those of docs are returned as they are."""
+    bound_batches(spark)
     index = exact_dedup.DigestIndex(spark, scratch_path(spark, "digest-index"), f"digests_{uuid.uuid4().hex}")
     found = index.dedup(docs)
     index.close()
@@ -74,6 +76,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """Documents of which no two of one SimHash group have a similarity of 0.8 or more in runs of five words; of two
     near copies the smaller doc_id stays. Null texts and texts without words stay. Very long texts are read whole.
     Columns may have any name; those of docs are returned as they are."""
+    bound_batches(spark)
     return _without(docs, near_copies.near_copies(docs))
 
 
@@ -81,6 +84,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Documents that hold no benchmark item. Rows are told apart by id and text, so a null or repeated id does no
     harm. Null texts hold nothing and stay. Very long texts are read whole. Columns may have any name; those of docs
     are returned as they are."""
+    bound_batches(spark)
     key = F.struct(docs["doc_id"].alias("doc_id"), near_copies.row_key(docs).alias("node"))
     rows = docs.select(F.to_json(key, {"ignoreNullFields": "false"}).alias("row"), docs["text"].alias("text"))
     found = decontamination.contaminated(rows, table(spark, sf_dir, "benchmark"), id_col="row").select("doc_id").distinct()
@@ -91,6 +95,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of 2048 tokens, with a checksum of each piece's ids. Null and empty texts are the end id
     alone; very long texts are cut; rows that repeat an id are documents of their own; other columns aren't read."""
+    bound_batches(spark)
     import public_tokenizers
 
     pieces = packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
