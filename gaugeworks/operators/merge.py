@@ -69,3 +69,20 @@ def complete(fights: Column, wanted: Column, exhausted: Column, budget: Column,
     budget and in the same order (either may be unrecorded)."""
     enough = (fights >= wanted) | F.coalesce(exhausted, F.lit(False))
     return enough & (budget.isNull() | (budget >= new_budget)) & (order.isNull() | (order == new_order))
+
+
+def adorned(items: DataFrame, adornments: DataFrame, keys: list[str], worn: list[str]) -> DataFrame:
+    """items as a profile wears them: where it adorns the socket, all of `worn` (gems, enchant) are the profile's, nulls
+    too; a bare socket, with none of them, or an unknown one leaves an item as it is."""
+    plain = adornments.where(" OR ".join(f"{c} IS NOT NULL" for c in worn)).select(*keys, F.struct(*worn).alias("_worn"))
+    met = items.join(plain, keys, "left")
+    return met.select(*(F.when(F.col("_worn").isNotNull(), F.col(f"_worn.{c}")).otherwise(F.col(c)).alias(c) if c in worn else F.col(c) for c in items.columns))
+
+
+def rebuilt(derived: DataFrame, previous: DataFrame, keys: list[str], carried: list[str]) -> DataFrame:
+    """derived items with the hand-written columns of their predecessors; what has none gets nulls. Items that aren't
+    derived any more go, and so does every other column of previous. A predecessor that repeats is taken once, the
+    last by its values."""
+    before = previous.groupBy(*keys).agg(F.max(F.struct(*carried)).alias("_was"))
+    met = derived.select(*(c for c in derived.columns if c not in carried)).join(before, keys, "left")
+    return met.select("*", *(F.col(f"_was.{c}").alias(c) for c in carried)).drop("_was")

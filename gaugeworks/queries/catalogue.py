@@ -18,9 +18,9 @@ from gaugeworks.session import table
 STATS = ("str", "agi", "int")
 
 
-@query("""WITH items AS (SELECT p_brand AS brand, p_partkey AS item, CASE p_partkey % 4 WHEN 0 THEN 'str' WHEN 1 THEN 'agi' WHEN 2 THEN 'int' END AS stat, p_size % 25 AS instance, p_size % 3 = 0 AS dungeon FROM part),
+@query("""WITH items AS (SELECT p_brand AS brand, p_partkey AS item, CASE p_partkey % 4 WHEN 0 THEN 'str' WHEN 1 THEN 'agi' WHEN 2 THEN 'int' END AS stat, p_size % 25 AS instance, p_size % 3 = 0 AS dungeon, CASE p_partkey % 7 WHEN 0 THEN TRUE WHEN 1 THEN FALSE END AS derived, p_brand <> 'Brand#3' AS placed FROM part),
 x AS (SELECT r_regionkey AS region, brand, COALESCE(CASE r_regionkey WHEN 0 THEN stat IS NULL OR stat = 'str' WHEN 1 THEN stat IS NULL OR stat = 'agi' WHEN 2 THEN stat IS NULL OR stat = 'int' WHEN 3 THEN stat IS NULL OR stat IN ('str', 'agi') ELSE FALSE END, FALSE) AS ok,
-  CASE WHEN dungeon THEN instance < 12 ELSE TRUE END AS rotating FROM items, region)
+  CASE WHEN dungeon AND derived IS NOT NULL THEN derived WHEN r_regionkey = 4 OR NOT dungeon THEN TRUE WHEN NOT placed THEN TRUE ELSE instance < 12 END AS rotating FROM items, region)
 SELECT region, brand, COUNT(*) FILTER (WHERE ok) AS eligible, COUNT(*) FILTER (WHERE ok AND rotating) AS baseline, COUNT(*) FILTER (WHERE ok AND NOT rotating) AS candidates FROM x GROUP BY region, brand""")
 def eligibility_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     allowed = F.when(F.col("r_regionkey") == 3, F.array(F.lit("str"), F.lit("agi")))
@@ -28,11 +28,14 @@ def eligibility_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
         allowed = allowed.when(F.col("r_regionkey") == k, F.array(F.lit(stat)))
     builds = table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("region"), allowed.alias("allowed"))
     which = F.get(F.array(*map(F.lit, STATS), F.lit(None)), (F.col("p_partkey") + 0) % 4)
-    items = table(spark, sf_dir, "part").select(F.col("p_brand").alias("brand"), which.alias("stat"), (F.col("p_size") % 25).alias("instance"), (F.col("p_size") % 3 == 0).alias("dungeon"))
-    counted = items.groupBy("brand", "stat", "instance", "dungeon").agg(F.count(F.lit(1)).alias("n"))
+    items = table(spark, sf_dir, "part").select(
+        F.col("p_brand").alias("brand"), which.alias("stat"), (F.col("p_size") % 25).alias("instance"), (F.col("p_size") % 3 == 0).alias("dungeon"),
+        F.when(F.col("p_partkey") % 7 == 0, True).when(F.col("p_partkey") % 7 == 1, False).alias("derived"), (F.col("p_brand") != "Brand#3").alias("placed"),
+    )
+    counted = items.groupBy("brand", "stat", "instance", "dungeon", "derived", "placed").agg(F.count(F.lit(1)).alias("n"))
     met = counted.join(F.broadcast(builds))  # five regions
-    rotation = F.array(*map(F.lit, range(12)))
-    ok, rotating = K.eligible(F.col("stat"), F.col("allowed")), K.in_rotation(F.lit(None).cast("boolean"), F.col("dungeon"), rotation, F.lit(True), F.col("instance"))
+    rotation = F.when(F.col("region") != 4, F.array(*map(F.lit, range(12))))  # the last has none
+    ok, rotating = K.eligible(F.col("stat"), F.col("allowed")), K.in_rotation(F.col("derived"), F.col("dungeon"), rotation, F.col("placed"), F.col("instance"))
     total = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0))
     return met.groupBy("region", "brand").agg(total(ok).alias("eligible"), total(ok & rotating).alias("baseline"), total(ok & ~rotating).alias("candidates"))
 
@@ -170,8 +173,8 @@ def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {fights.STEPS}, p AS (SELECT fight, encounter, MAX(n) AS peak, MAX(window_) AS w, MAX(duration) AS d FROM steps JOIN win USING (fight) JOIN (SELECT fight, MAX(duration) AS duration FROM ev GROUP BY fight) USING (fight) GROUP BY ALL),
 a AS (SELECT encounter, COUNT(*) AS sample, MEDIAN(peak) AS peak, MIN(peak) AS lo, MAX(peak) AS hi, MIN(ROUND(LEAST(CASE WHEN d > 0 THEN w / d END, 1), 4)) AS cov FROM p GROUP BY encounter),
-g AS (SELECT encounter, sample, CASE WHEN encounter % 3 = 0 THEN CAST(encounter % 4 AS DOUBLE) END AS stored, encounter % 2 = 0 AS hand, encounter % 5 = 0 AS fills, peak, CASE WHEN cov IS NULL THEN 'coverage unknown' WHEN cov < 0.95 THEN 'coverage too low' WHEN lo <> hi THEN 'peaks differ' END AS withheld FROM a)
-SELECT encounter, sample, peak, withheld, CASE WHEN stored IS NOT NULL AND hand AND NOT fills THEN 'blocked' WHEN sample < 3 OR withheld IS NOT NULL THEN 'hold' WHEN fills THEN 'eligible' WHEN stored IS NOT NULL THEN 'supersedes' ELSE 'new' END AS state,
+g AS (SELECT encounter, sample, CASE WHEN encounter % 3 = 0 THEN CAST(encounter % 4 AS DOUBLE) END AS stored, encounter % 2 = 0 AS hand, encounter % 5 = 0 AS fills, peak, CASE WHEN cov IS NULL THEN 'coverage unknown' WHEN cov < 0.95 THEN 'coverage too low' WHEN lo <> hi THEN 'peaks differ' END AS withheld, encounter % 100 / 100.0 >= 0.95 AS constant FROM (SELECT encounter, CASE WHEN encounter % 13 = 0 THEN 2 ELSE sample END AS sample, peak, lo, CASE WHEN encounter % 4 < 2 THEN lo ELSE hi END AS hi, CASE WHEN encounter % 17 = 0 THEN NULL WHEN encounter % 3 < 2 THEN 1.0 ELSE cov END AS cov FROM a))
+SELECT encounter, sample, peak, withheld, constant, CASE WHEN stored IS NOT NULL AND hand AND NOT fills THEN 'blocked' WHEN sample < 3 OR withheld IS NOT NULL THEN 'hold' WHEN fills THEN 'eligible' WHEN stored IS NOT NULL THEN 'supersedes' ELSE 'new' END AS state,
   stored IS NOT NULL AND NOT fills AND withheld IS NULL AND stored IS DISTINCT FROM peak AS disagrees FROM g""")
 def promotion_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gaugeworks.operators import intervals as I
@@ -182,10 +185,13 @@ def promotion_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     length = lives.groupBy("fight").agg(F.max("duration").alias("duration"))
     pulls = peaks.join(until, "fight").join(length, "fight").withColumn("cov", F.round(F.least(F.when(F.col("duration") > 0, F.col("window") / F.col("duration")), F.when(F.col("duration") > 0, F.lit(1.0))), 4))
     pooled = pulls.groupBy("encounter").agg(F.count(F.lit(1)).alias("sample"), F.median("peak").alias("peak"), F.min("peak").alias("lo"), F.max("peak").alias("hi"), F.min("cov").alias("cov"))
-    proposal = R.target_count(F.col("cov"), F.col("lo"), F.col("peak"), F.col("hi"), F.lit(1.0))
+    e = F.col("encounter")  # of some encounters the facts are replaced, so that every case occurs
+    coverage = F.when(e % 17 == 0, F.lit(None).cast("double")).when(e % 3 < 2, 1.0).otherwise(F.col("cov"))
+    pooled = pooled.withColumn("sample", F.when(e % 13 == 0, 2).otherwise(F.col("sample"))).withColumn("hi", F.when(e % 4 < 2, F.col("lo")).otherwise(F.col("hi")))
+    proposal = R.target_count(coverage, F.col("lo"), F.col("peak"), F.col("hi"), e % 100 / 100)
     stored = F.when(F.col("encounter") % 3 == 0, (F.col("encounter") % 4).cast("double"))
     gated = pooled.withColumn("p", proposal).withColumn("g", R.gate(stored, F.col("encounter") % 2 == 0, F.col("encounter") % 5 == 0, F.col("p.value"), F.col("sample"), F.col("p.withheld")))
-    return gated.select("encounter", "sample", "peak", "p.withheld", "g.state", "g.disagrees")
+    return gated.select("encounter", "sample", "peak", "p.withheld", "p.constant", "g.state", "g.disagrees")
 
 
 @query("""WITH RECURSIVE t AS (SELECT conv_id * 1000 + turn AS n, CASE WHEN turn > 0 THEN conv_id * 1000 + turn - 1 END AS p FROM conversations),

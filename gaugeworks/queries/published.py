@@ -114,16 +114,20 @@ def shape_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {fights.STEPS}, au AS (SELECT fight, COUNT(*) FILTER (WHERE event_type = 'signup') AS cut FROM ev GROUP BY fight), d AS (SELECT fight, MAX(duration) AS d FROM ev GROUP BY fight),
-c AS (SELECT w.encounter, MIN(CASE WHEN d > 0 THEN ROUND(LEAST(window_ / d, 1), 4) END) AS cov, SUM(cut) AS cut, COUNT(*) AS n FROM win w JOIN au USING (fight) JOIN d USING (fight) GROUP BY w.encounter)
-SELECT encounter, CAST(CASE WHEN cov IS NULL OR cov < 0.95 THEN 1 ELSE 0 END + CASE WHEN cut > 0 THEN 1 ELSE 0 END + CASE WHEN n < 3 THEN 1 ELSE 0 END AS BIGINT) AS caveats, CASE WHEN cut > 0 THEN cut || ' windows cut by the start or end' END AS truncation FROM c""")
+c AS (SELECT w.encounter, MIN(CASE WHEN d > 0 THEN ROUND(LEAST(window_ / d, 1), 4) END) AS cov, SUM(cut) AS cut, COUNT(*) AS n FROM win w JOIN au USING (fight) JOIN d USING (fight) GROUP BY w.encounter),
+v AS (SELECT encounter, CASE WHEN encounter % 11 = 0 THEN NULL WHEN encounter % 3 = 0 THEN 0.97 ELSE cov END AS cov, cut, CASE WHEN encounter % 4 = 0 THEN n % 4 ELSE n END AS n, CASE WHEN encounter % 2 = 0 THEN 'top' ELSE 'kill' END AS ord FROM c)
+SELECT encounter, array_to_string(list_filter([CASE WHEN cov IS NULL THEN 'coverage unknown' WHEN cov < 0.95 THEN 'read to ' || CAST(ROUND(CAST(cov * 100 AS DECIMAL(9,2)), 0) AS INT) || '% of the fight' END, CASE WHEN cut > 0 THEN cut || ' windows cut by the start or end' END,
+  CASE WHEN n < 3 THEN 'only ' || n || ' pulls' END, CASE WHEN ord = 'top' THEN 'ranked pulls only' END], lambda t: t IS NOT NULL), '; ') AS caveats FROM v""")
 def coverage_caveats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All caveats of every encounter; some have no coverage, a whole one, few pulls, or another order."""
     ev = fights.events(spark, sf_dir)
     marks = ev.groupBy("fight").agg(F.count_if(F.col("event_type") == "signup").alias("cut"), F.max("t").alias("duration"))
     pulls = fights.windows_of(fights.fight_lives(spark, sf_dir)).join(marks, "fight")
     pooled = pulls.groupBy("encounter").agg(F.min(D.coverage_of(F.col("window"), F.col("duration"))).alias("cov"), F.sum("cut").alias("cut"), F.count(F.lit(1)).alias("n"))
-    texts = D.caveats(F.col("cov"), F.col("cut"), F.col("n"), F.lit("kill"))
-    cut = F.get(F.filter(texts, lambda t: F.contains(t, F.lit("windows cut"))), 0)
-    return pooled.select("encounter", F.size(texts).cast("long").alias("caveats"), cut.alias("truncation"))
+    e = F.col("encounter")
+    coverage = F.when(e % 11 == 0, F.lit(None).cast("double")).when(e % 3 == 0, 0.97).otherwise(F.col("cov"))
+    texts = D.caveats(coverage, F.col("cut"), F.when(e % 4 == 0, F.col("n") % 4).otherwise(F.col("n")), F.when(e % 2 == 0, "top").otherwise("kill"))
+    return pooled.select("encounter", F.array_join(texts, "; ").alias("caveats"))
 
 
 _VARIANTS = f"""{sweeps.CELLS}, var AS (SELECT build, scenario, CASE WHEN targets = 1 THEN 'empty' ELSE 'v' || targets END AS variant, dps, err, priority FROM cells)"""
@@ -205,7 +209,12 @@ def talent_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.violations(_picks(spark, sf_dir), ["id"])
 
 
-@query("""WITH s AS (SELECT o_orderpriority AS boss, MEDIAN(o_totalprice) AS m, MIN(o_totalprice) AS lo, MAX(o_totalprice) AS hi, COUNT(*) AS n FROM orders GROUP BY 1) SELECT boss, n, lo < hi AS ranged FROM s""")
+@query("""WITH x AS (SELECT o_custkey AS build, CASE WHEN o_custkey % 3 = 0 THEN 7.25 WHEN o_custkey % 4 = 0 THEN NULL ELSE o_orderkey % 100 / 4 END AS v FROM orders),
+s AS (SELECT build, MEDIAN(v) AS m, MIN(v) AS lo, MAX(v) AS hi, COUNT(v) AS n FROM x GROUP BY build)
+SELECT build, n, CASE WHEN n = 0 THEN 'not measured' ELSE ROUND(CAST(m AS DECIMAL(18,3)), 1) || 's' || CASE WHEN lo = hi THEN ' (n=' || n || ')' ELSE ' (' || ROUND(CAST(lo AS DECIMAL(18,3)), 1) || '-' || ROUND(CAST(hi AS DECIMAL(18,3)), 1) || ', n=' || n || ')' END END AS text FROM s""")
 def spread_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("boss")).agg(S.spread("o_totalprice").alias("s"))
-    return rows.select("boss", F.col("s.n").alias("n"), F.contains(L.spread_text(F.col("s")), F.lit("-")).alias("ranged"))
+    """Spreads of each customer's orders as text: of one value, of several and of none."""
+    key = F.col("o_custkey")
+    value = F.when(key % 3 == 0, 7.25).when(key % 4 == 0, F.lit(None).cast("double")).otherwise(F.col("o_orderkey") % 100 / 4)
+    rows = table(spark, sf_dir, "orders").select(key.alias("build"), value.alias("v")).groupBy("build").agg(S.spread("v").alias("s"))
+    return rows.select("build", F.coalesce("s.n", F.lit(0)).alias("n"), L.spread_text(F.col("s"), "s").alias("text"))

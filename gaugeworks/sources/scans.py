@@ -99,3 +99,44 @@ def unwrapped(payload: Column) -> Column:
     value = F.coalesce(F.when(F.schema_of_variant(value) == "STRING", F.try_parse_json(F.try_variant_get(value, "$", "string"))), value)
     at = lambda path: F.try_variant_get(value, path, "array<variant>")
     return F.coalesce(at("$.data.entries"), at("$.data.series"), at("$.data.targets"), at("$.data"), at("$"))
+
+
+#: What a program's output says when a profile doesn't load, in the order in which it is looked for, and
+#: the two texts of a line that tell a stale talent string.
+FAILURES = ("Error:", "Setup failure", "Unable to generate")
+STALE_TEXTS = ("Initialization error", "Hash '")
+#: Fixed value: a row of the generated table of set bonuses.
+SET_ROW = r'\{\s*"([^"]*)"\s*,\s*"([^"]*)"\s*,\s*"([^"]*)"\s*,\s*(-?\d+)\s*,\s*(-?\d+)\s*,\s*(-?\d+)\s*,\s*(-?\d+)\s*,\s*(-?\d+)\s*,'
+
+
+def loads(output: Column) -> Column:
+    """struct(loads, reason, stale): whether a profile loaded, by its process's output. The reason is the first line
+    with the first of FAILURES that occurs, trimmed, 200 characters at most; stale tells that the talent string is
+    to blame. No output is no failure."""
+    lines = F.split(F.coalesce(output, F.lit("")), r"\r\n|[\n\r]")
+    first_with = lambda mark: F.get(F.filter(lines, lambda x: F.contains(x, F.lit(mark))), 0)
+    line = F.coalesce(*map(first_with, FAILURES))
+    whole = F.trim(line)
+    stale = F.coalesce(F.contains(whole, F.lit(STALE_TEXTS[0])) & F.contains(whole, F.lit(STALE_TEXTS[1])), F.lit(False))
+    return F.struct(line.isNull().alias("loads"), F.left(whole, F.lit(200)).alias("reason"), stale.alias("stale"))
+
+
+def set_bonuses(lines: DataFrame, at: str = "line", text: str = "text") -> DataFrame:
+    """(name, option, tier, class) of a generated table: of the rows of one (option, tier, class) the first names it."""
+    part = lambda k: F.regexp_extract(text, SET_ROW, k)
+    rows = lines.where(F.col(text).rlike(SET_ROW)).select(at, part(1).alias("name"), part(2).alias("option"), part(3).alias("tier"), part(7).cast("int").alias("class"))
+    return rows.groupBy("option", "tier", "class").agg(F.min_by("name", at).alias("name")).select("name", "option", "tier", "class")
+
+
+def pool_of_tier(pools: DataFrame, tier: str) -> DataFrame:
+    """The rows of one tier of curated pools; a tier without any is an error that names those there are."""
+    own = pools.where(F.col("tier") == tier)
+    if own.isEmpty():
+        known = [r.tier for r in pools.select("tier").distinct().orderBy("tier").collect()]
+        raise KeyError(f"no pools for tier {tier!r} (there are: {', '.join(known) or 'none'})")
+    return own
+
+
+def facts_of_tier(facts: DataFrame, tier: str) -> DataFrame:
+    """The rows of one tier of curated facts; a tier that the file hasn't caught up with has none."""
+    return facts.where(F.col("tier") == tier)
