@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gaugeworks.queries import analysis, catalogue, curated, fights, gearsweep, loadouts, paging, published, sweeps  # noqa: F401  they register themselves
+from gaugeworks.queries import analysis, catalogue, curated, fights, gearsweep, loadouts, paging, published, reported, sweeps  # noqa: F401  they register themselves
 from gaugeworks.queries.registry import ORACLES, QUERIES, Query
 
 
