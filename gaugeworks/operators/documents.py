@@ -49,10 +49,15 @@ def patterns(clustered: DataFrame, facts: DataFrame) -> DataFrame:
     )
 
 
+def _read_to(coverage: Column) -> Column:
+    """Whole percent, halves up, of a share that has 4 places."""
+    return F.format_string("read to %d%% of the fight", F.round((coverage * 100).cast("decimal(9,2)"), 0).cast("int"))
+
+
 def caveats(coverage: Column, truncated: Column, sample: Column, order: Column) -> Column:
     """What a reader must know, in a fixed order."""
     texts = F.array(
-        F.when(coverage.isNull(), "coverage unknown").when(coverage < 0.95, F.format_string("read to %.0f%% of the fight", coverage * 100)),
+        F.when(coverage.isNull(), "coverage unknown").when(coverage < 0.95, _read_to(coverage)),
         F.when(truncated > 0, F.format_string("%d windows cut by the start or end", truncated)),
         F.when(sample < 3, F.format_string("only %d pulls", sample)),
         F.when(order == "top", "ranked pulls only"),
@@ -63,3 +68,40 @@ def caveats(coverage: Column, truncated: Column, sample: Column, order: Column)
 def coverage_of(window: Column, duration: Column) -> Column:
     """Share of a fight that was read: at most 1, 4 places; null without a duration."""
     return F.when(duration > 0, F.round(F.least(window / duration, F.lit(1.0)), 4))
+
+
+def fight_documents(pulls: DataFrame, steps: DataFrame, significant: DataFrame, auras: DataFrame) -> DataFrame:
+    """(encounter, document): a JSON text for each encounter, with its pulls in order, and in each its numbers of targets
+    over all enemies and over the significant ones, its priority target, its auras and what a reader must know.
+
+    pulls: encounter, fight, window and duration (seconds), priority (an actor, or null) and reason. steps and
+    significant: fight, t, n. auras: fight, ability, start, end, truncated. Times are whole milliseconds. Keys without
+    a value are absent, as are lists that have no entry. All is grouped within one partitioning by encounter, so that
+    what belongs to a pull meets it without further shuffles; a document is as large as its encounter.
+    """
+    ms = lambda c: F.round(F.col(c) * 1000).cast("long")
+    owner = pulls.select("fight", "encounter")
+    kinds = {
+        "targets": steps.select("fight", F.struct(ms("t").alias("t"), "n").alias("x")),
+        "significantTargets": significant.select("fight", F.struct(ms("t").alias("t"), "n").alias("x")),
+        "auras": auras.select("fight", F.struct(ms("start").alias("start"), "ability", ms("end").alias("end"), F.when(F.col("truncated"), True).alias("truncated")).alias("x")),
+    }
+    out = pulls.repartition("encounter")
+    for name, rows in kinds.items():
+        grouped = rows.join(owner, "fight").repartition("encounter").groupBy("encounter", "fight").agg(F.array_sort(F.collect_list("x")).alias(name))
+        out = out.join(grouped, ["encounter", "fight"], "left")
+    coverage = coverage_of(F.col("window"), F.col("duration"))
+    warnings = F.filter(
+        F.array(
+            F.when(coverage.isNull(), "coverage unknown").when(coverage < 0.95, _read_to(coverage)),
+            F.when(F.col("auras").isNull(), "no auras"), F.when(F.col("priority").isNull(), "no priority target"),
+        ), lambda t: t.isNotNull(),
+    )
+    pull = F.struct(
+        "fight", ms("window").alias("window"), ms("duration").alias("duration"), "targets", "significantTargets", "priority", "reason", "auras", F.when(F.size(warnings) > 0, warnings).alias("warnings")
+    )
+    grouped = out.groupBy("encounter").agg(
+        F.array_sort(F.collect_list(pull), lambda a, b: F.when(a["fight"] < b["fight"], -1).when(a["fight"] > b["fight"], 1).otherwise(0)).alias("pulls"),
+        F.struct(F.count(F.lit(1)).alias("pulls"), F.count_if(F.coalesce(coverage >= 0.95, F.lit(False))).alias("complete")).alias("coverage"),
+    )
+    return grouped.select("encounter", F.to_json(F.struct("encounter", "coverage", "pulls"), {"ignoreNullFields": "true"}).alias("document"))

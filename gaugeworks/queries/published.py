@@ -130,6 +130,37 @@ def coverage_caveats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pooled.select("encounter", F.array_join(texts, "; ").alias("caveats"))
 
 
+_TARGETS = """string_agg('{"t":' || CAST(ROUND(t * 1000) AS BIGINT) || ',"n":' || n || '}', ',' ORDER BY CAST(ROUND(t * 1000) AS BIGINT), n)"""
+
+
+@query(f"""WITH {fights.STEPS}, sg AS (SELECT fight, actor FROM (SELECT fight, actor, SUM(total) AS s, SUM(SUM(total)) OVER (PARTITION BY fight) AS w FROM lives GROUP BY fight, actor) WHERE CASE WHEN w > 0 THEN CAST(s AS DOUBLE) / CAST(w AS DOUBLE) ELSE 1 END >= 0.2),
+mv AS (SELECT fight, t, SUM(d) AS d FROM (SELECT fight, first AS t, 1 AS d FROM lives SEMI JOIN sg USING (fight, actor) UNION ALL SELECT fight, last, -1 FROM lives SEMI JOIN sg USING (fight, actor)) GROUP BY ALL),
+rn AS (SELECT fight, t, CAST(SUM(d) OVER (PARTITION BY fight ORDER BY t) AS BIGINT) AS n FROM mv),
+ss AS (SELECT fight, t, n FROM (SELECT *, LAG(n) OVER (PARTITION BY fight ORDER BY t) AS b FROM rn) WHERE b IS NULL OR b <> n UNION ALL SELECT fight, 0.0, 0 FROM rn GROUP BY fight HAVING MIN(t) > 0),
+{fights.AURAS[len(fights.EV) + 2:]},
+du AS (SELECT fight, MAX(duration) AS d FROM lives GROUP BY fight),
+dm AS (SELECT fight, actor, SUM(total) AS total FROM lives SEMI JOIN sg USING (fight, actor) GROUP BY fight, actor),
+rk AS (SELECT *, ROW_NUMBER() OVER w AS k, LEAD(total) OVER w AS nxt, COUNT(*) OVER (PARTITION BY fight) AS c FROM dm WINDOW w AS (PARTITION BY fight ORDER BY total DESC, actor)),
+pr AS (SELECT fight, actor, CASE WHEN c = 1 THEN 'only' WHEN total > 0 AND (nxt <= 0 OR CAST(total AS DOUBLE) >= 1.25 * CAST(nxt AS DOUBLE)) THEN 'margin' ELSE 'none' END AS reason FROM rk WHERE k = 1),
+a1 AS (SELECT fight, {_TARGETS} AS x FROM steps GROUP BY fight), a2 AS (SELECT fight, {_TARGETS} AS x FROM ss GROUP BY fight),
+a3 AS (SELECT fight, string_agg('{{"start":' || CAST(ROUND(start_ * 1000) AS BIGINT) || ',"ability":' || ability || ',"end":' || CAST(ROUND(end_ * 1000) AS BIGINT) || CASE WHEN truncated THEN ',"truncated":true' ELSE '' END || '}}', ',' ORDER BY CAST(ROUND(start_ * 1000) AS BIGINT), ability, CAST(ROUND(end_ * 1000) AS BIGINT), truncated) AS x FROM auras GROUP BY fight),
+pu AS (SELECT w.encounter, w.fight, window_, d, CASE WHEN d > 0 THEN ROUND(LEAST(window_ / d, 1), 4) END AS cov, a1.x AS x1, a2.x AS x2, a3.x AS x3, CASE WHEN reason <> 'none' THEN actor END AS priority, reason FROM win w JOIN du USING (fight) JOIN pr USING (fight) LEFT JOIN a1 USING (fight) LEFT JOIN a2 USING (fight) LEFT JOIN a3 USING (fight)),
+tx AS (SELECT *, array_to_string(list_filter([CASE WHEN cov IS NULL THEN '"coverage unknown"' WHEN cov < 0.95 THEN '"read to ' || CAST(ROUND(CAST(cov * 100 AS DECIMAL(9,2)), 0) AS INT) || '% of the fight"' END, CASE WHEN x3 IS NULL THEN '"no auras"' END, CASE WHEN priority IS NULL THEN '"no priority target"' END], lambda t: t IS NOT NULL), ',') AS notes FROM pu)
+SELECT encounter, '{{"encounter":' || encounter || ',"coverage":{{"pulls":' || COUNT(*) || ',"complete":' || COUNT(*) FILTER (WHERE cov >= 0.95) || '}},"pulls":[' || string_agg('{{"fight":' || fight || ',"window":' || CAST(ROUND(window_ * 1000) AS BIGINT) || ',"duration":' || CAST(ROUND(d * 1000) AS BIGINT)
+  || COALESCE(',"targets":[' || x1 || ']', '') || COALESCE(',"significantTargets":[' || x2 || ']', '') || COALESCE(',"priority":' || priority, '') || ',"reason":"' || reason || '"' || COALESCE(',"auras":[' || x3 || ']', '') || CASE WHEN notes <> '' THEN ',"warnings":[' || notes || ']' ELSE '' END || '}}', ',' ORDER BY fight) || ']}}' AS document
+FROM tx GROUP BY encounter""")
+def fight_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One document for each encounter, its pulls inside; enemies of a fifth of the damage count as significant."""
+    lives = fights.fight_lives(spark, sf_dir)
+    damage = lives.groupBy("fight", "actor").agg(F.sum("total").alias("total"))
+    grave = I.significant(damage, "fight", "total", 0.2).select("fight", "actor", F.col("total").cast("double").alias("total"))
+    priority = I.nominated(grave, "fight", "actor", "total").withColumnRenamed("actor", "priority")
+    length = lives.groupBy("fight").agg(F.max("duration").alias("duration"))
+    pulls = fights.windows_of(lives).join(length, "fight").join(priority, "fight")
+    few = lives.join(grave.select("fight", "actor"), ["fight", "actor"], "left_semi")
+    return D.fight_documents(pulls, I.concurrency(lives), I.concurrency(few), fights._auras(spark, sf_dir))
+
+
 _VARIANTS = f"""{sweeps.CELLS}, var AS (SELECT build, scenario, CASE WHEN targets = 1 THEN 'empty' ELSE 'v' || targets END AS variant, dps, err, priority FROM cells)"""
 
 
