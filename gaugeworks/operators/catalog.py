@@ -95,8 +95,9 @@ def shard(df: DataFrame, order: list[str], index: int, count: int) -> DataFrame:
 
 
 def numbered(df: DataFrame, order: list[str]) -> DataFrame:
-    """Adds position, 1-based in the given total order."""
-    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
+    """Adds position, 1-based in the given total order. The ranges are written once, so that sizes and rows are of the
+    same cut."""
+    placed = checkpointed(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()))
     placed = placed.withColumn("_part", F.shiftright("_id", 33)).withColumn("_at", F.col("_id").bitwiseAND((1 << 33) - 1))
     sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from gaugeworks.operators.catalog import numbered
+
 
 def requests(profiles: DataFrame, scenarios: DataFrame) -> DataFrame:
     """A row for each profile, scenario and number of targets. scenarios (name, target_counts array) is a short
@@ -37,7 +39,7 @@ def chosen(profiles: DataFrame, classes: list[str], ids: list[str], shard: tuple
         out = out.where(plain(F.col("class")).isin(["".join(x for x in c.lower() if x.isalpha()) for c in classes]))
     if ids:
         out = out.where(F.col("id").isin(ids))
-    out = out.withColumn("_n", F.row_number().over(W.orderBy("class", "id")) - 1)  # a few hundred profiles
+    out = numbered(out, ["class", "id"]).withColumn("_n", F.col("position") - 1).drop("position")
     if shard:
         if not 0 <= shard[0] < shard[1]:
             raise ValueError(f"shard {shard[0]} of {shard[1]}")
