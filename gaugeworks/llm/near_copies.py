@@ -12,7 +12,8 @@ texts for which the steps before found no near text of a smaller rank. First all
 smallest, which settles most of a group of copies. Then a prefix filter applies: of a set of n shingles, ordered by the
 number of the group's texts that hold them, the first n - ceil(4 n / 5) + 1 are its prefix, and two sets at 0.8 share
 a shingle of their prefixes. A text is compared with the smallest of each of these shingles, and then with all others
-that share one. Rare shingles come first, so loosely linked texts have few partners; no step lists a group's pairs.
+that share one at a place behind which enough of both sets is left. Rare shingles come first, so texts that differ in more
+than a ninth of their shingles have few partners; no step lists a group's pairs.
 """
 
 from __future__ import annotations
@@ -174,7 +175,8 @@ def groups_of(docs: DataFrame) -> DataFrame:
 
 
 def _prefixes(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """(node, grp, rank, size, shingle): the prefix of each member's set, rarest shingles of its group first."""
+    """(node, grp, rank, size, at, shingle): the prefix of each member's set, rarest shingles of its group first, with
+    their places from 0."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -192,7 +194,7 @@ def _prefixes(members: DataFrame, sets: DataFrame) -> DataFrame:
     often = rows.groupBy("grp", "shingle").agg(F.count(F.lit(1)).alias("texts"))
     ordered = rows.join(often, ["grp", "shingle"]).groupBy("node", "grp", "rank", "size").agg(F.array_sort(F.collect_list(F.struct("texts", "shingle"))).alias("s"))
     length = F.col("size") - F.ceil(4 * F.col("size") / 5) + 1
-    return ordered.select("node", "grp", "rank", "size", F.explode(F.slice("s", 1, length.cast("int"))["shingle"]).alias("shingle"))
+    return ordered.select("node", "grp", "rank", "size", F.posexplode(F.slice("s", 1, length.cast("int"))["shingle"]).alias("at", "shingle"))
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -224,15 +226,17 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     groups = checkpointed(gathered(left.groupBy("grp").agg(F.count(F.lit(1)).alias("n")), total))
     held = members.join(few(groups.select("grp")), "grp", "left_semi")
     prefixes = checkpointed(gathered(_prefixes(held, sets), 20 * total, 200_000))
-    own = prefixes.join(few(left.select("node")), "node", "left_semi").withColumnRenamed("size", "own_size")
+    own = prefixes.join(few(left.select("node")), "node", "left_semi").withColumnsRenamed({"size": "own_size", "at": "own_at"})
     smallest = prefixes.groupBy("grp", "shingle").agg(F.min(F.struct("rank", "size")).alias("other"))
     fits = (F.col("other.rank") < F.col("rank")) & (5 * F.least("own_size", "other.size") >= 4 * F.greatest("own_size", "other.size"))
     named = [F.col("node").alias("u"), F.col("other.rank.node").alias("v"), F.col("rank").alias("gone")]
     pairs = checkpointed(gathered(own.join(smallest, ["grp", "shingle"]).where(fits).select(*named).distinct(), total))
     more = checkpointed(gathered(_near(pairs, sets, total), total))
     own = own.join(few(more.select("node")), "node", "left_anti")
-    others = prefixes.select("grp", "shingle", F.struct("rank", "size").alias("other"))
-    rest = own.join(others, ["grp", "shingle"]).where(fits).select(*named).distinct()
+    others = prefixes.select("grp", "shingle", F.struct("rank", "size", "at").alias("other"))
+    # behind the first shingle that both hold must stand enough for an overlap of 4 / 9 of both sizes
+    enough = 9 * F.least(F.col("own_size") - F.col("own_at"), F.col("other.size") - F.col("other.at")) >= 4 * (F.col("own_size") + F.col("other.size"))
+    rest = own.join(others, ["grp", "shingle"]).where(fits & enough).select(*named).distinct()
     rest = checkpointed(rest.join(pairs.select("u", "v"), ["u", "v"], "left_anti"))
     last = checkpointed(gathered(_near(rest, sets, total), total))
     return gone.union(more).union(last)
