@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from gaugeworks.functions.labels import pattern_label
 from gaugeworks.operators.intervals import merged
 
+#: Fixed value: share of a fight from which a window counts as permanent.
 PERMANENT = 0.66
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: The least sample, the least share of a fight that was read, and the share that makes a peak constant.
 MIN_SAMPLE, LEAST_COVERAGE, CONSTANT_SHARE = 3, 0.95, 0.95
 
 

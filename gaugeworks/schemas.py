@@ -9,6 +9,7 @@ COLLECTED = (
     "fight_length: STRUCT<mean: DOUBLE, min: DOUBLE, max: DOUBLE>, timeline_dmg: STRUCT<mean: DOUBLE, data: ARRAY<DOUBLE>>>"
 )
 VARIANT_RESULT = "STRUCT<name: STRING, mean: DOUBLE, mean_stddev: DOUBLE, iterations: BIGINT, additional_metrics: ARRAY<STRUCT<metric: STRING, mean: DOUBLE>>>"
+#: The names of all fields, wow_version among them, are those of the report.
 PLAYER = (
     "STRUCT<dbc: MAP<STRING, STRUCT<wow_version: STRING, build_level: BIGINT, hotfix_date: STRING>>, "
     f"stats: ARRAY<{STAT}>, stats_pets: STRING, collected_data: {COLLECTED}>"

@@ -64,6 +64,7 @@ def delimited_log(lines: DataFrame) -> DataFrame:
 
 def without_automated(log: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(changes by people, one row that counts the automated ones)."""
+    # Fixed value: how automated changes begin
     robot = F.col("subject").rlike(r"(?i)^Update Generated Files\b")
     return log.where(~robot), log.where(robot).agg(F.count(F.lit(1)).alias("automated"))
 
