@@ -51,7 +51,7 @@ def test_fights_are_sampled_at_sixty_points(spark):
         shapes[r.fight].append((r.bucket, r.n))
     apart = lambda a, b: sum(abs(x[1] - y[1]) >= 1 for x, y in zip(sorted(a), sorted(b), strict=True)) / 60
     pairs = {(a, b): round(apart(shapes[a], shapes[b]), 9) for a, b in combinations(sorted(owner), 2) if owner[a] == owner[b]}
-    _, found = fights._distances(fights._samples(spark, SMALL))
+    found = base.queries()["shape_distance"](spark, SMALL)
     assert {(r.fight_a, r.fight_b): round(r.distance, 9) for r in found.collect()} == pairs
 
 
