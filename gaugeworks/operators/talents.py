@@ -105,11 +105,19 @@ def chosen_sub_trees(picks: DataFrame, keys: list[str]) -> DataFrame:
 
 def points(picks: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, class_points, spec_points, hero_points, thin): ranks by tree. Hero nodes lie in several sub-trees; only
-    those of the chosen one count, all where none is chosen. picks: keys, tree, sub_tree, rank."""
-    met = picks.join(chosen_sub_trees(picks, keys), keys)
-    is_mine = (F.col("tree") != HERO_TREE) | F.col("chosen").isNull() | (F.col("sub_tree") == F.col("chosen"))
-    at = lambda t: F.coalesce(F.sum(F.when((F.col("tree") == t) & is_mine, F.col("rank"))), F.lit(0))
-    out = met.groupBy(*keys).agg(at(CLASS_TREE).alias("class_points"), at(SPEC_TREE).alias("spec_points"), at(HERO_TREE).alias("hero_points"))
+    those of the chosen one count, all where none is chosen. picks: keys, tree, sub_tree, rank.
+
+    Ranks are summed by sub-tree, of which a build has few; so the chosen one needs no join."""
+    at = lambda t: F.sum(F.when(F.col("tree") == t, F.col("rank")))
+    named = F.when(F.col("tree") == SELECTION_TREE, F.col("sub_tree"))
+    summed = picks.groupBy(*keys, "sub_tree").agg(at(CLASS_TREE).alias("_class"), at(SPEC_TREE).alias("_spec"), at(HERO_TREE).alias("hero"), F.min(named).alias("_low"), F.max(named).alias("_high"))
+    zero = F.lit(0).cast("long")
+    whole = summed.groupBy(*keys).agg(
+        F.coalesce(F.sum("_class"), zero).alias("class_points"), F.coalesce(F.sum("_spec"), zero).alias("spec_points"), F.when(F.min("_low") == F.max("_high"), F.min("_low")).alias("_chosen"),
+        F.collect_list(F.when(F.col("hero").isNotNull(), F.struct("sub_tree", "hero"))).alias("_trees"),
+    )
+    mine = F.filter("_trees", lambda t: F.col("_chosen").isNull() | (t["sub_tree"] == F.col("_chosen")))
+    out = whole.withColumn("hero_points", F.aggregate(mine, zero, lambda a, t: a + t["hero"])).drop("_chosen", "_trees")
     return out.withColumn("thin", F.col("class_points") < THIN_CLASS_TREE)
 
 

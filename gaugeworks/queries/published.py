@@ -17,7 +17,7 @@ from gaugeworks.operators import shapes as H
 from gaugeworks.operators import talents as T
 from gaugeworks.queries import fights, sweeps
 from gaugeworks.queries.registry import query
-from gaugeworks.session import table
+from gaugeworks.session import dealt, table
 
 _KILLS = """k0 AS (SELECT o_custkey % 50 AS report, o_orderkey AS fight, CAST(LEFT(o_orderpriority, 1) AS INT) AS encounter, o_orderstatus = 'F' AS killed, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE CAST(o_orderkey % 4 AS INT) END AS difficulty,
   CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE CAST(epoch_us(o_orderdate) // 1000 AS BIGINT) END AS at_ FROM orders),
@@ -223,8 +223,8 @@ _TREE_PICKS = """picks AS (SELECT p_partkey AS id, n AS node, 1 + (p_partkey + n
 def _picks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Selections of 30 nodes, of which each part takes some; node n is in tree 1 + n % 3, every fifth of two specs."""
     node = F.explode(F.sequence(F.lit(1).cast("long"), F.lit(30).cast("long"))).alias("node")
-    picks = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").alias("spec"), node)
-    picks = picks.where((F.col("id") * 7 + F.col("node") * F.col("node")) % 4 == 0).withColumn("rank", 1 + (F.col("id") + F.col("node")) % 3).withColumn("entry", F.lit(0))
+    parts = dealt(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").alias("spec")), "id")
+    picks = parts.select("id", "spec", node).where((F.col("id") * 7 + F.col("node") * F.col("node")) % 4 == 0).withColumn("rank", 1 + (F.col("id") + F.col("node")) % 3).withColumn("entry", F.lit(0))
     specs = F.when(F.col("node") % 5 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array().cast("array<int>"))
     return picks.withColumn("specs", specs).withColumn("tree", 1 + F.col("node") % 3).withColumn("sub_tree", F.lit(0))
 
