@@ -44,8 +44,9 @@ def concurrency(spans: DataFrame, group: str = "fight", start: str = "first", en
     order = W.partitionBy(group).orderBy("t")
     running = moves.withColumn("n", F.sum("d").over(order.rowsBetween(W.unboundedPreceding, 0)))
     steps = running.withColumn("before", F.lag("n").over(order)).where(F.col("before").isNull() | (F.col("before") != F.col("n")))
-    zero = running.groupBy(group).agg(F.min("t").alias("t0")).where("t0 > 0").select(group, F.lit(0.0).alias("t"), F.lit(0).cast("long").alias("n"))
-    return steps.select(group, "t", "n").union(zero)
+    zero = F.struct(F.lit(0.0).alias("t"), F.lit(0).cast("long").alias("n"))
+    own = F.struct("t", "n")
+    return steps.select(group, F.inline(F.when(F.col("before").isNull() & (F.col("t") > 0), F.array(zero, own)).otherwise(F.array(own))))
 
 
 def step_spans(steps: DataFrame, until: DataFrame, group: str = "fight") -> DataFrame:

@@ -14,7 +14,7 @@ from gaugeworks.operators import cells as C
 from gaugeworks.operators import intervals as I
 from gaugeworks.operators import shapes as H
 from gaugeworks.queries.registry import query
-from gaugeworks.session import checkpointed, scratch_path, table
+from gaugeworks.session import checkpointed, dealt, scratch_path, table
 
 #: Fixed value: samples of a fight.
 SAMPLES = 60
@@ -269,7 +269,7 @@ SELECT plan, t, n FROM (SELECT *, LAG(n) OVER (PARTITION BY plan ORDER BY t) AS
 def planned_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     every = F.when(F.col("p_partkey") % 5 != 0, (F.col("p_partkey") % 40).cast("double"))
     waves = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("plan"), F.col("p_size").cast("double").alias("first"), every.alias("cadence"), F.lit(15.0).alias("lasts"), F.lit(120.0).alias("length"))
-    return I.concurrency(I.planned_waves(waves), "plan")
+    return I.concurrency(I.planned_waves(dealt(waves, "plan")), "plan")
 
 
 _HITS = """SELECT user_id AS encounter, event_type, COUNT(*) AS n, CAST(SUM(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS total FROM events GROUP BY ALL"""
