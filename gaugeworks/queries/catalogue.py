@@ -13,7 +13,7 @@ from gaugeworks.operators import merge as M
 from gaugeworks.plans import rules as R
 from gaugeworks.queries import fights, sweeps
 from gaugeworks.queries.registry import query
-from gaugeworks.session import table
+from gaugeworks.session import dealt, table
 
 STATS = ("str", "agi", "int")
 
@@ -259,7 +259,7 @@ def talent_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A selection for every part, written as a bit stream and read back; same tells that nothing was lost."""
     chosen = F.filter(F.sequence(F.lit(1), F.lit(40)), lambda n: (F.col("p_partkey") + n * n) % 3 == 0)
     picks = F.transform(chosen, lambda n: F.struct(n.alias("node"), (F.lit(1) + (F.col("p_partkey") % (n % 3 + 1))).cast("int").alias("rank"), (n % 4).alias("entry")))
-    parts = table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").alias("spec"), picks.alias("picks"))
+    parts = dealt(table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").alias("spec")), "p_partkey").withColumn("picks", picks)
     written = parts.withColumn("stream", B.encoded(F.lit(B.VERSION), F.col("spec"), F.col("picks"), TREE))
     read = written.withColumn("d", B.decoded(F.col("stream"), TREE)).withColumn("h", B.header(F.col("stream")))
     same = (F.to_json("d.picks") == F.to_json("picks")) & (F.col("d.spec") == F.col("spec")) & (F.col("h.spec") == F.col("spec")) & (F.col("h.version") == 2)

@@ -1,6 +1,10 @@
 """What grows with the input: no broadcast of a row for each key, no task that holds what a small file grows into."""
 
+from pyspark.sql import functions as F
+
+from gaugeworks import queries as base
 from gaugeworks.operators import talents as T
+from gaugeworks.session import dealt
 
 
 def plan(df):
@@ -13,3 +17,25 @@ def test_points_join_nothing(spark):
     out = T.points(spark.createDataFrame(rows, "id long, tree int, sub_tree int, rank int"), ["id"])
     assert {tuple(r) for r in out.collect()} == {(1, 2, 0, 4, True), (2, 0, 5, 2, True), (3, 0, 0, 7, True), (4, 0, 0, 0, True)}
     assert "Join" not in plan(out)
+
+
+def parts_of(spark, path, copies):
+    """The smallest part table so many times with shifted keys, as one file; equal prices are ties."""
+    rows = spark.read.parquet("/root/testdata/sf0.001/part.parquet")
+    top = rows.agg(F.max("p_partkey")).first()[0] + 1
+    both = spark.range(copies).crossJoin(rows).withColumn("p_partkey", F.col("p_partkey") + F.col("id") * top).drop("id")
+    both.coalesce(1).write.parquet(f"{path}/part.parquet")
+
+
+def test_rows_that_grow_are_dealt_out_by_their_number(spark):
+    """All parts of a small file were one task's, which held every step or ran every stream."""
+    few = dealt(spark.range(10).coalesce(1), "id", 4)
+    assert few.rdd.getNumPartitions() == 3 and few.count() == 10
+    assert dealt(spark.range(0), "id").count() == 0
+
+
+def test_steps_and_streams_shuffle_parts_and_not_their_rows(spark, tmp_path):
+    parts_of(spark, tmp_path, 2)
+    for name in ("planned_steps", "talent_roundtrip", "talent_points"):
+        text = plan(base.queries()[name](spark, str(tmp_path))).split("== Physical Plan ==")[1].split("== Initial Plan ==")[0]
+        assert text.count("Exchange") == 1 and "REPARTITION_BY_NUM" in text, name
