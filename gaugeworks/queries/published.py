@@ -201,7 +201,7 @@ def best_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {sweeps._POOL}, e AS (SELECT brand, item_a AS item, total, item_a || '/' || item_b AS key_ FROM pairs UNION ALL SELECT brand, item_b, total, item_a || '/' || item_b FROM pairs)
 SELECT brand, item, CAST(MAX(total) AS DOUBLE) AS dps, ARG_MAX(key_, (total, key_)) AS items FROM e GROUP BY brand, item""")
 def best_with_item(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sets = sweeps._leading_pairs(spark, sf_dir).select("brand", F.array("item_a", "item_b").alias("items"), F.col("total").alias("dps"))
+    sets = sweeps._pairs_of_items(spark, sf_dir).select("brand", F.array("item_a", "item_b").alias("items"), F.col("total").alias("dps"))
     return G.best_with(sets, ["brand"]).select("brand", "item", F.col("dps").cast("double"), F.array_join(F.col("items").cast("array<string>"), "/").alias("items"))
 
 
