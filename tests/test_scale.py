@@ -1,9 +1,11 @@
 """What grows with the input: no broadcast of a row for each key, no task that holds what a small file grows into."""
 
+import duckdb
 from pyspark.sql import functions as F
 
 from gaugeworks import queries as base
 from gaugeworks.operators import talents as T
+from gaugeworks.queries import sweeps
 from gaugeworks.session import dealt
 
 
@@ -39,3 +41,21 @@ def test_steps_and_streams_shuffle_parts_and_not_their_rows(spark, tmp_path):
     for name in ("planned_steps", "talent_roundtrip", "talent_points"):
         text = plan(base.queries()[name](spark, str(tmp_path))).split("== Physical Plan ==")[1].split("== Initial Plan ==")[0]
         assert text.count("Exchange") == 1 and "REPARTITION_BY_NUM" in text, name
+
+
+def test_best_pairs_of_many_equal_items(spark, tmp_path):
+    """Items of equal price and size were all ends of pairs, so pairs grew with their square; the order of equal ones is part of the result."""
+    parts_of(spark, tmp_path, 7)
+    parts = spark.read.parquet(f"{tmp_path}/part.parquet")
+    few = parts.withColumn("p_retailprice", F.lit(900.0) + F.col("p_partkey") % 3 * 10).withColumn("p_size", (1 + F.col("p_partkey") % 2).cast("int"))
+    few.write.parquet(f"{tmp_path}/few/part.parquet")
+    ends = sweeps._ends(sweeps._pool(spark, f"{tmp_path}/few")).groupBy("brand").count().agg(F.max("count")).first()[0]
+    assert ends <= 2 * 3 * 4 * 4  # sides, values, numbers of digits, items
+    con = duckdb.connect()
+    for sf in (f"{tmp_path}/few", str(tmp_path)):
+        con.execute(f"CREATE OR REPLACE VIEW part AS SELECT * FROM '{sf}/part.parquet/*.parquet'")
+        for name in ("best_set", "best_sets", "best_with_item", "beyond_one_swap"):
+            want = con.execute(base.oracle_sql()[name])
+            names = [d[0] for d in want.description]
+            rows = lambda it: sorted(repr(tuple(float(v) if type(v).__name__ == "Decimal" else v for v in r)) for r in it)
+            assert rows(base.queries()[name](spark, sf).select(*names).collect()) == rows(want.fetchall()), (sf, name)
