@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 from gaugeworks import schemas
 
 
-def read_reports(spark: SparkSession, path: str) -> DataFrame:
-    """Reports with the file that each came from."""
-    return spark.read.schema(schemas.REPORT).option("multiLine", True).json(path).withColumn("file", F.col("_metadata.file_path"))
+def read_reports(spark: SparkSession, path: str, in_lines: bool = False) -> DataFrame:
+    """Reports with the file that each came from: a document or an array of them to a file, or one to a line; such
+    files can be large, since they are read in parts."""
+    return spark.read.schema(schemas.REPORT).option("multiLine", not in_lines).json(path).withColumn("file", F.col("_metadata.file_path"))
 
 
 def _first_player() -> Column:
