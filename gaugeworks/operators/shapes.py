@@ -31,16 +31,30 @@ def last_before(steps: DataFrame, grid: DataFrame, keys: list[str], at: str, val
 
 def resampled(steps: DataFrame, until: DataFrame, group: str, buckets: int) -> DataFrame:
     """(group, bucket, n): the count at the middle of each of `buckets` equal parts of the observed window."""
-    grid = until.select(group, "window", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("bucket"))
-    grid = grid.select(group, "bucket", (F.col("window") * (F.col("bucket") + 0.5) / buckets).alias("t"))
-    held = last_before(steps, grid.select(group, "t"), [group], "t", "n")
-    order = W.partitionBy(group).orderBy("t")
-    return held.select(group, (F.row_number().over(order) - 1).cast("long").alias("bucket"), "n")
+    return samples_of(sampled(steps, until, group, buckets), group)
 
 
-def as_arrays(samples: DataFrame, group: str) -> DataFrame:
-    """(group, shape): the samples of a group in order; as many as there are buckets."""
-    return samples.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("bucket", "n")))["n"].alias("shape"))
+def sampled(steps: DataFrame, until: DataFrame, group: str, buckets: int) -> DataFrame:
+    """until (group, window and more) with shape, the counts at the middle of each of `buckets` equal parts of the
+    window; 0 before the first step.
+
+    A step knows how many of the middles it holds, so no grid is made, sorted or shuffled: a group has its steps that
+    hold any, `buckets` at most."""
+    number = steps.schema["n"].dataType
+    held = steps.select(group, "t", "n", F.lead("t").over(W.partitionBy(group).orderBy("t")).alias("_next"))
+    met = until.join(held, group, "left")
+    middle = lambda b: F.col("window") * (b + 0.5) / buckets
+    mine = F.filter(F.sequence(F.lit(0), F.lit(buckets - 1)), lambda b: (middle(b) >= F.col("t")) & (F.col("_next").isNull() | (middle(b) < F.col("_next"))))
+    met = met.withColumn("_k", F.when(F.col("t").isNotNull(), F.size(mine)).otherwise(0))
+    rest = [c for c in until.columns if c != group]
+    out = met.groupBy(group).agg(*(F.first(c).alias(c) for c in rest), F.sum("_k").cast("int").alias("_all"), F.array_sort(F.collect_list(F.when(F.col("_k") > 0, F.struct("t", "n", "_k")))).alias("_runs"))
+    runs = F.flatten(F.transform("_runs", lambda r: F.array_repeat(r["n"], r["_k"])))
+    return out.select(group, *rest, F.concat(F.array_repeat(F.lit(0).cast(number), buckets - F.col("_all")), runs).alias("shape"))
+
+
+def samples_of(shapes: DataFrame, *keep: str) -> DataFrame:
+    """(keep, bucket, n): a row for each sample."""
+    return shapes.select(*keep, F.posexplode("shape").alias("bucket", "n")).withColumn("bucket", F.col("bucket").cast("long"))
 
 
 def shape_distance(a, b):
@@ -81,8 +95,9 @@ def near_links(shapes: DataFrame, within: str, name: str, less: float = NEAR) ->
     numbers, so two samples differ by 1 or more if they differ.
 
     Two shapes that differ in at most d samples are equal in one of d + 1 blocks at least, so only shapes that share
-    a block are compared. Equal shapes are one. What a tile of shapes connects is linked to its first, so the number
-    of links grows with the shapes and not with their pairs. Empty shapes are near none.
+    a block are compared; CHUNK shapes or fewer are compared as they are. Equal shapes are one. What a tile of shapes
+    connects is linked to its first, so the number of links grows with the shapes and not with their pairs. Empty
+    shapes are near none.
     """
     kind = shapes.schema[name].dataType.simpleString()
     one = shapes.where(F.size("shape") > 0).groupBy(within, "shape").agg(F.min(name).alias(name))
@@ -90,7 +105,10 @@ def near_links(shapes: DataFrame, within: str, name: str, less: float = NEAR) ->
     blocks = F.ceil(m * less).cast("int")  # the most samples that may differ, and one
     begin = lambda b: F.floor(m * b / blocks).cast("int")
     block = lambda b: F.xxhash64(m, b, F.slice("shape", begin(b) + 1, begin(b + 1) - begin(b)))
-    keyed = one.withColumn("block", F.explode(F.transform(F.sequence(F.lit(0), blocks - 1), block)))
+    many = one.groupBy(within).agg(F.count(F.lit(1)).alias("_many")).where(F.col("_many") > CHUNK)
+    whole = F.array(F.xxhash64(m))  # shapes of other lengths aren't compared
+    blocked = F.when(F.col("_many").isNull(), whole).otherwise(F.transform(F.sequence(F.lit(0), blocks - 1), block))
+    keyed = one.join(many, within, "left").withColumn("block", F.explode(blocked))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, k, names, apart in _tile_rows(batches):
@@ -128,12 +146,45 @@ def medoids(shapes: DataFrame, members: DataFrame, within: str, name: str) -> Da
     """(within, cluster, medoid, total, diameter, size): the member with the least sum of distances to its cluster's
     others (6 places), then the first. members: within, name, cluster.
 
+    Of clusters of CHUNK different shapes or fewer all are compared in a task that holds them; equal ones are one.
+    """
+    group = [within, "cluster"]
+    met = members.join(shapes, [within, name]).select(*group, name, "shape")
+    one = checkpointed(met.groupBy(*group, "shape").agg(F.min(name).alias(name), F.count(F.lit(1)).alias("_w")))
+    length = F.size("shape")
+    facts = checkpointed(one.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"), F.sum("_w").alias("size"), F.min(length).alias("_least"), F.max(length).alias("_most"), F.first(name).alias(name)))
+    is_few = (F.col("_n") <= CHUNK) & (F.col("_least") == F.col("_most")) & (F.col("_least") > 0)
+    is_alone = F.col("size") == 1
+    lone = facts.where(is_alone).select(*group, F.col(name).alias("medoid"), F.lit(0.0).alias("total"), F.lit(0.0).alias("diameter"), "size")
+    kinds = {c: members.schema[c].dataType.simpleString() for c in [*group, name]}
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, k, names, apart in _tile_rows(batches):
+            rows = batch.column("members")[k].values
+            sums = apart @ rows.field(2).to_numpy()
+            least = np.flatnonzero(sums == sums.min())
+            best = names.take(pa.array(least)).take(pc.sort_indices(names.take(pa.array(least)))[:1])
+            size = len(rows.field(1)[0])
+            values = [pa.array([int(sums.min())]), pa.array([int(apart.max())]), pa.array([size])]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(k, 1) for c in group), best, *values], [*group, "medoid", "_sum", "_far", "_m"])
+
+    few = facts.where(is_few & ~is_alone).select(*group)
+    tiles = one.join(few, group).groupBy(*group).agg(F.collect_list(F.struct(name, "shape", "_w")).alias("members"))
+    near = tiles.mapInArrow(work, ", ".join(f"{c} {kinds[c]}" for c in group) + f", medoid {kinds[name]}, _sum long, _far long, _m long")
+    near = near.join(facts.select(*group, "size"), group).select(*group, "medoid", F.round(F.col("_sum") / F.col("_m"), 6).alias("total"), (F.col("_far") / F.col("_m")).alias("diameter"), "size")
+    large = facts.where(~is_few & ~is_alone).select(*group)
+    out = lone.unionByName(near)
+    return out if large.isEmpty() else out.unionByName(_large_medoids(shapes, met.join(large, group, "left_semi"), within, name))
+
+
+def _large_medoids(shapes: DataFrame, met: DataFrame, within: str, name: str) -> DataFrame:
+    """medoids() of met (within, cluster, name, shape) without holding a cluster.
+
     The sum of a member's distances needs no pairs: at each sample it differs from all but those with its own count.
     The diameter is searched among the members that can be ends of it: those whose distances from the medoid add up to
     more than the largest distance from the member that is farthest from it.
     """
     group = [within, "cluster"]
-    met = members.join(shapes, [within, name]).select(*group, name, "shape")
     sizes = met.groupBy(*group).agg(F.count(F.lit(1)).alias("size"))
     points = met.select(*group, name, F.posexplode("shape").alias("at", "n"))
     same = points.groupBy(*group, "at", "n").agg(F.count(F.lit(1)).alias("same"))
@@ -151,7 +202,7 @@ def medoids(shapes: DataFrame, members: DataFrame, within: str, name: str) -> Da
     reach = centred.join(ends, group).withColumn("far", F.when(F.size("shape") > 0, shape_distance(F.col("shape"), F.col("end"))).otherwise(F.lit(0.0)))
     least = reach.groupBy(*group).agg(F.max("far").alias("reach"))
     open_ = reach.join(least, group).where((F.size("shape") > 0) & (F.col("r") + F.col("most") > F.col("reach")))
-    kinds = {c: members.schema[c].dataType.simpleString() for c in group}
+    kinds = {c: met.schema[c].dataType.simpleString() for c in group}
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, k, _, apart in _tile_rows(batches):
@@ -174,9 +225,13 @@ def representatives(pulls: DataFrame, within: str, name: str, mean: str, length:
 
 
 def band(samples: DataFrame, within: str, least: int = 2) -> DataFrame:
-    """(within, bucket, pulls, median, p25, p75, low, high) over the pulls of an encounter, of `least` or more."""
-    out = order_statistics(samples, [within, "bucket"], "n", {"median": 0.5, "p25": 0.25, "p75": 0.75}).toDF(within, "bucket", "pulls", "low", "high", "median", "p25", "p75")
-    return out.where(F.col("pulls") >= least).select(within, "bucket", "pulls", "median", "p25", "p75", "low", "high")
+    """(within, bucket, pulls, median, p25, p75, low, high) over the pulls of an encounter, of `least` or more.
+
+    Counts are few however many the pulls, so a bucket's counts are counted, and those are what a task holds."""
+    counted = samples.where("n IS NOT NULL").groupBy(within, "bucket", "n").agg(F.count(F.lit(1)).alias("c"))
+    at = lambda share: F.percentile("n", F.lit(share), F.col("c"))
+    out = counted.groupBy(within, "bucket").agg(F.sum("c").alias("pulls"), at(0.5).alias("median"), at(0.25).alias("p25"), at(0.75).alias("p75"), F.min("n").alias("low"), F.max("n").alias("high"))
+    return out.where(F.col("pulls") >= least)
 
 
 def aligned(steps: DataFrame, ends: DataFrame, within: str, name: str) -> DataFrame:

@@ -69,16 +69,20 @@ def windows_of(lives: DataFrame) -> DataFrame:
     return lives.groupBy("fight", "encounter").agg(F.max(F.least("last", "duration")).alias("window"))
 
 
+def _shapes(spark: SparkSession, sf_dir: str, lives: DataFrame | None = None) -> DataFrame:
+    """(fight, encounter, window, shape). Lives are written once, since steps and windows read them, and shapes too:
+    clusters and medoids read them again and again."""
+    lives = checkpointed(fight_lives(spark, sf_dir)) if lives is None else lives
+    return checkpointed(H.sampled(I.concurrency(lives), windows_of(lives), "fight", SAMPLES))
+
+
 def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lives = fight_lives(spark, sf_dir)
-    until = windows_of(lives)
-    return H.resampled(I.concurrency(lives), until, "fight", SAMPLES).join(until.select("fight", "encounter"), "fight")
+    return H.samples_of(_shapes(spark, sf_dir), "fight", "encounter")
 
 
-def _shapes(samples: DataFrame) -> DataFrame:
-    """(fight, shape, encounter), written once since clusters and medoids read them again and again."""
-    owner = samples.groupBy("fight").agg(F.first("encounter").alias("encounter"))
-    return checkpointed(H.as_arrays(samples, "fight").join(owner, "fight"))
+def _dealt_shapes(shapes: DataFrame) -> DataFrame:
+    """Shapes by encounter, 20,000 to a task: what they grow into is more than their bytes tell."""
+    return dealt(shapes, "encounter", 20_000)
 
 
 @query(f"WITH {LIVES} SELECT fight, actor, instance, first, last, died, CAST(total AS DOUBLE) AS total FROM lives")
@@ -186,19 +190,19 @@ def resample_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {GRID} SELECT encounter, fight_a, fight_b, distance FROM dist")
 def shape_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return H.pair_distances(_shapes(_samples(spark, sf_dir)), "encounter", "fight")
+    return H.pair_distances(_dealt_shapes(_shapes(spark, sf_dir)), "encounter", "fight")
 
 
 @query(f"WITH RECURSIVE {CLUSTERS} SELECT encounter, fight, cluster FROM clusters")
 def shape_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return H.clusters(_shapes(_samples(spark, sf_dir)), "encounter", "fight")
+    return H.clusters(_shapes(spark, sf_dir), "encounter", "fight")
 
 
 @query(f"""WITH RECURSIVE {CLUSTERS}, both_ AS (SELECT fight_a AS fight, fight_b AS other, distance FROM dist UNION ALL SELECT fight_b, fight_a, distance FROM dist),
 s AS (SELECT c.encounter, c.cluster, c.fight, ROUND(COALESCE(SUM(b.distance), 0), 6) AS total, COALESCE(MAX(b.distance), 0) AS far FROM clusters c LEFT JOIN (both_ b JOIN clusters o ON o.fight = b.other) ON b.fight = c.fight AND o.cluster = c.cluster GROUP BY ALL)
 SELECT encounter, cluster, ARG_MIN(fight, (total, fight)) AS medoid, MIN(total) AS total, MAX(far) AS diameter, COUNT(*) AS size FROM s GROUP BY encounter, cluster""")
 def medoid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shapes = _shapes(_samples(spark, sf_dir))
+    shapes = _shapes(spark, sf_dir)
     return H.medoids(shapes, H.clusters(shapes, "encounter", "fight"), "encounter", "fight")
 
 
@@ -206,14 +210,18 @@ def medoid(spark: SparkSession, sf_dir: str) -> DataFrame:
 m AS (SELECT encounter, MEDIAN(mean) AS mm, MEDIAN(length) AS ml FROM p GROUP BY encounter)
 SELECT encounter, ARG_MIN(fight, (ROUND(ABS(mean - mm), 6), ROUND(ABS(length - ml), 6), fight)) AS fight FROM p JOIN m USING (encounter) GROUP BY encounter""")
 def representative(spark: SparkSession, sf_dir: str) -> DataFrame:
-    until = windows_of(fight_lives(spark, sf_dir)).select("fight", F.col("window").alias("length"))
-    pulls = _samples(spark, sf_dir).groupBy("encounter", "fight").agg((F.sum("n").cast("double") / F.count(F.lit(1))).alias("mean")).join(until, "fight")
+    return _representative(_shapes(spark, sf_dir))
+
+
+def _representative(shapes: DataFrame) -> DataFrame:
+    whole = F.aggregate("shape", F.lit(0).cast("long"), lambda a, n: a + n)
+    pulls = shapes.select("encounter", "fight", (whole.cast("double") / F.size("shape")).alias("mean"), F.col("window").alias("length"))
     return H.representatives(pulls, "encounter", "fight", "mean", "length")
 
 
 @query(f"""WITH {GRID} SELECT encounter, bucket, COUNT(*) AS pulls, QUANTILE_CONT(n, 0.5) AS median, QUANTILE_CONT(n, 0.25) AS p25, QUANTILE_CONT(n, 0.75) AS p75, MIN(n) AS low, MAX(n) AS high FROM samples GROUP BY encounter, bucket HAVING COUNT(*) >= 2""")
 def target_band(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return H.band(_samples(spark, sf_dir), "encounter")
+    return H.band(H.samples_of(_dealt_shapes(_shapes(spark, sf_dir)), "encounter"), "encounter")
 
 
 @query(f"""WITH {STEPS}, st AS (SELECT s.*, w.encounter FROM steps s JOIN win w USING (fight)), pts AS (SELECT DISTINCT encounter, t FROM st),

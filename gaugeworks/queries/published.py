@@ -17,7 +17,7 @@ from gaugeworks.operators import shapes as H
 from gaugeworks.operators import talents as T
 from gaugeworks.queries import fights, sweeps
 from gaugeworks.queries.registry import query
-from gaugeworks.session import dealt, table
+from gaugeworks.session import checkpointed, dealt, table
 
 _KILLS = """k0 AS (SELECT o_custkey % 50 AS report, o_orderkey AS fight, CAST(LEFT(o_orderpriority, 1) AS INT) AS encounter, o_orderstatus = 'F' AS killed, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE CAST(o_orderkey % 4 AS INT) END AS difficulty,
   CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE CAST(epoch_us(o_orderdate) // 1000 AS BIGINT) END AS at_ FROM orders),
@@ -101,13 +101,12 @@ SELECT z.encounter, medoid AS pattern, size AS pulls, ROUND(size / whole, 4) AS
   CAST(whole - GREATEST(matched, 1) AS BIGINT) AS unmatched
 FROM z JOIN p ON p.fight = medoid JOIN o ON o.fight = medoid JOIN rep ON rep.encounter = z.encounter WHERE size >= 2 OR (matched = 0 AND medoid = chosen)""")
 def shape_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    samples = fights._samples(spark, sf_dir)
-    shapes = fights._shapes(samples)
+    lives = checkpointed(fights.fight_lives(spark, sf_dir))
+    shapes = fights._shapes(spark, sf_dir, lives)
     found = H.medoids(shapes, H.clusters(shapes, "encounter", "fight"), "encounter", "fight")
-    lives = fights.fight_lives(spark, sf_dir)
     steps, until = I.concurrency(lives), fights.windows_of(lives)
     stats = I.concurrency_stats(steps, until.drop("encounter")).select("fight", "mean", "constant")
-    chosen = fights.representative(spark, sf_dir).select("fight", F.lit(True).alias("representative"))
+    chosen = fights._representative(shapes).select("fight", F.lit(True).alias("representative"))
     facts = I.peak_visits(steps).join(until.select("fight", "encounter"), "fight").join(stats, "fight").join(chosen, "fight", "left")
     facts = facts.withColumn("representative", F.coalesce("representative", F.lit(False)))
     return D.patterns(found, facts)

@@ -1,12 +1,17 @@
 """What grows with the input: no broadcast of a row for each key, no task that holds what a small file grows into."""
 
+import os
+
 import duckdb
+import numpy as np
 from pyspark.sql import functions as F
 
 from gaugeworks import queries as base
+from gaugeworks.operators import shapes as H
 from gaugeworks.operators import talents as T
 from gaugeworks.queries import sweeps
 from gaugeworks.session import dealt
+from gaugeworks.sources import reports
 
 
 def plan(df):
@@ -59,3 +64,29 @@ def test_best_pairs_of_many_equal_items(spark, tmp_path):
             names = [d[0] for d in want.description]
             rows = lambda it: sorted(repr(tuple(float(v) if type(v).__name__ == "Decimal" else v for v in r)) for r in it)
             assert rows(base.queries()[name](spark, sf).select(*names).collect()) == rows(want.fetchall()), (sf, name)
+
+
+def test_samples_make_no_grid_and_reports_no_folder_each(spark, monkeypatch):
+    """Sixty rows a fight were sorted and shuffled; a folder was written for each build."""
+    steps = spark.createDataFrame([(1, 0.0, 0), (1, 1.0, 2), (1, 2.0, 1), (3, 5.0, 7)], "fight long, t double, n long")
+    until = spark.createDataFrame([(1, 4.0, "x"), (2, 1.0, "y"), (3, 8.0, "z")], "fight long, window double, more string")
+    out = H.sampled(steps, until, "fight", 4)
+    assert {(r.fight, r.window, r.more): r["shape"] for r in out.collect()} == {(1, 4.0, "x"): [0, 2, 1, 1], (2, 1.0, "y"): [0, 0, 0, 0], (3, 8.0, "z"): [0, 0, 7, 7]}
+    assert "Generate" not in plan(out)
+    written, read = [], reports.read_reports
+    monkeypatch.setattr(reports, "read_reports", lambda s, path, **how: written.append(path) or read(s, path, **how))
+    assert base.queries()["report_cells"](spark, "/root/testdata/sf0.001").count() > 0
+    assert not [f for f in os.listdir(written[0]) if f.startswith("build=")]
+
+
+def test_a_band_and_medoids_hold_counts_and_tiles(spark, monkeypatch):
+    rows = [(e, k, b, (k * k + b) % (3 + e)) for e in (1, 2) for k in range(50) for b in range(5)]
+    got = H.band(spark.createDataFrame(rows, "encounter long, fight long, bucket long, n long"), "encounter")
+    want = {(e, b): np.percentile([r[3] for r in rows if r[0] == e and r[2] == b], [50, 25, 75]).tolist() for e in (1, 2) for b in range(5)}
+    assert {(r.encounter, r.bucket): [r.median, r.p25, r.p75] for r in got.collect()} == want
+    shapes = [(1, k, [k % 3] * 50 + [k % 5] * 10) for k in range(40)] + [(2, 100, [1] * 60), (3, 101, []), (4, 102, [2] * 60), (4, 103, [2] * 60)]
+    frame = spark.createDataFrame(shapes, "encounter long, fight long, shape array<long>")
+    found = H.clusters(frame, "encounter", "fight")
+    few = {tuple(r) for r in H.medoids(frame, found, "encounter", "fight").collect()}
+    monkeypatch.setattr(H, "CHUNK", 1)  # now none is few
+    assert few == {tuple(r) for r in H.medoids(frame, found, "encounter", "fight").collect()}
