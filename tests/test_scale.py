@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from gaugeworks import queries as base
 from gaugeworks.operators import shapes as H
 from gaugeworks.operators import talents as T
+from gaugeworks.operators.sweeps import combination_counts
 from gaugeworks.queries import sweeps
 from gaugeworks.session import dealt
 from gaugeworks.sources import reports
@@ -90,3 +91,13 @@ def test_a_band_and_medoids_hold_counts_and_tiles(spark, monkeypatch):
     few = {tuple(r) for r in H.medoids(frame, found, "encounter", "fight").collect()}
     monkeypatch.setattr(H, "CHUNK", 1)  # now none is few
     assert few == {tuple(r) for r in H.medoids(frame, found, "encounter", "fight").collect()}
+
+
+def test_a_sweep_broadcasts_no_items(spark, tmp_path):
+    """Tables with a row for each item or variant were joined by broadcast as long as the files were small."""
+    parts_of(spark, tmp_path, 3)
+    text = plan(base.queries()["gear_sweep"](spark, str(tmp_path))).split("== Physical Plan ==")[1]
+    assert "SortMergeJoin [grp#" in text
+    rows = spark.createDataFrame([("a", 1), ("a", 2)], "g string, item long")
+    counts = plan(combination_counts(rows, rows.withColumn("level", F.lit(1)), ["g"])).split("== Physical Plan ==")[1].split("== Initial Plan ==")[0]
+    assert "SortMergeJoin [g#" in counts
