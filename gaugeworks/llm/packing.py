@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from gaugeworks.llm.common import raw_texts, slices
+from gaugeworks.llm.common import slices
 from gaugeworks.llm.token_files import in_id_order
 from gaugeworks.llm.words import sentence_ends, word_ids
 
@@ -117,10 +117,10 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, window: int = 2048, id_co
         texts: list[bytes] = []
         held = 0
         for batch in batches:
-            for part in slices(batch, "text"):
-                for i, text in zip(part.column("doc_id").to_pylist(), raw_texts(part, "text"), strict=True):
+            for part in slices(batch, "text", 8_000_000):
+                for i, text in zip(part.column("doc_id").to_pylist(), words.texts(part.column("text")), strict=True):
                     names.append(i)
-                    texts.append(words.text(text) + end)
+                    texts.append(text + end)
                     held += len(texts[-1]) // 4
                     if held >= SEGMENT_TOKENS:
                         rows, n = _pieces(names, texts, enders, window, first)

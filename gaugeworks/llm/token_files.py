@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gaugeworks.llm.common import pick, raw_texts, slices
+from gaugeworks.llm.common import pick, slices
 from gaugeworks.llm.words import word_ids
 
 MAGIC, BLOCK, PERCENTILE, SEGMENT_TOKENS, NO_ID = b"PFR1", 128, 90, 1 << 20, -(1 << 63)
@@ -51,8 +51,7 @@ def pack_blocks(ids: np.ndarray) -> tuple[np.ndarray, bytes]:
     grid = grid - low[:, None]
     need = _bit_length(grid)
     width = np.partition(need, BLOCK * PERCENTILE // 100, axis=1)[:, BLOCK * PERCENTILE // 100]
-    rest = (grid.astype(np.uint64) >> width[:, None].astype(np.uint64)).astype(np.uint32)
-    odd_block, odd_at = np.nonzero(rest)
+    odd_block, odd_at = np.nonzero(need > width[:, None])
     odd = np.bincount(odd_block, minlength=b)
     size = HEAD.itemsize + width.astype(np.int64) * PLANE + odd * 5
     start = np.r_[0, np.cumsum(size)]
@@ -68,7 +67,8 @@ def pack_blocks(ids: np.ndarray) -> tuple[np.ndarray, bytes]:
         nth = np.arange(len(odd_block)) - np.repeat(np.cumsum(odd) - odd, odd)
         list_at = start[odd_block] + HEAD.itemsize + width[odd_block].astype(np.int64) * PLANE
         out[list_at + nth] = odd_at
-        value = rest[odd_block, odd_at].astype("<u4").view(np.uint8).reshape(-1, 4)
+        rest = grid[odd_block, odd_at].astype(np.uint64) >> width[odd_block].astype(np.uint64)
+        value = rest.astype("<u4").view(np.uint8).reshape(-1, 4)
         out[(list_at + odd[odd_block] + 4 * nth)[:, None] + np.arange(4)] = value
     return start.astype("<u8"), out.tobytes()
 
@@ -151,10 +151,10 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, i
             return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(row, kinds, strict=True)], ["shard", "start", "n_docs", "n_tokens", "payload"])
 
         for batch in batches:
-            for part in slices(batch, "text"):
-                for i, text in zip(part.column("doc_id").to_pylist(), raw_texts(part, "text"), strict=True):
+            for part in slices(batch, "text", 8_000_000):
+                for i, text in zip(part.column("doc_id").to_pylist(), words.texts(part.column("text")), strict=True):
                     names.append(i)
-                    texts.append(words.text(text) + end)
+                    texts.append(text + end)
                     held += len(texts[-1]) // 4
                     if held >= SEGMENT_TOKENS:
                         yield flush()

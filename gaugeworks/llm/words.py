@@ -1,18 +1,23 @@
 """Words of whole texts: their token ids, and their hashes.
 
 A tokenizer that drops white space never joins across it, so a text's ids are its words' ids in order. Words
-repeat far more than texts do, so each worker remembers the ids of recent words.
+repeat far more than texts do, so each distinct word of some MB of texts is looked up once, and each worker remembers
+the ids of recent pieces of words.
 """
 
 from __future__ import annotations
 
 from array import array
 from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 
-CLOSING = frozenset(".,;:!?")
+#: Letters up to ÿ, then ASCII that begins with no letter: no rule of a tokenizer that splits at letters looks across.
+CUT = r"^(?P<stem>[A-Za-zÀ-ÖØ-öø-ÿ]*)(?P<rest>(?:[\x00-@\[-`{-\x7F][\x00-\x7F]*)?)$"
 BASE = np.uint64(0x9E3779B97F4A7C15)
 WORD_BYTES = bytes(c if chr(c).isalnum() or c >= 128 else 32 for c in range(256))
 
@@ -25,22 +30,25 @@ def _byte_letters() -> dict[int, str]:
 
 
 class WordIds(dict):
-    """Little-endian unsigned 32-bit ids of UTF-8 words. Of recent words, `most` to twice as many are kept, and of
-    their stems `most` at most: some 60 MB a worker, however many words a corpus has."""
+    """Little-endian unsigned 32-bit ids of the words of whole texts. Arrow cuts texts into words and numbers the distinct
+    ones; of these only the distinct pieces come to Python. A piece is the letters a word begins with, lower-cased, or
+    the rest of it, or a whole word that can't be cut there. Of recent pieces, `most` to twice as many are kept, besides
+    those of the texts at hand: some 150 MB a worker at most, however many words a corpus has."""
 
-    def __init__(self, path: str, most: int = 200_000):
+    def __init__(self, path: str, most: int = 300_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
-        self.older: dict[bytes, bytes] = {}
-        self.stems: dict[str, bytes] = {}
+        self.model = self.tokenizer.model
+        self.older: dict[str, bytes] = {}
         self.written = _byte_letters()
         if self._encode("a b\n c") != self._encode("a") + self._encode("b") + self._encode("c"):
             raise ValueError("the tokenizer keeps white space; its texts can't be encoded word by word")
         # whether plain words skip the normalizer and the splitter: case is folded, and bytes are written as letters
         tests = ("q", "über", "straße", "niño", "tokenization", "éàç")
         self.direct = self._encode("Q") == self._encode("q") and all(self._model(t) == self._encode(t) for t in tests)
-        self.closing = {c: self._model(c) for c in CLOSING} if self.direct else {}
+        # and whether a word may be cut where its first letters end
+        self.direct &= all(self._encode("q" + r) == self._encode("q") + self._encode(r) for r in (".", "'s", "'", ",$$$", "-q", "4q", "\x00", "@q.q"))
 
     def _encode(self, word: str) -> bytes:
         return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
@@ -48,37 +56,48 @@ class WordIds(dict):
     def _model(self, word: str) -> bytes:
         # ASCII letters are written as they are
         written = word if word.isascii() else word.encode().decode("latin-1").translate(self.written)
-        return array("I", [t.id for t in self.tokenizer.model.tokenize(written)]).tobytes()
+        return array("I", [t.id for t in self.model.tokenize(written)]).tobytes()
 
-    def _stem(self, word: str) -> bytes:
-        if len(self.stems) >= self.most:
-            self.stems.clear()
-        ids = self.stems[word] = self._model(word)
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.older.get(piece)
+        if ids is None:
+            # letters up to ÿ lower-case alike everywhere and are composed already
+            plain = self.direct and piece.isalpha() and (piece.isascii() or max(piece) <= "ÿ")
+            ids = self._model(piece.lower()) if plain else self._encode(piece)
+        self[piece] = ids
         return ids
 
-    def __missing__(self, word: bytes) -> bytes:
-        ids = self.older.get(word)
-        if ids is None:
-            text = word.decode()
-            sign = self.closing.get(text[-1]) if len(text) > 1 else None
-            stem = text if sign is None else text[:-1]
-            # letters up to ÿ lower-case alike everywhere and are composed already; a sign after one stands alone
-            if self.direct and stem.isalpha() and (stem.isascii() or max(stem) <= "ÿ"):
-                low = stem.lower()
-                ids = self.stems.get(low) or self._stem(low)
-                if sign is not None:
-                    ids += sign
-            else:
-                ids = self._encode(text)
+    def _pieces(self, pieces: pa.Array) -> pa.Array:
+        """The ids of each piece."""
+        pieces = pieces.dictionary_encode()
         if len(self) >= self.most:
             self.older = dict(self)
             self.clear()
-        self[word] = ids
-        return ids
+        ids = list(map(self.__getitem__, pieces.dictionary.to_pylist()))
+        return pa.array(ids, pa.large_binary()).take(pieces.indices)
+
+    def _words(self, words: pa.Array) -> pa.Array:
+        """The ids of each word."""
+        if not self.direct:
+            return self._pieces(words)
+        cut = pc.extract_regex(words, CUT)
+        stem = pc.if_else(cut.is_valid(), pc.utf8_lower(cut.field("stem")), words)
+        rest = pc.if_else(cut.is_valid(), cut.field("rest"), "")
+        return pc.binary_join_element_wise(self._pieces(stem), self._pieces(rest), pa.scalar(b"", pa.large_binary()))
+
+    def texts(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each text; null has none. Arrow's ASCII white space is exactly the contracts' six characters."""
+        words = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        coded = words.flatten().dictionary_encode()
+        ids = self._words(coded.dictionary).take(coded.indices)
+        # what is taken lies in one buffer, word after word
+        at = np.r_[0, np.cumsum(pc.binary_length(ids).to_numpy())]
+        at = at[np.r_[0, np.cumsum(words.value_lengths().to_numpy())]].tolist()
+        raw = memoryview(ids.buffers()[2] or b"")
+        return [bytes(raw[a:b]) for a, b in pairwise(at)]
 
     def text(self, text: bytes) -> bytes:
-        """bytes.split() cuts at exactly the six ASCII white-space characters."""
-        return b"".join(map(self.__getitem__, text.split()))
+        return self.texts(pa.array([text.decode()]))[0]
 
 
 @lru_cache(maxsize=2)

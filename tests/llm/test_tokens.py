@@ -4,6 +4,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -40,6 +41,27 @@ def test_words_give_the_ids_of_the_whole_text(text):
 words = WordIds(PATH, most=50)
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text(alphabet=st.sampled_from(list("aZé.Σ's -4<|endoftx>\x00\x1c\x85\n ́ßªµÿĀK$")), max_size=30)), max_size=6), st.integers(0, 3), st.sampled_from([pa.string(), pa.large_string()]))
+def test_many_texts_at_once_give_the_ids_of_each(texts, skip, kind):
+    got = words.texts(pa.array(texts, kind).slice(skip))
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [WHOLE.encode(t or "", add_special_tokens=False).ids for t in texts[skip:]]
+
+
+def test_the_tokenizer_is_asked_once_for_each_piece(monkeypatch):
+    """Cases and signs make many words of few pieces; each word that went to the tokenizer cost most of op3's time."""
+    held = WordIds(PATH)
+    signs = [a + b for a in ["", ".", ",", "!!", "'s"] for b in ["", "$$$", "%%%", "-2"]]
+    text = " ".join(f(w) + s for w in ("ofthnon", "erlich", "ciónos", "weiß") for f in (str.lower, str.capitalize) for s in signs)
+    asked = []
+    for name in ("_encode", "_model"):
+        monkeypatch.setattr(held, name, lambda word, f=getattr(held, name): asked.append(word) or f(word))
+    ids = held.text(text.encode())
+    assert np.frombuffer(ids, "<u4").tolist() == WHOLE.encode(text, add_special_tokens=False).ids
+    assert len(asked) == len(set(asked)) <= 4 + len(set(signs))
+    assert held.text(text.encode()) == ids and len(asked) <= 4 + len(set(signs))
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.one_of(st.integers(0, 300), st.integers(0, 2**32 - 1)), max_size=700), st.data())
 def test_blocks_round_trip_whole_and_in_parts(ids, data):
