@@ -33,7 +33,7 @@ class WordIds(dict):
     """Little-endian unsigned 32-bit ids of the words of whole texts. Arrow cuts texts into words and numbers the distinct
     ones; of these only the distinct pieces come to Python. A piece is the letters a word begins with, lower-cased, or
     the rest of it, or a whole word that can't be cut there. Of recent pieces, `most` to twice as many are kept, besides
-    those of the texts at hand: some 150 MB a worker at most, however many words a corpus has."""
+    those of the texts at hand: some 80 MB a worker, however many words a corpus has."""
 
     def __init__(self, path: str, most: int = 300_000):
         from tokenizers import Tokenizer

@@ -48,6 +48,13 @@ def test_many_texts_at_once_give_the_ids_of_each(texts, skip, kind):
     assert [np.frombuffer(x, "<u4").tolist() for x in got] == [WHOLE.encode(t or "", add_special_tokens=False).ids for t in texts[skip:]]
 
 
+def test_words_that_may_not_be_cut_are_encoded_whole():
+    held = WordIds(PATH)
+    held.direct = False
+    text = "Aé's b-2  x<|endoftext|> Straße!!"
+    assert np.frombuffer(held.text(text.encode()), "<u4").tolist() == WHOLE.encode(text, add_special_tokens=False).ids
+
+
 def test_the_tokenizer_is_asked_once_for_each_piece(monkeypatch):
     """Cases and signs make many words of few pieces; each word that went to the tokenizer cost most of op3's time."""
     held = WordIds(PATH)
