@@ -292,8 +292,9 @@ def _drained(stream: DataFrame, mode: str, path: str) -> None:
 def aura_windows_streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The windows of aura_windows, paired by a stateful stream over the events as files.
 
-    The files hold a sixth of the time each; every seventh row comes a file late, which the watermark's delay of two
-    files allows. A last file holds one row far behind the end, which lets the watermark pass every fight's end.
+    A step's files hold a sixth of the time; every seventh row comes a step late, which the watermark's delay of two
+    steps allows, wherever among a step's files a trigger ends. A last file holds one row far behind the end, which
+    lets the watermark pass every fight's end.
     """
     from gaugeworks.streaming.windows import keyed_state, paired_stream
 
@@ -305,21 +306,22 @@ def aura_windows_streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.timestamp_millis("ms").alias("ts"), "fight", (F.col("event_id") % 2).alias("ability"), "t", F.col("event_id").alias("seq"), "kind",
         (F.col("event_id") % 4).alias("source"), ends, "duration",
     )
-    first, last = rows.agg(F.unix_millis(F.min("ts")), F.unix_millis(F.max("ts"))).first()
+    rows = checkpointed(rows)
+    first, last, count = rows.agg(F.unix_millis(F.min("ts")), F.unix_millis(F.max("ts")), F.count("ts")).first()
     if first is None:
         return spark.createDataFrame([], "fight long, ability long, start double, end double, truncated boolean, opener long")
     span = (last - first) // 6 + 1
-    file = F.floor((F.unix_millis("ts") - first) / span) + F.when(F.col("seq") % 7 == 0, 1).otherwise(0)
+    step = F.floor((F.unix_millis("ts") - first) / span) + F.when(F.col("seq") % 7 == 0, 1).otherwise(0)
     tick = spark.range(1).select(
         F.timestamp_millis(F.lit(last + 3 * span + 2 * 86400000)).alias("ts"), *(F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in rows.columns[1:])
     )
-    numbered = checkpointed(rows.withColumn("file", file))
     for k in range(7):  # files are read by the time of their writing
-        numbered.where(F.col("file") == k).drop("file").coalesce(1).write.mode("append").parquet(f"{path}/in")
+        rows.where(step == k).write.mode("append").parquet(f"{path}/in")
+    files = len(spark.read.schema(rows.schema).parquet(f"{path}/in").inputFiles())
     tick.coalesce(1).write.mode("append").parquet(f"{path}/in")
     with keyed_state(spark):
-        stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
-        _drained(paired_stream(stream, f"{2 * span} milliseconds"), "append", path)
+        stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", -(-files // 7)).parquet(f"{path}/in")
+        _drained(paired_stream(stream, f"{2 * span} milliseconds", 16 + count // 5_000), "append", path)
     return spark.read.parquet(f"{path}/rows")
 
 

@@ -1,9 +1,11 @@
+import os
 import random
 from collections import defaultdict
 
 from pyspark.sql import functions as F
 
 from gaugeworks.operators import intervals as I
+from gaugeworks.queries import fights
 from gaugeworks.streaming.sink import MergedTable
 from gaugeworks.streaming.windows import entity_stream, keyed_state, paired_stream, tumbling
 
@@ -54,6 +56,57 @@ def test_rows_behind_the_watermark_are_dropped(spark, tmp_path):
     assert [tuple(r) for r in spark.read.parquet(f"{path}/rows").collect()] == [(1, 1, 10.0, 40.0, True, 7)]
 
 
+def test_pairs_share_state_and_calls(spark, tmp_path):
+    """Each pair had three states, a call and a timer of its own, some 3 ms of a trigger whatever its rows were."""
+    many = spark.range(4000).select((F.col("id") % 2000).alias("fight"), F.lit(1).cast("long").alias("ability"), (F.floor(F.col("id") / 2000) + 1).cast("double").alias("t"), F.col("id").alias("seq"))
+    frame = many.withColumn("kind", F.when(F.col("seq") % 3 == 0, "end").otherwise("start")).withColumn("source", F.col("seq") % 5).withColumn("duration", F.lit(9.0))
+    stamped = frame.select(F.timestamp_millis((F.col("t") * 1000).cast("long") + 1_000_000).alias("ts"), "*", F.lit(1_009_000).cast("long").alias("ends"))
+    tick = spark.range(1).select(F.timestamp_millis(F.lit(2_000_000)).alias("ts"), *(F.lit(None).cast(f.dataType).alias(f.name) for f in stamped.schema[1:]))
+    path, held = str(tmp_path), []
+    for part in (stamped.where("t = 1"), stamped.where("t = 2"), tick):
+        part.coalesce(1).write.mode("append").parquet(f"{path}/in")
+        with keyed_state(spark):
+            stream = paired_stream(spark.readStream.schema(stamped.schema).parquet(f"{path}/in"), "5 seconds")
+            q = stream.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+            q.awaitTermination()
+        held += [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress]
+    assert 0 < max(held) < 2000 and held[-1] == 0
+    rows = lambda df: sorted(tuple(r) for r in df.select("fight", "ability", "start", "end", "truncated", "opener").collect())
+    assert rows(spark.read.parquet(f"{path}/rows")) == rows(I.paired(frame, ["fight", "ability"], ["t", "seq"]))
+
+
+def test_pairs_with_nulls_and_long_ids(spark, tmp_path):
+    """A null beside them made doubles of ids."""
+    big = 2**60 + 1
+    some = [(None, 1, 1.0, 1, "start", None), (None, 1, 2.0, 2, "end", big), (0, 1, 3.0, 3, "start", None), (big, None, 1.0, 4, "end", big), (big, 1, 1.0, 5, "start", big), (big, 1, 2.0, 6, "end", None)]
+    some += [(big + 2, 1, 1.0, 7, "start", None), (big + 2, 1, 2.0, 8, "start", 5), (big, 0, 1.0, 9, None, 3), (big, 0, 1.0, big + 4, "start", big), (big, 0, 1.0, big + 3, "end", 0)]
+    frame = spark.createDataFrame(some, "fight long, ability long, t double, seq long, kind string, source long").withColumn("duration", F.lit(9.0))
+    stamped = frame.select(F.timestamp_millis((F.col("t") * 1000).cast("long") + 1_000_000).alias("ts"), "*", F.lit(1_009_000).cast("long").alias("ends"))
+    tick = spark.range(1).select(F.timestamp_millis(F.lit(2_000_000)).alias("ts"), *(F.lit(None).cast(f.dataType).alias(f.name) for f in stamped.schema[1:]))
+    path = str(tmp_path)
+    for part in (stamped, tick):
+        part.coalesce(1).write.mode("append").parquet(f"{path}/in")
+    with keyed_state(spark):
+        stream = spark.readStream.schema(stamped.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+        drain(paired_stream(stream, "5 seconds", 2), "append", path)
+    rows = lambda df: sorted(repr(tuple(r)) for r in df.select("fight", "ability", "start", "end", "truncated", "opener").collect())
+    assert rows(spark.read.parquet(f"{path}/rows")) == rows(I.paired(frame, ["fight", "ability"], ["t", "seq"]))
+
+
+def test_steps_of_the_stream_are_written_by_many_tasks(spark, tmp_path, monkeypatch):
+    """One task read all rows for each step and wrote them as one file."""
+    monkeypatch.setattr(fights, "scratch_path", lambda s, label: str(tmp_path))
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(key, "false")  # else so few rows are one task's
+    try:
+        got = fights.aura_windows_streamed(spark, "/root/testdata/sf0.001")
+    finally:
+        spark.conf.unset(key)
+    assert len([f for f in os.listdir(tmp_path / "in") if f.endswith(".parquet")]) > 8
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    assert rows(got) == rows(fights.aura_windows(spark, "/root/testdata/sf0.001"))
+
+
 def test_running_aggregates(spark, tmp_path):
     rows = [(f"2024-01-0{1 + d} 0{h}:00:00", d, a, 0, h * 3600.0, 1.5) for d in range(3) for h in range(5) for a in range(2)]
     frame = spark.createDataFrame(rows, "ts string, fight long, actor long, instance long, t double, amount double").withColumn("ts", F.to_timestamp("ts"))
